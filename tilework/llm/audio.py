@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of
+from .common import fresh, schema_with, text_of
 
 RATE, UP, DOWN = 12_000, 2, 3
 TARGET_RATE = RATE * UP // DOWN
@@ -153,7 +153,7 @@ def encode_audio(df: DataFrame, payload: str, media: str = "media") -> DataFrame
             made = [wav((x or b"") + b" " * (-len(x or b"") % UNIT if x else UNIT)) for x in batch.column(payload).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, media])
 
-    return df.mapInArrow(encode, df.schema.add(media, "binary"))
+    return df.mapInArrow(encode, schema_with(df, **{media: "binary"}))
 
 
 def audio_features(df: DataFrame, media: str = "media") -> DataFrame:
@@ -184,10 +184,7 @@ def audio_features(df: DataFrame, media: str = "media") -> DataFrame:
                 made = list(zip(*[row(x.as_py()) for x in part.column(media)], strict=True))
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v, kinds[n]) for n, v in zip(names, made, strict=True)]], [*part.schema.names, *names])
 
-    schema = df.schema
-    for x in added.split(", "):
-        schema = schema.add(*x.split(" ", 1))
-    return df.mapInArrow(features, schema)
+    return df.mapInArrow(features, schema_with(df, **dict(x.split(" ", 1) for x in added.split(", "))))
 
 
 def document_audio(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:

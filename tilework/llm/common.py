@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A key is hot if it holds more than one in this many rows, so there are fewer hot keys than this.
 HOT_SHARE = 1000
@@ -27,6 +28,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def schema_with(df: DataFrame, **added: str) -> StructType:
+    """df's schema and the columns added, given as name=type; df's own stays as it is."""
+    more = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in added.items()))
+    return StructType([*df.schema.fields, *more.fields])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

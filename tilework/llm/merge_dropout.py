@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of
+from .common import fresh, schema_with, text_of
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -301,7 +301,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "piece_ids", rate: floa
             made = [None if x is None else m for x, m in zip(texts, made, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, ids])
 
-    return df.mapInArrow(add, df.schema.add(ids, "binary"))
+    return df.mapInArrow(add, schema_with(df, **{ids: "binary"}))
 
 
 def decode(df: DataFrame, ids: str = "piece_ids", text: str = "decoded", path: str | None = None) -> DataFrame:
@@ -315,7 +315,7 @@ def decode(df: DataFrame, ids: str = "piece_ids", text: str = "decoded", path: s
             made = [None if x is None else coder(where, 0.0, 0).decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, text])
 
-    return df.mapInArrow(add, df.schema.add(text, "string"))
+    return df.mapInArrow(add, schema_with(df, **{text: "string"}))
 
 
 def documents_round_trip(docs: DataFrame, id_column: str = "doc_id", rate: float = 0.1, seed: int = 7) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import saved, schema_with, text_of
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 #: The commonest function words of the corpus' languages (de, en, es, fr).
@@ -125,11 +125,11 @@ def estimate(votes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return posterior, rates, share
 
 
-_FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def vote(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, the counts of _FIELDS, base_failed and `votes` (a string of -, 0, + in the order of RULES) of every whole text; a null text has no words."""
+    """keys, the counts of FIELDS, base_failed and `votes` (a string of -, 0, + in the order of RULES) of every whole text; a null text has no words."""
     kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
     source = docs.select(*kept, text_of(docs, text).alias("text"))
 
@@ -138,14 +138,11 @@ def vote(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
             found = [signals(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             votes = ["".join("-0+"[rule(s) + 1] for rule in RULES.values()) for s in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *[pa.array([getattr(s, f) for s in found], pa.int64()) for f in _FIELDS], pa.array([s.base_failed for s in found], pa.bool_()), pa.array(votes, pa.string())],
-                [*batch.schema.names[:-1], *_FIELDS, "base_failed", "votes"],
+                [*batch.columns[:-1], *[pa.array([getattr(s, f) for s in found], pa.int64()) for f in FIELDS], pa.array([s.base_failed for s in found], pa.bool_()), pa.array(votes, pa.string())],
+                [*batch.schema.names[:-1], *FIELDS, "base_failed", "votes"],
             )
 
-    schema = source.drop("text").schema
-    for f in _FIELDS:
-        schema = schema.add(f, "long")
-    return source.mapInArrow(count, schema.add("base_failed", "boolean").add("votes", "string"))
+    return source.mapInArrow(count, schema_with(source.drop("text"), **dict.fromkeys(FIELDS, "long"), base_failed="boolean", votes="string"))
 
 
 def posteriors(voted: DataFrame) -> DataFrame:
@@ -184,6 +181,6 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
             votes = ["".join("-0+"[rule(s) + 1] for rule in RULES.values()) for s in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes, pa.string()), pa.array([s.base_failed for s in found], pa.bool_())], [*batch.schema.names, "votes", "base_failed"])
 
-    voted = saved(renamed.mapInArrow(mark, renamed.schema.add("votes", "string").add("base_failed", "boolean")), "voted")
+    voted = saved(renamed.mapInArrow(mark, schema_with(renamed, votes="string", base_failed="boolean")), "voted")
     good = voted.join(F.broadcast(posteriors(voted)), "votes").where(~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
     return good.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lookup, saved, text_of
+from .common import fresh, lookup, saved, schema_with, text_of
 
 RADIUS = 2
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, columns: list[str], text: str = "text") -> Dat
             made = np.array([fingerprint(x.as_py()) for x in batch.column(batch.num_columns - 1)], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.int64())], [*batch.schema.names[:-1], fp])
 
-    return source.mapInArrow(add, source.drop(words).schema.add(fp, "long"))
+    return source.mapInArrow(add, schema_with(source.drop(words), **{fp: "long"}))
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -184,10 +184,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def classes(fps: DataFrame, id_column: str, radius: int = RADIUS) -> DataFrame:
+def classes(fps: DataFrame, id_column: str, radius: int = RADIUS, root: str | None = None) -> DataFrame:
     """fps (written; with fp and the id) and `component_id`: the least id reachable over links of its fingerprint.
 
-    Ids that are null count for a class only where it has no other, which then is null.
+    Ids that are null count for a class only where it has no other, which then is
+    null. `root` names a further column, the class' least fingerprint, never null.
     """
     distinct = saved(fps.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n")), "distinct")
     chains = components(links(distinct.select("fp"), radius))
@@ -195,7 +196,7 @@ def classes(fps: DataFrame, id_column: str, radius: int = RADIUS) -> DataFrame:
     grouped = saved(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "grouped")
     best = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("w"))
     labels = saved(lookup(grouped.select("fp", "n", "root"), best, "root", "w"), "labels")
-    return lookup(fps, labels.select("fp", "n", "component_id"), "fp", "n")
+    return lookup(fps, labels.select("fp", "n", "component_id", *[F.col("root").alias(root)] if root else []), "fp", "n")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -208,3 +209,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", radius: int = RA
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(docs).alias("text"))
     fps = saved(fingerprints(source, ["doc_id"]), "fingerprints")
     return classes(fps, "doc_id", radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each class of near duplicates: that of the least id, of a null one only where a class has no other.
+
+    Repeated rows and ids count as copies where their fingerprints link. Rows
+    get a number as they are written with their fingerprints to the shared
+    folder; what decides is a table of (number, id, fingerprint), and texts are
+    dealt by number once.
+    """
+    names = docs.columns
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("row"))
+    held = saved(fingerprints(renamed, renamed.columns, f"c{names.index('text')}"), "fingerprinted")
+    narrow = held.select("row", F.col(f"c{names.index(id_column)}").cast("long").alias("doc_id"), "fp")
+    marked = classes(narrow, "doc_id", radius, root="class")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    kept = marked.groupBy("class").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return held.join(kept, "row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
