@@ -35,6 +35,7 @@ def _fill(left: np.ndarray, capacity: int) -> Pattern:
 def greedy_patterns(demand: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     """First fit decreasing over a histogram: each pattern is repeated while its pieces last."""
     left, out = demand.copy(), []
+    left[0] = 0
     while left.any():
         p = _fill(left, capacity)
         times = min(int(left[c]) // a for c, a in p.items())
@@ -69,15 +70,17 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[Pattern,
     """Patterns and how often each is used, that hold the demand (by class, index 0 unused) exactly.
 
     A revised simplex on the patterns' linear program; the knapsack prices new
-    columns; the solution is rounded down and the rest, at most one bin a
-    pattern, is filled first fit decreasing. The program has one row a class,
-    so its size does not depend on the corpus.
+    columns. Prices are drawn towards the classes' sizes, which keeps them from
+    swinging, and any prices over their best pattern's worth bound the optimum
+    from below (Farley): within GAP of that bound the program stops. The
+    solution is rounded down and the rest, at most one bin a pattern, is filled
+    first fit decreasing. The program has one row a class, so its size does not
+    depend on the corpus.
     """
     sizes = np.flatnonzero(demand)
     m, need = len(sizes), demand[sizes].astype(float)
     if not m:
         return []
-    pool = np.zeros((m, 0))
     greedy = greedy_patterns(demand, capacity)
     place = {int(c): i for i, c in enumerate(sizes)}
     pool = np.zeros((m, len(greedy)))
@@ -86,11 +89,15 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[Pattern,
             pool[place[c], j] = a
     columns = np.diag((capacity // sizes).astype(float))
     inverse, cost = np.diag(1 / np.diag(columns)), np.ones(m)
+    by_size = sizes / capacity
+    bound, draw = float(by_size @ need), 0.9
     for step in range(MAX_COLUMNS):
         if step % 64 == 63:
             inverse = np.linalg.inv(columns)
         x = inverse @ need
         prices = cost @ inverse
+        if cost @ np.maximum(x, 0) <= bound * (1 + GAP):
+            break
         worth = prices @ pool
         j = int(worth.argmax())
         if worth[j] > 1 + 1e-7:
@@ -99,8 +106,14 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[Pattern,
             new, price = np.zeros(m), 0.0
             new[prices.argmin()] = -1
         else:
-            value, new = best_pattern(prices, sizes, capacity)
-            if value <= 1 + GAP:  # Farley: the optimum is at least the present cost / value
+            while True:
+                drawn = draw * by_size + (1 - draw) * prices
+                value, new = best_pattern(drawn, sizes, capacity)
+                bound = max(bound, float(drawn @ need) / max(value, 1e-12))
+                if prices @ new > 1 + 1e-7 or draw == 0:
+                    break
+                draw = draw - 0.1 if draw > 0.15 else 0.0
+            if prices @ new <= 1 + 1e-7:
                 break
             price = 1.0
         way = inverse @ new
