@@ -18,6 +18,8 @@ GRAIN = 8
 BUCKET_ROWS = 20_000
 #: The linear program stops within this share of its optimum (by Farley's bound), or after so many columns.
 GAP, MAX_COLUMNS = 0.0005, 4000
+#: Differences below this are rounding.
+NOISE = 1e-6
 
 Pattern = dict[int, int]  # class (length in grains) -> pieces of it
 
@@ -92,7 +94,7 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[Pattern,
     by_size = sizes / capacity
     bound, draw = float(by_size @ need), 0.9
     for step in range(MAX_COLUMNS):
-        if step % 64 == 63:
+        if step % 20 == 19:
             inverse = np.linalg.inv(columns)
         x = inverse @ need
         prices = cost @ inverse
@@ -100,9 +102,9 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[Pattern,
             break
         worth = prices @ pool
         j = int(worth.argmax())
-        if worth[j] > 1 + 1e-7:
+        if worth[j] > 1 + NOISE:
             new, price = pool[:, j], 1.0
-        elif prices.min() < -1e-9:  # a surplus column: more of a class than asked for
+        elif prices.min() < -NOISE:  # a surplus column: more of a class than asked for
             new, price = np.zeros(m), 0.0
             new[prices.argmin()] = -1
         else:
@@ -110,17 +112,17 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[Pattern,
                 drawn = draw * by_size + (1 - draw) * prices
                 value, new = best_pattern(drawn, sizes, capacity)
                 bound = max(bound, float(drawn @ need) / max(value, 1e-12))
-                if prices @ new > 1 + 1e-7 or draw == 0:
+                if prices @ new > 1 + NOISE or draw == 0:
                     break
                 draw = draw - 0.1 if draw > 0.15 else 0.0
-            if prices @ new <= 1 + 1e-7:
+            if prices @ new <= 1 + NOISE:
                 break
             price = 1.0
         way = inverse @ new
-        ratio = np.where(way > 1e-9, np.maximum(x, 0) / np.where(way > 1e-9, way, 1), np.inf)
-        r = int(ratio.argmin())
-        if not np.isfinite(ratio[r]):
+        ratio = np.where(way > NOISE, np.maximum(x, 0) / np.where(way > NOISE, way, 1), np.inf)
+        if not np.isfinite(ratio.min()):
             break
+        r = int(np.where(ratio <= ratio.min() + NOISE, way, 0).argmax())  # of equals the largest pivot keeps the basis sound
         columns[:, r], cost[r] = new, price
         row = inverse[r] / way[r]
         inverse -= np.outer(way, row)
