@@ -158,37 +158,42 @@ def cut_documents(docs: DataFrame, size: int, end_id: int = 2, id_column: str =
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(cut, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
 
 
+def _places(batches, capacity: int):
+    """The patterns' table out of the batches (class, n): which ranks of a class go to which sequences, `each` of them to one."""
+    demand = np.zeros(capacity + 1, "i8")
+    for batch in batches:
+        demand[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    full, demand[capacity] = int(demand[capacity]), 0
+    plan = ([({capacity: 1}, full)] if full else []) + column_generation(demand, capacity)
+    used, first, table = np.zeros(capacity + 1, "i8"), 0, []
+    for pattern, times in plan:
+        for c, a in pattern.items():
+            table.append((c, int(used[c]), int(used[c]) + a * times, a, first))
+            used[c] += a * times
+        first += times
+    columns = list(zip(*table, strict=True)) or [()] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)], ["class", "rank_from", "rank_to", "each", "first"])
+
+
 def pack(docs: DataFrame, size: int = 4096, end_id: int = 2, id_column: str = "doc_id", tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Packs whole documents into sequences of at most `size` tokens; a row a piece, with sequence_id and offset.
 
     A null text is the end id alone, repeated rows and ids are packed each, null
     ids stay null, other columns are ignored, an empty table gives no rows.
     Documents over `size` are cut into full pieces, which fill sequences alone,
-    and a rest. The histogram of lengths in grains (at most size / GRAIN rows)
-    is all that the driver sees. Within a length, pieces are ranked by a hashed
+    and a rest. One task solves the linear program: it gets the histogram of
+    lengths in grains, at most size / GRAIN rows whatever the corpus. Within a length, pieces are ranked by a hashed
     bucket and then by id, so a length that many share is dealt over many tasks;
     ranks look up their place in the patterns' table, which is as small.
     """
     if size % GRAIN:
         raise ValueError(f"size must be a multiple of {GRAIN}")
-    spark, capacity = docs.sparkSession, size // GRAIN
+    capacity = size // GRAIN
     pieces = saved(cut_documents(docs, size, end_id, id_column, tokenizer, keep_ids).withColumn("class", F.ceil(F.col("length") / GRAIN).cast("int")), "pieces")
-    demand = np.zeros(capacity + 1, "i8")
-    for r in pieces.groupBy("class").count().collect():
-        demand[r["class"]] = r["count"]
-    full = int(demand[capacity])
-    rest = demand.copy()
-    rest[capacity] = 0
-    plan = ([({capacity: 1}, full)] if full else []) + column_generation(rest, capacity)
-    used, first, table = np.zeros(capacity + 1, "i8"), 0, []
-    for pattern, times in plan:
-        for c, a in pattern.items():
-            table.append((c, int(used[c]), int(used[c]) + a * times, a, first))
-            used[c] += a * times
-        first += times
-    places = spark.createDataFrame(table, "class int, rank_from long, rank_to long, each long, first long")
+    counted = pieces.groupBy("class").agg(F.count("*").alias("n"))
+    places = saved(counted.repartition(1).mapInArrow(lambda batches: _places(batches, capacity), "class int, rank_from long, rank_to long, each long, first long"), "places")
 
-    buckets = max(1, int(demand.sum()) // BUCKET_ROWS)
+    buckets = max(1, pieces.count() // BUCKET_ROWS)
     order = ["doc_id", "start", "ids_crc32", "length"]
     bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     local = bucketed.withColumn("rank", F.row_number().over(Window.partitionBy("class", "bucket").orderBy(*order)) - 1)

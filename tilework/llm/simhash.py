@@ -29,7 +29,9 @@ SEED = 42
 #: Fingerprints that bit correlations and candidate counts are estimated on at most (those of the least hashes); only costs depend on them.
 SAMPLE = 4096
 #: Pairs of a bucket of n are n * (n - 1) / 2, its midpoints 65 * n: beyond this n the latter are fewer.
-LARGE_BUCKET = 130
+LARGE_BUCKET, MIDPOINTS = 130, 65
+#: A probe is a row that is shuffled and sorted, and costs as much as so many comparisons.
+PROBE_COST = 20
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -93,14 +95,14 @@ def _cost(sample: np.ndarray, bits: list[int], radius: int, n: int) -> float:
         return 0.0
     flips = [()] + [c for r in range(1, radius + 1) for c in combinations(bits, r)]
     keys, counts = np.unique(_keys(sample, bits), return_counts=True)
-    met = 0.0
+    met, scale = 0.0, n / max(1, len(sample))
     for f in flips:
-        at = np.searchsorted(keys, keys ^ np.uint64(sum(1 << b for b in f)))
         other = keys ^ np.uint64(sum(1 << b for b in f))
-        hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == other)
-        met += float((counts * np.where(hit, counts[np.minimum(at, len(keys) - 1)] - (f == ()), 0)).sum())
-    met += len(sample) ** 2 * len(flips) / 2.0 ** len(bits)  # what the sample is too small to show
-    return n * len(flips) + met * (n / max(1, len(sample))) ** 2 / 2
+        at = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
+        partners = np.where(keys[at] == other, counts[at] - (f == ()), 0) * scale
+        met += float(np.minimum(counts * scale * partners / 2, MIDPOINTS * counts * scale).sum())  # large buckets go by midpoints
+    met += n**2 * len(flips) / 2.0 ** len(bits) / 2  # what the sample is too small to show
+    return PROBE_COST * n * len(flips) + met
 
 
 def allocate(sample: np.ndarray, n: int, radius: int = RADIUS) -> tuple[list[list[int]], list[int], float]:
