@@ -28,6 +28,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def hashed_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """df and `h`, the key's hash: at most n rows, those of the least hashes.
+
+    Rows are first filtered by a bound that about 4 * n of them lie under, so that
+    the task which orders them gets no more of a larger table.
+    """
+    total, hashed = df.count(), df.withColumn("h", key)
+    if total > 4 * n:
+        hashed = hashed.where(F.col("h") <= int(-(2**63) + 2**64 * (4 * n / total)))
+    return hashed.orderBy("h").limit(n)
+
+
 def schema_with(df: DataFrame, **added: str) -> StructType:
     """df's schema and the columns added, given as name=type; df's own stays as it is."""
     more = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in added.items()))

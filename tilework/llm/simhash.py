@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lookup, saved, schema_with, text_of
+from .common import fresh, hashed_sample, lookup, saved, schema_with, text_of
 
 RADIUS = 2
 SEED = 42
@@ -134,7 +134,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius != 2:
         raise ValueError("the way around large buckets is made for a radius of 2")
     n = distinct.count()
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], "i8").view("u8")
+    sample = np.array([r[0] for r in hashed_sample(distinct.select("fp"), F.xxhash64("fp"), SAMPLE).collect()], "i8").view("u8")
     if len(sample) < 2:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("a < b")
     groups, thresholds, _ = allocate(sample, n, radius)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, new_file, shuffle_partitions, text_of
+from .common import file_system, hashed_sample, new_file, shuffle_partitions, text_of
 from .words import default_path, encoder
 
 MAGIC = b"TWIDS\x01\x00\x00"
@@ -31,15 +31,15 @@ FRAMES_A_BATCH = 2000
 
 
 def train_dictionary(docs: DataFrame, id_column: str = "doc_id", tokenizer: str | None = None) -> bytes:
-    """A dictionary trained on a bounded sample: of the SAMPLE_DOCS documents with the least hashes of id, a window of at most PIECE_BYTES of the serialized ids, at a place set by the hash.
+    """A dictionary trained on a bounded sample: of the SAMPLE_DOCS documents with the least hashes of id and text, a window of at most PIECE_BYTES of the serialized ids, at a place set by the hash.
 
     Fewer than 8 usable pieces (small corpora) give an empty dictionary: frames are then compressed without.
     """
     import zstandard
 
     path = tokenizer or default_path()
-    order = F.xxhash64(F.col(id_column).cast("string"), F.lit("dictionary"))
-    chosen = docs.select(order.alias("h"), text_of(docs).alias("text")).orderBy("h", F.xxhash64("text")).limit(SAMPLE_DOCS)
+    rows = docs.select(F.col(id_column).cast("string").alias("id"), text_of(docs).alias("text"))
+    chosen = hashed_sample(rows, F.xxhash64("id", "text", F.lit("dictionary")), SAMPLE_DOCS).select("h", "text")
 
     def pieces(batches):
         for batch in batches:

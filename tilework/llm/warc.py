@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, lookup, new_file, saved, text_of
+from .common import file_system, hashed_sample, lookup, new_file, saved, text_of
 
 DICTIONARY_FRAME = 0x184D2A5D
 #: Records that the dictionary is made from at most, bytes of each, and its own size.
@@ -74,11 +74,11 @@ def assign_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """Made from a bounded sample: the records of the SAMPLE_RECORDS pages with the least hashes of payload, SAMPLE_BYTES of each from a place set by the hash."""
+    """Made from a bounded sample: the records of the SAMPLE_RECORDS pages with the least hashes of id and address, SAMPLE_BYTES of each from a place set by the hash."""
     import zstandard
 
-    h = F.xxhash64(text_of(pages, "html"), F.lit("dictionary"))
-    chosen = pages.select(h.alias("h"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of(pages, "html").alias("html")).orderBy("h", "page_id", "url").limit(SAMPLE_RECORDS)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of(pages, "html").alias("html"))
+    chosen = hashed_sample(rows, F.xxhash64("page_id", "url", F.lit("dictionary")), SAMPLE_RECORDS)
 
     def pieces(batches):
         for batch in batches:
