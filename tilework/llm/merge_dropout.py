@@ -31,7 +31,7 @@ VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 VARIANTS = 4
 #: Parts and words, of all variants, that a worker remembers at most; the longest part merged in arrays; characters of text cut at once.
-PARTS_KEPT, WORDS_KEPT, ROW_LENGTH, STEP_CHARS = 400_000, 300_000, 24, 2_000_000
+PARTS_KEPT, WORDS_KEPT, ROW_LENGTH, STEP_CHARS = 800_000, 800_000, 24, 2_000_000
 #: Documents that are encoded together.
 ROWS_AT_ONCE = 1000
 #: Marks a word that is not led by one space (no text has this code): what follows is the word with its spaces.
@@ -188,10 +188,17 @@ class MergeDropout:
     def _spell(self, wanted: list[dict[str, bytes | None]]) -> None:
         """Fills in the words of each variant: each is cut into parts, and the parts not remembered are merged together."""
         missing: list[dict[str, bytes | None]] = [{} for _ in range(VARIANTS)]
-        parts = []
+        parts, alone = [], []
         for v, words in enumerate(wanted):
             known, new = self.parts[v].get, missing[v]
             for word in words:
+                if word.isalpha():  # nothing to cut at
+                    if (x := known(led := SPACE + word)) is None:
+                        new[led] = None
+                        alone.append((v, word, led))
+                    else:
+                        self._keep(wanted, v, word, x)
+                    continue
                 led = SPACE + word if word[:1] != NOT_LED else word[1:].replace(" ", SPACE)
                 if led[:1] == SPACE and word[:2] == NOT_LED + SPACE:
                     parts.append((v, word, None, [self._literal(led)]))
@@ -203,11 +210,16 @@ class MergeDropout:
                         new[p] = None
                 parts.append((v, word, some, got))
         self._learn(missing)
+        for v, word, led in alone:
+            self._keep(wanted, v, word, missing[v][led])
         for v, word, some, got in parts:
-            wanted[v][word] = whole = b"".join([missing[v][p] if x is None else x for p, x in zip(some or [""], got, strict=True)])
-            if self.n_words < WORDS_KEPT and len(word) <= 64:
-                self.words[v][word] = whole
-                self.n_words += 1
+            self._keep(wanted, v, word, b"".join([missing[v][p] if x is None else x for p, x in zip(some or [""], got, strict=True)]))
+
+    def _keep(self, wanted: list[dict[str, bytes | None]], v: int, word: str, whole: bytes) -> None:
+        wanted[v][word] = whole
+        if self.n_words < WORDS_KEPT and len(word) <= 64:
+            self.words[v][word] = whole
+            self.n_words += 1
 
     def _learn(self, missing: list[dict[str, bytes | None]]) -> None:
         """Fills the parts of each variant in, and remembers them while there is room."""
