@@ -79,7 +79,7 @@ runs AS (SELECT * FROM (SELECT slide_id, label, "row", ceil(cut) AS lo, floor(le
 @query(f', {_EDGES} SELECT slide_id, label, "row", count(*) AS n_runs, CAST(sum(hi - lo + 1) AS BIGINT) AS n_pixels FROM runs GROUP BY ALL')
 def raster_mask(spark, d):
     v = vertices(spark, d).withColumn("y", F.floor(F.col("y") / 16).cast("int"))
-    return rasters.fill_polygons(v).groupBy("slide_id", "label", "row").agg(F.count("*").alias("n_runs"), F.sum(F.col("hi") - F.col("lo") + 1).alias("n_pixels"))
+    return rasters.fill_polygons(v).groupBy("slide_id", "label", F.col("row").cast("long").alias("row")).agg(F.count("*").alias("n_runs"), F.sum(F.col("hi") - F.col("lo") + 1).alias("n_pixels"))
 
 
 def components(spark, d):
