@@ -1,0 +1,59 @@
+"""The pipeline's near duplicates against all pairs of five-word shingle sets."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tilework.llm import minhash
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def grams(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute(rows):
+    sets = [grams(t) for _, t, _ in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    least = {}
+    for k, (i, t, _) in zip(label, rows, strict=True):
+        least[k] = min(least.get(k, (True, 0)), (i is None, i or 0))
+    return sorted(least.values())
+
+
+def corpus(seed, groups, copies):
+    rng = np.random.default_rng(seed)
+    rows = [(None, None, "x"), (3_000, "", "x"), (3_001, " \n", "x"), (3_002, "one two", "x"), (None, "One TWO", "x"), (None, "alone", "x")]
+    for g in range(groups):
+        base = rng.integers(0, 5000, 400)
+        for c in range(copies):
+            words = base.copy()
+            at = rng.integers(0, len(words), int(rng.integers(0, 12)))
+            words[at] = rng.integers(5000, 9000, len(at))
+            rows.append((g * 100 + c, " ".join(f"w{w}" for w in words), "y"))
+    return [*rows, rows[-1]]
+
+
+@pytest.mark.parametrize(("groups", "copies", "rounds", "block"), [(25, 5, 3, 64), (2, 40, 0, 7), (1, 60, 1, 7)])
+def test_near_duplicates(spark, monkeypatch, groups, copies, rounds, block):
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = corpus(groups, groups, copies)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    assert kept.columns == ["doc_id", "text", "lang"]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == brute(rows)
+
+
+def test_no_rows(spark):
+    assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], SCHEMA), "").count() == 0

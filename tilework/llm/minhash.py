@@ -1,0 +1,209 @@
+"""Near duplicates by the similarity of five-word shingles: MinHash bands for candidates, shingle sets to verify them.
+
+A SimHash of 64 bits does not do here: at a Jaccard similarity of 0.8 two
+fingerprints differ in about ten bits and often in more, and no pigeonhole on 64
+bits is selective at such a radius. Texts with the same set of shingles collapse
+first. Of 100 minima, each band of five makes a bucket; a pair of similarity 0.8
+shares one of the 20 with probability 0.9996, one of 0.9 all but surely.
+Candidates count only if their sets' similarity is SIMILARITY or more. Members of
+a bucket are first compared with a leader, which differs from bucket to bucket
+and from round to round; what verified pairs connect needs no further look, and
+all other pairs of a bucket are compared then.
+"""
+
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import file_system, lookup, new_folder, saved, text_of
+from .simhash import SEED, components
+
+SIMILARITY, WORDS = 0.8, 5
+BANDS, ROWS = 20, 5
+#: Rounds of leaders before all pairs that are left; members of a block of those; shingles whose minima are taken at once.
+ROUNDS, BLOCK, STEP = 3, 64, 4096
+#: monotonically_increasing_id has the number of the partition from this bit on.
+PARTITION_BIT = 33
+
+_draw = np.random.default_rng(SEED)
+_FACTORS = (_draw.integers(0, 2**31, BANDS * ROWS).astype("u4") * np.uint32(2) + np.uint32(1))[:, None]
+_SHIFTS = _draw.integers(0, 2**32, BANDS * ROWS).astype("u4")[:, None]
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The set of a whole text's shingles as ascending 32-bit hashes: ASCII lower case, a text of up to `words` words is one shingle."""
+    parts = text.encode().lower().split()
+    if not parts:
+        return np.empty(0, "<u4")
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), "i8", len(parts)) + 1) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    digest = xxhash.xxh32_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(words, len(parts)) - 1 :].tolist())], "<u4"))
+
+
+def buckets(found: np.ndarray) -> list[int]:
+    """A signed 64-bit key of each band; a text without words has none."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, 2**32 - 1, "u4")
+    for at in range(0, len(found), STEP):
+        np.minimum(least, (found[at : at + STEP] * _FACTORS + _SHIFTS).min(1), out=least)
+    data = least.astype("<u4").tobytes()
+    return [xxhash.xxh64_intdigest(data[4 * ROWS * k : 4 * ROWS * (k + 1)], k) - 2**63 for k in range(BANDS)]
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, node: hash of the set of shingles, size of the set, keys of its bands) of (row, doc_id, text)."""
+
+    def add(batches):
+        for batch in batches:
+            nodes, sizes, keys = [], [], []
+            for text in batch.column(2):
+                found = shingles(text.as_py())
+                nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - 2**63)
+                sizes.append(len(found))
+                keys.append(buckets(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "node", "size", "keys"])
+
+    return rows.mapInArrow(add, "row long, doc_id long, node long, size long, keys array<long>")
+
+
+@functools.lru_cache(16)
+def _listed(folder: str, part: int) -> np.ndarray:
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, path = file_system(folder)
+    found = files.get_file_info(fs.FileSelector(f"{path}/part={part}", allow_not_found=True))
+    rows = [pq.ParquetFile(files.open_input_file(f.path)).read().column("row").to_numpy() for f in found if f.path.endswith(".parquet")]
+    return np.sort(np.concatenate(rows)) if rows else np.empty(0, "i8")
+
+
+def only(held: DataFrame, rows: DataFrame, change=None, schema=None) -> DataFrame:
+    """The rows of held (written, numbered by partition in `row`) that `rows` names, through `change` (a function of a batch that gives `schema`): each task reads the list of the partitions it meets, and no text is dealt out."""
+    folder = new_folder(held.sparkSession, "listed")
+    rows.select("row", F.shiftright("row", PARTITION_BIT).alias("part")).repartition("part").write.partitionBy("part").parquet(folder)
+
+    def keep(batches):
+        for batch in batches:
+            row = batch.column("row").to_numpy()
+            parts = row >> PARTITION_BIT
+            wanted = np.zeros(len(row), bool)
+            for part in np.unique(parts).tolist():
+                here = parts == part
+                wanted[here] = np.isin(row[here], _listed(folder, part))
+            left = batch.filter(pa.array(wanted))
+            yield change(left) if change else left
+
+    return held.mapInArrow(keep, schema or held.schema)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (node, shingles) have at least SIMILARITY in common."""
+
+    def least(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= SIMILARITY * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    out = pairs
+    for end, name in (("a", "x"), ("b", "y")):
+        weights = out.groupBy(end).agg(F.count("*").alias("w"))
+        table = weights.join(sets, F.col(end) == F.col("node")).select(end, "w", F.col("shingles").alias(name))
+        out = lookup(out, table, end, "w")
+    return out.mapInArrow(least, "a long, b long")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b), a < b, each once, of pairs of nodes (node, size, other, other_size) that can reach SIMILARITY by their sizes."""
+    fit = pairs.where(F.least("size", "other_size") >= SIMILARITY * F.greatest("size", "other_size"))
+    return fit.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a < b").distinct()
+
+
+def links(nodes: DataFrame, held: DataFrame, text: str) -> DataFrame:
+    """(node, root): the nodes (node, rep, size, keys; written) that verified pairs connect with others."""
+    rows = saved(nodes.select("node", "size", F.explode("keys").alias("bucket")), "buckets")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("met", F.col("n"))
+    met = saved(lookup(rows, shared, "bucket", "n").where("met is not null").select("bucket", "node", "size"), "met")
+    meeting = met.select("node").distinct()
+    wanted = nodes.join(meeting, "node", "left_semi").select(F.col("rep").alias("row"))
+
+    def sets_of(batch):
+        found = [shingles(x.as_py()).tobytes() for x in batch.column(1)]
+        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x, SEED) - 2**63 for x in found], pa.int64()), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    sets = saved(only(held.select("row", text_of(held, text).alias("text")), wanted, sets_of, "node long, shingles binary"), "sets")
+
+    spark = nodes.sparkSession
+    edges, tried, active = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long"), met
+    active = active.withColumn("class", F.col("node"))
+    roots = spark.createDataFrame([], "node long, root long")
+    for k in range(ROUNDS + 1):
+        if k < ROUNDS:
+            leader = active.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node", F.lit(k)).alias("h"), "node", "size", "class")).alias("l"), F.count("*").alias("n"))
+            asked = lookup(active, leader.select("bucket", "n", F.col("l.node").alias("other"), F.col("l.size").alias("other_size"), F.col("l.class").alias("other_class")), "bucket", "n")
+        else:
+            asked = crossed(active)
+        new = ordered(asked.where("class <> other_class"))
+        new = saved(new.join(tried, ["a", "b"], "left_anti") if k else new, "candidates")
+        if not new.isEmpty():
+            found = saved(verified(new, sets), "verified")
+            if not found.isEmpty():
+                edges = edges.unionByName(found)
+                chains = components(edges)
+                roots = saved(chains.unionByName(chains.select(F.col("root").alias("node"), "root")).distinct(), "roots")
+            tried = tried.unionByName(new)
+        if k == ROUNDS:
+            break
+        # Buckets of two have no further pairs, nor have those of one class.
+        weighted = roots.join(active.groupBy("node").agg(F.count("*").alias("n")), "node")
+        now = lookup(active.select("bucket", "node", "size"), weighted, "node", "n").select("bucket", "node", "size", F.coalesce("root", "node").alias("class"))
+        mixed = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("n > 2 and low < high")
+        active = saved(lookup(now, mixed.select("bucket", "n", F.lit(True).alias("mixed")), "bucket", "n").where("mixed").drop("mixed"), "active")
+        if active.isEmpty():
+            break
+    return roots
+
+
+def crossed(active: DataFrame) -> DataFrame:
+    """All pairs of members (bucket, node, size, class) of a bucket, each once: blocks of about BLOCK members meet in groups, so no task has a whole bucket's."""
+    sizes = active.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = lookup(active, sizes, "bucket", "n").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = dealt.select("bucket", "block", F.struct("node", "size", "class").alias("m"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    groups = sent.groupBy("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).agg(F.collect_list(F.struct("block", "m")).alias("all"))
+    one, two = groups.select("i", "j", F.explode("all").alias("x"), "all"), F.col("y")
+    return one.select("i", "j", "x", F.explode("all").alias("y")).where("x.m.node <> y.m.node and (i = j or x.block < y.block)").select(
+        F.col("x.m.node").alias("node"), F.col("x.m.size").alias("size"), F.col("x.m.class").alias("class"),
+        two["m"]["node"].alias("other"), two["m"]["size"].alias("other_size"), two["m"]["class"].alias("other_class"),
+    )
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """docs with one row of each class of near duplicates: that of the least id, of a null one only where a class has no other.
+
+    A class is what pairs of similarity SIMILARITY or more connect. Texts without
+    words, null ones too, are one class; repeated rows count as copies. Texts are
+    written once with a number, and neither their pairs nor what is kept moves them.
+    """
+    names = docs.columns
+    text, id_at = f"c{names.index('text')}", f"c{names.index(id_column)}"
+    held = saved(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("row")), "numbered")
+    sketched = saved(sketches(held.select("row", F.col(id_at).cast("long").alias("doc_id"), text_of(held, text).alias("text"))), "sketches")
+    nodes = saved(sketched.groupBy("node").agg(F.min("row").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("n")), "nodes")
+    roots = links(nodes, held, text)
+    labels = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("class"))
+    marked = lookup(sketched.select("row", "doc_id", "node"), saved(labels, "labels"), "node", "n")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    kept = marked.groupBy("class").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return only(held, kept).select(*[F.col(c).alias(names[i]) for i, c in enumerate(held.columns[:-1])])
