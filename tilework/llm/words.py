@@ -3,8 +3,9 @@
 That tokenizer drops white space and joins no two pre-tokens, so the ids of a
 text are those of its pre-tokens in a row. Texts of ASCII and Latin-1 letters
 are cut into pre-tokens here, and each pre-token goes through the library's BPE
-model once; any other text goes through the library word by word. Memories are
-bounded and live as long as the worker.
+model once; any other text goes through the library word by word. A text that
+may hold an added token ('<|endoftext|>') goes through the library whole.
+Memories are bounded and live as long as the worker.
 """
 
 from __future__ import annotations
@@ -39,10 +40,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 65_535:
             raise ValueError("ids of this vocabulary do not fit in 16 bits")
         self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What all added tokens start with, up to the first letter: few texts hold it, so few are searched. Case is ignored, as the library may match in normal form.
+        self.lead = re.match(r"[^\w\s]*", os.path.commonprefix(added))[0]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         bytes_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these as themselves, the others from 256 on
@@ -67,6 +71,8 @@ class WordEncoder:
         return got
 
     def encode(self, text: str) -> bytes:
+        if self.lead in text and self.added(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         known, new = self.words.get, self._word
         if _PLAIN(text):
             return b"".join([known(w) or new(w, True) for w in text.lower().split()])
