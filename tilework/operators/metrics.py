@@ -24,13 +24,50 @@ def binary_auc(scored: DataFrame, score: str = "score", label: str = "label", by
     return won.groupBy(*keys).agg(F.round(F.when(pairs > 0, F.sum("won") / pairs), 6).alias("auc"))
 
 
+#: Values that one block of a ranking holds about, and blocks at most.
+RANK_BLOCK, RANK_BLOCKS = 4096, 1000
+
+
+def _ranked(values: DataFrame, column: str) -> DataFrame:
+    """(column, rank) of the distinct values of a column without nulls: ranks within blocks between quantiles, and the blocks' totals carried on."""
+    distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
+    n = min(RANK_BLOCKS, distinct.count() // RANK_BLOCK)
+    cuts = distinct.agg(F.percentile_approx(column, [(i + 1) / (n + 1) for i in range(n)], 10_000).alias("q")).first().q if n else []
+    block = F.lit(0) if not cuts else sum((F.col(column) > c).cast("int") for c in sorted(set(cuts)))
+    held = distinct.withColumn("block", block)
+    before = held.groupBy("block").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("block")) - F.col("n")).drop("n")
+    here = F.row_number().over(Window.partitionBy("block").orderBy(column))
+    return held.withColumn("here", here).join(F.broadcast(before), "block").select(column, (F.col("before") + F.col("here") - 1).alias("rank"))
+
+
 def cindex(rows: DataFrame, time: str, event: str, risk: str) -> DataFrame:
-    """Harrell's concordance within rows of a small table of distinct (time, event, risk): an event at t is compared with all later times, and with censored rows of the same time."""
-    a = rows.where(F.col(event)).select(F.col(time).alias("t"), F.col(risk).alias("r"))
-    b = rows.select(F.col(time).alias("u"), F.col(event).alias("e"), F.col(risk).alias("q"))
-    pairs = a.join(b, (F.col("t") < F.col("u")) | ((F.col("t") == F.col("u")) & ~F.col("e")))
-    won = F.when(F.col("r") > F.col("q"), 1.0).when(F.col("r") == F.col("q"), 0.5).otherwise(0.0)
-    return pairs.agg(F.round(F.sum(won) / F.count("*"), 6).alias("cindex"), F.count("*").alias("n_pairs"))
+    """Harrell's concordance over all rows: an event at t is compared with all later times, and with censored rows of the same time.
+
+    No pairs are made. Of two places in the order of time (at one time, events
+    first) the earlier has 0 and the later 1 in the highest bit in which they
+    differ; so for each bit, and all higher ones alike, the rows with 1 of lower and
+    of equal risk are counted for the events with 0, in blocks of risks whose totals
+    are carried on.
+    """
+    source = rows.where(F.col(time).isNotNull()).select(F.col(time).alias("t"), F.coalesce(F.col(event), F.lit(False)).alias("e"), F.col(risk).alias("r"), (~F.col(event)).alias("censored"))
+    times = _ranked(source, "t").withColumnRenamed("rank", "k")
+    risks = _ranked(source, "r").withColumnRenamed("rank", "q")
+    place = F.col("k") * 2 + F.coalesce("censored", F.lit(False)).cast("int")
+    placed = source.join(times, "t").join(risks, "r", "left").groupBy(place.alias("place"), "q").agg(F.count("*").alias("n"), F.sum(F.col("e").cast("long")).alias("events"))
+    bits = max(1, (2 * source.select("t").distinct().count()).bit_length())
+    level = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    late = F.expr("shiftright(place, bit) & 1") == 1
+    keys = ["bit", "over"]
+    sides = level.withColumn("over", F.expr("shiftright(place, bit + 1)")).groupBy(*keys, "q").agg(F.sum(F.when(late, F.col("n")).otherwise(0)).alias("later"), F.sum(F.when(late, 0).otherwise(F.col("events"))).alias("asking"))
+    sides = sides.withColumn("block", F.floor(F.col("q") / RANK_BLOCK))
+    blocks = sides.groupBy(*keys, "block").agg(F.sum("later").alias("sum"))
+    every = Window.partitionBy(*keys)
+    carried = blocks.select(*keys, F.col("block").alias("of"), (F.sum("sum").over(every.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")).alias("under"), F.sum("sum").over(every).alias("all"), F.sum(F.when(F.col("block").isNull(), F.col("sum")).otherwise(0)).over(every).alias("unknown"))
+    within = F.sum("later").over(Window.partitionBy(*keys, "block").orderBy("q").rowsBetween(Window.unboundedPreceding, 0)) - F.col("later")
+    counted = sides.withColumn("within", within).alias("s").join(carried.alias("c"), (F.col("s.bit") == F.col("c.bit")) & (F.col("s.over") == F.col("c.over")) & F.col("block").eqNullSafe(F.col("of")))
+    twice = F.when(F.col("q").isNull(), 0).otherwise(F.col("asking") * (2 * (F.col("within") + F.col("under") - F.col("unknown")) + F.col("later")))
+    totals = counted.agg(F.sum(twice).alias("won"), F.coalesce(F.sum(F.col("asking") * F.col("all")), F.lit(0)).alias("n_pairs"))
+    return totals.select(F.round(F.when(F.col("n_pairs") > 0, F.col("won") / 2 / F.col("n_pairs")), 6).alias("cindex"), "n_pairs")
 
 
 def bce_loss(logit: Column, label: Column) -> Column:

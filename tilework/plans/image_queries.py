@@ -31,6 +31,11 @@ def missing_patches(spark, d):
     return expected.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_patches_all(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 @query("SELECT image_id, label, round(e0, 6) AS e0 FROM features JOIN (SELECT p_partkey AS image_id FROM part) USING (image_id)")
 def feature_lookup(spark, d):
     wanted = table(spark, d, "part").select(F.col("p_partkey").alias("image_id"))

@@ -197,6 +197,17 @@ def label_right_join(spark, d):
     return docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "right")
 
 
+@query("SELECT doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d FULL OUTER JOIN labels l USING (doc_id)")
+def outer_join_chain_all(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id", "lang", "n_chars"), table(spark, d, "labels")
+    return cohorts.merge_chain([docs, labels.select("doc_id", "quality"), labels.select("doc_id", "toxic")], ["doc_id", "doc_id"], ["full_outer", "full_outer"])
+
+
+@query("SELECT doc_id, d.lang, l.quality FROM documents d RIGHT JOIN labels l USING (doc_id)")
+def label_right_join_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "right")
+
+
 @query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id) WHERE lang IN ('de', 'en')")
 def cohort_union_dropna(spark, d):
     joined = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -387,6 +398,11 @@ def cindex(spark, d):
     return metrics.cindex(clinical(spark, d).where("center < 2"), "time", "event", "risk")
 
 
+@query("SELECT round(sum(CASE WHEN a.risk > b.risk THEN 1.0::DOUBLE WHEN a.risk = b.risk THEN 0.5 ELSE 0 END) / count(*), 6) AS cindex, count(*) AS n_pairs FROM clinical a JOIN clinical b ON a.event AND (a.time < b.time OR (a.time = b.time AND NOT b.event))")
+def cindex_all(spark, d):
+    return metrics.cindex(clinical(spark, d), "time", "event", "risk")
+
+
 @query("SELECT class, count_if(p = class AND label = class) AS tp, count_if(p = class AND label <> class) AS fp, count_if(p <> class AND label = class) AS fn, round(2 * count_if(p = class AND label = class)::DOUBLE / (2 * count_if(p = class AND label = class) + count_if(p = class AND label <> class) + count_if(p <> class AND label = class)), 6) AS f1 FROM (SELECT label, CAST(image_id % 10 AS INT) AS p, unnest(list_distinct([label, CAST(image_id % 10 AS INT)])) AS class FROM features) GROUP BY class")
 def per_class_f1(spark, d):
     return metrics.class_scores(features(spark, d).select("label", (F.col("image_id") % 10).cast("int").alias("prediction")))
