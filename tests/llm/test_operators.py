@@ -179,10 +179,55 @@ def test_merge_dropout(docs, empty):
     assert np.frombuffer(plain.encode(text), "<u2").tolist() == sp.encode(text)
     made = {varied.encode(text, k) for k in range(20)}
     assert len(made) > 5 and {varied.decode(x) for x in made} == {text}
+    words = {varied.encode("segmentation", k) for k in range(500)}
+    assert len(words) > 20  # every occurrence draws by itself
     back = merge_dropout.decode(merge_dropout.encode(docs)).select("text", "decoded").collect()
     assert all(r.text == r.decoded for r in back)
 
 
+def agenda(coded, sp, part, key):
+    """Plain merge dropout of one part: the best candidate of all, skipped ones put aside until a neighbour changes."""
+    pieces, aside = [(i, c) for i, c in enumerate(part)], set()
+    while True:
+        found = []
+        for (i, a), (j, b) in zip(pieces, pieces[1:]):
+            k = sp.piece_to_id(a + b)
+            if (i, a, b) not in aside and k != sp.unk_id() and sp.id_to_piece(k) == a + b:
+                found.append((-sp.get_score(k), i, a, b, k))
+        if not found:
+            return [p for _, p in pieces]
+        _, i, a, b, k = min(found)
+        x = (key ^ ((i * 0x9E3779B1 + k * 0x85EBCA77) % 2**64)) * 0xC2B2AE3D27D4EB4F % 2**64
+        if ((x ^ (x >> 29)) * 0x165667B19E3779F9 >> 32) % 2**32 < int(0.3 * 2**32):
+            aside.add((i, a, b))
+            continue
+        at = [p for p, _ in pieces].index(i)
+        pieces[at : at + 2] = [(i, a + b)]
+
+
+def test_merge_dropout_equals_a_plain_agenda():
+    path = merge_dropout.default_path()
+    sp, coded = sentencepiece.SentencePieceProcessor(model_file=path), merge_dropout.MergeDropout(path, 0.3, 5)
+    rng = np.random.default_rng(2)
+    parts = ["▁the", "▁segmentation", "▁Überraschung", "12345", "▁a", "..."] + ["▁" + "".join(rng.choice(list("aeinrst"), int(rng.integers(1, 20)))) for _ in range(60)]
+    for part in parts:
+        keys = rng.integers(0, 2**63, 12).astype("u8")
+        got = coded.merge_many([part] * 12, keys)
+        for key, ids in zip(keys.tolist(), got, strict=True):
+            want = coded._serialized(agenda(coded, sp, part, key))
+            assert ids == want == coded._serialized(coded.merge(part, key))
+
+
+def test_merge_dropout_memory_changes_nothing(monkeypatch):
+    path, texts = merge_dropout.default_path(), [LONG, "Hello, World! " * 30, "  two  spaces ▁ x", "ab" * 40_000, ""]
+    kept = merge_dropout.MergeDropout(path, 0.1, 7)
+    first = [kept.encode_many(texts, [1, 2, 3, 4, 5]) for _ in range(4)]
+    monkeypatch.setattr(merge_dropout, "NODES_KEPT", 0)
+    monkeypatch.setattr(merge_dropout, "PARTS_KEPT", 0)
+    assert kept.n_nodes > 0 and all(x == merge_dropout.MergeDropout(path, 0.1, 7).encode_many(texts, [1, 2, 3, 4, 5]) for x in first)
+    assert [kept.decode(x) for x in first[0]] == texts
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, d[::-1]))) % 10 == 0
 
