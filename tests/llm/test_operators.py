@@ -136,9 +136,51 @@ def test_ppm(docs, empty):
     assert all(r.held_out == held(r.doc_id) and r.score < 0 for r in rows) and lm.score(empty).count() == 0
 
 
-def test_ppm_probabilities_sum_to_one(spark, docs):
-    rows = docs.selectExpr("coalesce(text, '') as text", "false as held_out")
-    assert np.allclose((10.0 ** lm.build_trie(lm.count_grams(rows)).log10.astype("f8")).sum(1), 1, atol=1e-4)
+def plain_ppm(train, text):
+    """log10 probability of a text and its end, by method C with exclusions, from counts of every context."""
+    counts = defaultdict(Counter)
+    for t in train:
+        s = bytes([lm.BEGIN] * lm.ORDER) + t + bytes([lm.END])
+        for i in range(lm.ORDER, len(s)):
+            for k in range(lm.ORDER + 1):
+                counts[s[i - k : i]][s[i]] += 1
+    s, out = bytes([lm.BEGIN] * lm.ORDER) + text + bytes([lm.END]), 0.0
+    for i in range(lm.ORDER, len(s)):
+        excluded, p = set(), 1.0
+        for k in range(lm.ORDER, -1, -1):
+            here = {b: n for b, n in counts.get(s[i - k : i], {}).items() if b not in excluded}
+            if not here:
+                continue
+            escape = len(here) if len(here) < 256 - len(excluded) else 0
+            total = sum(here.values()) + escape
+            if s[i] in here:
+                p *= here[s[i]] / total
+                break
+            p *= escape / total
+            excluded |= set(here)
+        else:
+            p /= max(1, 256 - len(excluded))
+        out += math.log10(p)
+    return out
+
+
+def test_ppm_scores_equal_a_plain_model(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab cdÄ\n"), int(rng.integers(0, 60)), p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05])) for _ in range(60)] + ["", None, "zebra quux", "日本語", LONG]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    low = [(t or "").encode().lower() for t in texts]
+    train = [t for i, t in enumerate(low) if binascii.crc32(str(i).encode()) % 7 != 2]
+    want = {i: plain_ppm(train, t) for i, t in enumerate(low)}
+    for block, step in ((lm.BLOCK_BYTES, lm.STEP), (300, 50)):
+        monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+        monkeypatch.setattr(lm, "STEP", step)
+        got = {r.doc_id: r.score for r in lm.score(frame).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_ppm_without_training_text(spark):
+    one = spark.createDataFrame([(next(i for i in range(99) if binascii.crc32(str(i).encode()) % 7 == 2), "abc")], "doc_id long, text string")
+    assert abs(lm.score(one).first().score + 4 * math.log10(256)) < 1e-9
 
 
 def test_packing(docs, empty):

@@ -1,38 +1,39 @@
 """Scores of two language models learnt from the corpus: words alone, and prediction by partial matching over bytes.
 
-The byte model is a trie of contexts of up to ORDER bytes. A context predicts
-the bytes seen after it, and escapes (method C: its number of different
-followers against all it saw) to the context one byte shorter, where the bytes
-already ruled out are excluded; below the empty context all bytes left are
-alike. Contexts of full order are kept if they are at least one in
-CONTEXTS_KEPT of all positions, so the model's size is bounded whatever the
-corpus; counts are taken over all of it. Every text ends with the byte END and
-begins after the byte BEGIN, neither of which is valid in UTF-8.
+The byte model is a trie of contexts of up to ORDER bytes, kept as two tables:
+how often each byte follows each context, and each context's totals. All
+contexts of all training texts are in them, so they grow with the corpus; no
+worker ever holds them. A context predicts the bytes seen after it, and escapes
+(method C: its number of different followers against all it saw) to the context
+one byte shorter, where the bytes already ruled out are excluded; below the
+empty context all bytes left are alike. Every text ends with the byte END and
+begins after ORDER bytes BEGIN, neither of which is valid in UTF-8.
+
+Texts are dealt in blocks of about BLOCK_BYTES. A block asks for each of its
+different words and grams (a context and the byte after it) once; joins answer
+with their probabilities, and a block meets its own answers only.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_of
 
-ORDER = 3
+ORDER = 4
 BEGIN, END = 0xFE, 0xFF
-#: Contexts of ORDER bytes kept at most (those of at least that share); shorter ones are at most 256 ** 2 + 256 + 1.
-CONTEXTS_KEPT = 30_000
-#: A word is frequent if it is at least one in so many of all words; so many are broadcast at most, the others are joined.
-FREQUENT_WORDS = 500_000
-#: Different words, or grams, that a task holds before it passes its counts on.
-HELD = 200_000
-GRAMS_HELD = 1 << 22
+BLOCK_BYTES = 8 << 20
+#: Positions whose grams are made at once; longer words go by a digest, led by a space, which no word has.
+STEP, WORD_BYTES = 1 << 21, 64
 MODULUS, HELD_OUT = 7, 2
 
 
@@ -45,186 +46,198 @@ def _lower(text: str) -> bytes:
     return text.encode().lower()
 
 
-def symbols(text: bytes) -> np.ndarray:
-    """BEGIN three times, the bytes, END."""
-    out = np.full(len(text) + ORDER + 1, BEGIN, "u1")
-    out[ORDER:-1] = np.frombuffer(text, "u1")
-    out[-1] = END
+def _words(data: bytes) -> list[bytes]:
+    words = data.split()
+    if len(data) > WORD_BYTES and max(map(len, words), default=0) > WORD_BYTES:
+        words = [w if len(w) <= WORD_BYTES else b" " + xxhash.xxh128_digest(w) for w in words]
+    return words
+
+
+def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts, each after ORDER times BEGIN and with END, and where each begins in that."""
+    lead, tail = bytes([BEGIN] * ORDER), bytes([END])
+    sizes = np.fromiter(map(len, texts), "i8", len(texts)) + ORDER + 1
+    return np.frombuffer(b"".join([x for t in texts for x in (lead, t, tail)]), "u1"), np.cumsum(sizes) - sizes
+
+
+def grams(stream: np.ndarray, first: int, last: int) -> np.ndarray:
+    """For each position from first to last: the ORDER bytes before it and its own, as one number; first is at least ORDER."""
+    s = stream[first - ORDER : last].astype("i8")
+    out = s[: last - first]
+    for k in range(1, ORDER + 1):
+        out = (out << 8) | s[k : k + last - first]
     return out
 
 
-def grams(stream: np.ndarray) -> np.ndarray:
-    """Each position's context of three bytes and the byte itself, as one 32-bit number."""
-    s = stream.astype("u4")
-    return (s[:-3] << 24) | (s[1:-2] << 16) | (s[2:-1] << 8) | s[3:]
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Adds `block` to (doc_id, text, held_out): about BLOCK_BYTES of neighbouring texts, or one longer text, have one number."""
+
+    def add(batches):
+        at, base = 0, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype("i8") + 16
+            ends = at + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + (ends - sizes) // BLOCK_BYTES)], [*batch.schema.names, "block"])
+            at = int(ends[-1]) if len(ends) else at
+
+    return rows.mapInArrow(add, "doc_id long, text string, held_out boolean, block long")
 
 
 # -- training ---------------------------------------------------------------
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, trained, total) from docs (text, held_out): over all texts; '' is the end, once a text."""
+class _Block:
+    """What the texts of one block ask for, and what its training texts teach."""
+
+    def __init__(self):
+        self.words: dict[bool, Counter] = {False: Counter(), True: Counter()}
+        self.codes, self.counts = np.zeros(0, "i8"), np.zeros(0, "i8")
+        self.waiting: list[bytes] = []
+        self.waiting_held: list[bool] = []
+        self.size = 0
+
+    def add(self, data: bytes, held: bool) -> None:
+        self.words[held].update(_words(data))
+        self.words[held][b""] += 1
+        self.waiting.append(data)
+        self.waiting_held.append(held)
+        self.size += len(data)
+        if self.size >= STEP:
+            self._count()
+
+    def _count(self) -> None:
+        for held in (False, True):
+            stream, _ = _stream([d for d, h in zip(self.waiting, self.waiting_held, strict=True) if h == held])
+            for at in range(ORDER, len(stream), STEP):
+                to = min(at + STEP, len(stream))
+                found, n = np.unique(grams(stream, at, to)[stream[at:to] != BEGIN], return_counts=True)
+                codes, where = np.unique(np.concatenate([self.codes, found]), return_inverse=True)
+                self.counts = np.bincount(where, np.concatenate([self.counts, n * (not held)]), len(codes)).astype("i8")
+                self.codes = codes
+        self.waiting, self.waiting_held, self.size = [], [], 0
+
+    def asked(self, block: int):
+        """Batches (block, code, word, trained, total); the end of a text is the word ''."""
+        if self.waiting:
+            self._count()
+        names = ["block", "code", "word", "trained", "total"]
+        for at in range(0, len(self.codes), 1 << 17):
+            c, n = self.codes[at : at + (1 << 17)], self.counts[at : at + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), block)), pa.array(c), pa.nulls(len(c), pa.binary()), pa.array(n), pa.array(n)], names)
+        taught, held = self.words[False], self.words[True]
+        words = list(taught.keys() | held.keys())
+        for at in range(0, len(words), 1 << 16):
+            some = words[at : at + (1 << 16)]
+            n = np.array([taught[w] for w in some], "i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.nulls(len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(n), pa.array(n + np.array([held[w] for w in some], "i8"))], names)
+
+
+def asked(blocks: DataFrame) -> DataFrame:
+    """(block, code, word, trained, total): each block's different grams (code) and words, with their numbers in its training texts and in all."""
 
     def count(batches):
-        found: dict[bool, Counter] = {False: Counter(), True: Counter()}
+        now, block = None, None
+        for batch in batches:
+            for text, held, b in zip(batch.column("text"), batch.column("held_out").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if b != block:
+                    if now is not None:
+                        yield from now.asked(block)
+                    now, block = _Block(), b
+                now.add(_lower(text.as_py() or ""), held)
+        if now is not None:
+            yield from now.asked(block)
 
-        def out():
-            words = list(found[False].keys() | found[True].keys())
-            trained = [found[False][w] for w in words]
-            total = [a + found[True][w] for a, w in zip(trained, words, strict=True)]
-            found[False].clear()
-            found[True].clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(trained, pa.int64()), pa.array(total, pa.int64())], ["word", "trained", "total"])
+    return blocks.select("text", "held_out", "block").mapInArrow(count, "block long, code long, word binary, trained long, total long")
 
-        for batch in batches:
-            for text, held in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found[held].update(_lower(text.as_py()).split())
-                found[held][b""] += 1
-                if len(found[False]) + len(found[True]) > HELD:
-                    yield out()
-        yield out()
 
-    return docs.select("text", "held_out").mapInArrow(count, "word binary, trained long, total long").groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("total").alias("total"))
+def _suffix(code: Column, n: int) -> Column:
+    """The last n bytes of a gram."""
+    return code.bitwiseAND(F.lit((1 << 8 * n) - 1))
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(context, symbol, n) from docs (text, held_out): how often each byte follows each three bytes in training texts."""
+def count_trie(grams_counted: DataFrame) -> DataFrame:
+    """(k, code, n) out of (code, n): how often each byte follows each context of k bytes, k from 0 to ORDER."""
+    levels = F.array(*[F.struct(F.lit(k).alias("k"), _suffix(F.col("code"), k + 1).alias("code")) for k in range(ORDER + 1)])
+    return grams_counted.where("n > 0").select("n", F.inline(levels)).groupBy("k", "code").agg(F.sum("n").alias("n"))
 
-    def count(batches):
-        codes, counts, waiting, size = np.zeros(0, "u4"), np.zeros(0, "i8"), [], 0
-
-        def merged(final: bool):
-            nonlocal codes, counts, waiting, size
-            new, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.zeros(0, "u4"), np.zeros(0, "i8"))
-            both, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            codes, counts = both, np.bincount(where, np.concatenate([counts, n]), len(both)).astype("i8")
-            waiting, size = [], 0
-            if final or len(codes) > GRAMS_HELD:
-                batch = pa.RecordBatch.from_arrays([pa.array((codes >> 8).astype("i4")), pa.array((codes & 255).astype("i2")), pa.array(counts)], ["context", "symbol", "n"])
-                codes, counts = np.zeros(0, "u4"), np.zeros(0, "i8")
-                yield batch
 
-        for batch in batches:
-            for text, held in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                if not held:
-                    waiting.append(grams(symbols(_lower(text.as_py()))))
-                    size += len(waiting[-1])
-                    if size > GRAMS_HELD:
-                        yield from merged(False)
-        yield from merged(True)
-
-    return docs.select("text", "held_out").mapInArrow(count, "context int, symbol smallint, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Trie:
-    """Contexts and what they predict. contexts: three bytes as a number, one each row of log10 (rows x 256); shorter: for each two bytes the row to take otherwise."""
-
-    contexts: np.ndarray
-    pairs: np.ndarray
-    ones: np.ndarray
-    log10: np.ndarray  # rows: contexts, pairs, ones, the empty context
-
-    def rows(self) -> np.ndarray:
-        """The row of every three bytes: 2 ** 24 entries."""
-        n3, n2, n1 = map(len, (self.contexts, self.pairs, self.ones))
-        one = np.full(256, n3 + n2 + n1, "i4")
-        one[self.ones] = n3 + n2 + np.arange(n1)
-        two = np.tile(one, 256)
-        two[self.pairs] = n3 + np.arange(n2)
-        out = np.tile(two, 256)
-        out[self.contexts] = np.arange(n3)
-        return out
-
-
-def _predictions(counts: np.ndarray, shorter: np.ndarray, shorter_counts: np.ndarray) -> np.ndarray:
-    """log10 probabilities of contexts (rows of counts), with escapes to and exclusions in the chain of shorter contexts.
-
-    shorter: for each row, the rows of its shorter contexts (longest first) in shorter_counts; -1 where there is none.
-    """
-    rows = len(counts)
-    out, escaped, excluded = np.full((rows, 256), -np.inf), np.zeros(rows), np.zeros((rows, 256), bool)
-    for level in range(shorter.shape[1] + 1):
-        here = counts if level == 0 else np.where(shorter[:, level - 1, None] >= 0, shorter_counts[shorter[:, level - 1]], 0)
-        c = np.where(excluded, 0, here)
-        total, kinds = c.sum(1), (c > 0).sum(1)
-        left = 256 - excluded.sum(1)
-        escapes = np.where(kinds < left, kinds, 0)  # if all bytes are here, nothing is left to escape to
-        whole = np.maximum(total + escapes, 1)
-        with np.errstate(divide="ignore"):
-            out = np.where(c > 0, escaped[:, None] + np.log10(c / whole[:, None]), out)
-            escaped = np.where(kinds > 0, escaped + np.log10(escapes / whole), escaped)
-        excluded |= c > 0
-    left = np.maximum(256 - excluded.sum(1), 1)
-    return np.where(excluded, out, (escaped - np.log10(left))[:, None])
-
-
-def build_trie(grams_counted: DataFrame) -> Trie:
-    """The trie of the counts: Spark sums the shorter contexts and finds the frequent ones; the driver gets what is kept.
-
-    That is at most (CONTEXTS_KEPT + 256 ** 2 + 256 + 1) * 256 counts, of which texts in natural languages use a few hundredths.
-    """
-    total = grams_counted.agg(F.sum("n")).first()[0] or 0
-    kept = grams_counted.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") * CONTEXTS_KEPT >= F.lit(total)).select("context")
-    top = grams_counted.join(F.broadcast(kept), "context").orderBy("context", "symbol").toArrow()
-    two = grams_counted.groupBy((F.col("context").bitwiseAND(F.lit(0xFFFF))).alias("context"), "symbol").agg(F.sum("n").alias("n")).orderBy("context", "symbol").toArrow()
-
-    def table(found: pa.Table, low: int) -> tuple[np.ndarray, np.ndarray]:
-        context, where = np.unique(found.column("context").to_numpy() & low, return_inverse=True)
-        out = np.zeros((len(context), 256))
-        np.add.at(out, (where, found.column("symbol").to_numpy()), found.column("n").to_numpy())
-        return context, out
-
-    pairs, two_counts = table(two, 0xFFFF)
-    ones, one_counts = table(two, 0xFF)
-    empty = one_counts.sum(0, keepdims=True)
-    below = np.concatenate([two_counts, one_counts, empty])
-    at2 = np.full(65_536, -1)
-    at2[pairs] = np.arange(len(pairs))
-    at1 = np.full(256, -1)
-    at1[ones] = len(pairs) + np.arange(len(ones))
-    last = len(below) - 1
-
-    def predict(context: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
-        chain = [at2[context & 0xFFFF], at1[context & 0xFF], np.full(len(context), last)][ORDER - order :]
-        chain = np.stack(chain, 1) if chain else np.zeros((len(context), 0), int)
-        parts = [_predictions(counts[k : k + 4096], chain[k : k + 4096], below).astype("f4") for k in range(0, len(context), 4096)]
-        return np.concatenate(parts) if parts else np.zeros((0, 256), "f4")
-
-    contexts = np.unique(top.column("context").to_numpy())
-    top_parts = []
-    codes, symbol, n = (top.column(c).to_numpy() for c in ("context", "symbol", "n"))
-    for k in range(0, len(contexts), 4096):
-        part = contexts[k : k + 4096]
-        lo, hi = np.searchsorted(codes, [part[0], part[-1] + 1])
-        counts = np.zeros((len(part), 256))
-        counts[np.searchsorted(part, codes[lo:hi]), symbol[lo:hi]] = n[lo:hi]
-        top_parts.append(predict(part, counts, 3))
-    rows = [*top_parts, predict(pairs, two_counts, 2), predict(ones, one_counts, 1), predict(np.zeros(1, "i8"), empty, 0)]
-    return Trie(contexts, pairs, ones, np.concatenate(rows))
+def contexts_of(trie: DataFrame) -> DataFrame:
+    """(k, context, seen, kinds, below): how often each context was seen, its different followers, and how often those followed the context one byte shorter."""
+    shorter = trie.select((F.col("k") + 1).alias("k"), F.col("code").alias("end"), F.col("n").alias("m"))
+    mask = F.shiftleft(F.lit(1).cast("long"), 8).cast("long")
+    for k in range(2, ORDER + 1):
+        mask = F.when(F.col("k") == k, F.lit(1 << 8 * k)).otherwise(mask)
+    with_end = trie.withColumn("end", F.when(F.col("k") > 0, F.col("code").bitwiseAND(mask - 1)).otherwise(F.lit(-1)))
+    return with_end.join(shorter, ["k", "end"], "left").groupBy("k", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"), F.coalesce(F.sum("m"), F.lit(0)).alias("below"))
 
 
-# -- scoring ----------------------------------------------------------------
+def _escapes(kinds: Column, left: Column) -> Column:
+    """The weight of an escape: none where all bytes that are left are among the followers."""
+    return F.when(kinds < left, kinds).otherwise(F.lit(0))
 
 
-_models: dict[str, tuple] = {}
+def probabilities(codes: DataFrame, trie: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(code, log10) of each of `codes` (code, n): by its longest context where it was seen (n > 0), else down the chain of escapes."""
+    at = lambda k: contexts.where(F.col("k") == k).drop("k")
+    top = codes.join(at(ORDER), F.shiftright("code", 8) == F.col("context"), "left").drop("context")
+    seen = top.where("n > 0").select("code", F.log10(F.col("n") / (F.col("seen") + _escapes(F.col("kinds"), F.lit(256)))).alias("log10"))
+    # Of bytes not found yet: log10 of the escapes, followers excluded, and how often those followed the next shorter context.
+    out = top.where("n = 0").select(
+        "code", F.lit(None).cast("double").alias("found"), F.coalesce(F.log10(_escapes(F.col("kinds"), F.lit(256)) / (F.col("seen") + _escapes(F.col("kinds"), F.lit(256)))), F.lit(0.0)).alias("escaped"),
+        F.coalesce("kinds", F.lit(0)).alias("excluded"), F.coalesce("below", F.lit(0)).alias("ruled_out"),
+    )
+    for k in range(ORDER - 1, -1, -1):
+        here, followers = at(k), trie.where(F.col("k") == k).select(F.col("code").alias("gram"), "n")
+        if k < 2:  # at most 256 contexts and 65,536 grams
+            here, followers = F.broadcast(here), F.broadcast(followers)
+        met = out.join(here, F.shiftright(_suffix(F.col("code"), k + 1), 8) == F.col("context"), "left").join(followers, _suffix(F.col("code"), k + 1) == F.col("gram"), "left")
+        kinds, total = F.coalesce("kinds", F.lit(0)) - F.col("excluded"), F.coalesce("seen", F.lit(0)) - F.col("ruled_out")
+        escapes = _escapes(kinds, 256 - F.col("excluded"))
+        known = F.when(F.col("found").isNotNull(), F.col("found")).when(F.col("n").isNotNull(), F.col("escaped") + F.log10(F.col("n") / (total + escapes)))
+        out = met.select(
+            "code", known.alias("found"), (F.col("escaped") + F.when(kinds > 0, F.log10(escapes / (total + escapes))).otherwise(0.0)).alias("escaped"),
+            F.coalesce("kinds", "excluded").alias("excluded"), F.coalesce("below", F.lit(0)).alias("ruled_out"),
+        )
+    rest = out.select("code", F.coalesce("found", F.col("escaped") - F.log10(F.greatest(256 - F.col("excluded"), F.lit(1)))).alias("log10"))
+    return seen.unionByName(rest)
 
 
-def _loaded(model_id: str, broadcast) -> tuple:
-    """The model, expanded once a worker."""
-    if model_id not in _models:
-        _models.clear()
-        trie, words = broadcast.value
-        _models[model_id] = trie.rows(), trie.log10.reshape(-1), words
-    return _models[model_id]
+# -- scoring ----------------------------------------------------------------
 
 
-def code_length(stream: np.ndarray, rows: np.ndarray, log10: np.ndarray) -> float:
-    """log10 probability of symbols(text): its last bytes of context choose a row, the row the probability."""
-    out = 0.0
-    for at in range(0, len(stream) - ORDER, 1 << 20):
-        g = grams(stream[at : at + (1 << 20) + ORDER])
-        out += float(log10[rows[g >> 8].astype("i8") * 256 + (g & 255)].sum(dtype="f8"))
+class _Answers:
+    """A block's grams and their log10, looked up by arrays of grams: most by a table of slots, others by bisection."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.values = codes[order], values[order]
+        self.shift = np.uint64(64 - max(8, (4 * len(codes)).bit_length()))
+        slots = self._slots(self.codes)
+        self.table = np.full(1 << int(64 - self.shift), -1, "i8")
+        self.table[slots] = np.arange(len(slots))
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (codes.view("u8") * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype("i8")
+
+    def get(self, codes: np.ndarray) -> np.ndarray:
+        at = self.table[self._slots(codes)]
+        miss = np.flatnonzero(self.codes[at] != codes)
+        at[miss] = np.searchsorted(self.codes, codes[miss])
+        return self.values[at]
+
+
+def code_lengths(texts: list[bytes], answers: _Answers) -> np.ndarray:
+    """log10 probability of each text and its end."""
+    stream, starts = _stream(texts)
+    out = np.zeros(len(texts))
+    for at in range(ORDER, len(stream), STEP):
+        to = min(at + STEP, len(stream))
+        real = np.flatnonzero(stream[at:to] != BEGIN)
+        got = np.zeros(to - at)
+        got[real] = answers.get(grams(stream, at, to)[real])
+        first, last = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, to, "left")
+        out[first:last] += np.add.reduceat(got, np.maximum(starts[first:last] - at, 0))
     return out
 
 
@@ -232,60 +245,47 @@ def score(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of each row of docs, over whole texts.
 
     A null text counts as empty (its end is still scored), a null id as the text
-    ''; equal rows are scored once and come back as often as they were; other
-    columns are ignored; an empty table gives no rows. With no training text at
-    all every byte is as likely as any other.
+    ''; repeated rows are scored each; other columns are ignored; an empty table
+    gives no rows. With no training text at all every byte is as likely as any
+    other.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("held_out", is_held_out(F.col("doc_id"))).withColumn("key", F.xxhash64("text"))
-    words = saved(count_words(rows), "words")
-    n_train, v, n_all = (x or 0 for x in words.agg(F.sum("trained"), F.count_if(F.col("trained") > 0), F.sum("total")).first())
-    is_frequent = F.col("total") * FREQUENT_WORDS >= F.lit(n_all)
-    frequent = {bytes(r.word): math.log10(r.trained + 1) for r in words.where(is_frequent).select("word", "trained").collect()}
-    trie = build_trie(saved(count_grams(rows), "grams"))
-    model, model_id = docs.sparkSession.sparkContext.broadcast((trie, frequent)), uuid.uuid4().hex
-    names = ["doc_id", "key", "held_out", "word", "n", "known", "base", "ppm", "n_bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-
-    def parts(batches):
-        """For each document a row with the sums over its frequent words, under a word that no text has; then a row for each of its other words."""
-        place, log10, log_counts = _loaded(model_id, model)
-        get = log_counts.get
-
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
-
-        for batch in batches:
-            found = []
-            for doc_id, text, is_out, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data = _lower(text.as_py())
-                tokens = Counter(data.split())
-                tokens[b""] = 1
-                known, base = 0, 0.0
-                for word, times in tokens.items():
-                    c = get(word)
-                    if c is None:
-                        found.append((doc_id, key, None, word, times, None, None, None, None))
-                    elif c:
-                        known += times
-                        base += times * c
-                found.append((doc_id, key, is_out, b" " + key.to_bytes(8, "big", signed=True), tokens.total(), known, base, code_length(symbols(data), place, log10), len(data)))
-                if len(found) > 50_000:
-                    yield batch_of(found)
-                    found = []
-            if found:
-                yield batch_of(found)
-
-    split = rows.mapInArrow(parts, "doc_id long, key long, held_out boolean, word binary, n long, known long, base double, ppm double, n_bytes long")
-    met = split.join(words.where(~is_frequent).select("word", "trained"), "word", "left")
-    head = F.col("ppm").isNotNull()
-    rare = F.when(~head & (F.col("trained") > 0), F.col("n")).otherwise(0)
-    whole = met.groupBy("doc_id", "key").agg(
-        F.count_if(head).alias("m"), F.max("held_out").alias("held_out"), F.sum(F.when(head, F.col("n"))).alias("n"),
-        F.sum(F.when(head, F.col("known")).otherwise(rare)).alias("known"), F.sum(F.when(head, F.col("base")).otherwise(F.col("n") * F.log10(F.coalesce("trained", F.lit(0)) + 1))).alias("base"),
-        F.max("ppm").alias("ppm"), F.max("n_bytes").alias("n_bytes"),
-    )
-    per = lambda c: F.col(c) / F.col("m")
-    return whole.select(
-        "doc_id", "held_out", per("n").cast("long").alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (per("base") - per("n") * F.lit(math.log10(n_train + v + 1))).alias("base_score"), F.col("ppm").alias("score"), "n_bytes", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("copy"),
-    ).drop("copy")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("held_out", is_held_out(F.col("doc_id")))
+    blocks = saved(in_blocks(rows), "blocks")
+    wanted = saved(asked(blocks), "asked")
+    of_words, of_grams = wanted.where("word is not null"), wanted.where("word is null")
+    words = saved(of_words.groupBy("word").agg(F.sum("trained").alias("trained")), "words")
+    n_train, v = (x or 0 for x in words.agg(F.sum("trained"), F.count_if(F.col("trained") > 0)).first())
+    codes = saved(of_grams.groupBy("code").agg(F.sum("trained").alias("n")), "grams")
+    trie = saved(count_trie(codes), "trie")
+    values = saved(probabilities(codes, trie, saved(contexts_of(trie), "contexts")), "probabilities")
+    answers = of_grams.select("block", "code").join(values, "code").select("block", "code", F.lit(None).cast("binary").alias("word"), F.col("log10").alias("value"))
+    answers = answers.unionByName(of_words.select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("code"), "word", F.log10(F.col("trained") + 1).alias("value")))
+    share = math.log10(n_train + v + 1)
+
+    def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+        is_word = found.column("word").is_valid()
+        by_word = found.filter(is_word)
+        get = dict(zip(by_word.column("word").to_pylist(), by_word.column("value").to_pylist(), strict=True)).__getitem__
+        by_code = found.filter(pc.invert(is_word))
+        known = _Answers(by_code.column("code").to_numpy(), by_code.column("value").to_numpy())
+        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "n_bytes": []}
+        scores, waiting, size = [], [], 0
+        for text in texts.column("text"):
+            data = _lower(text.as_py() or "")
+            logs = [*map(get, _words(data)), get(b"")]
+            out["n_tokens"].append(len(logs))
+            out["n_known"].append(len(logs) - logs.count(0.0))
+            out["base_score"].append(math.fsum(logs) - len(logs) * share)
+            out["n_bytes"].append(len(data))
+            waiting.append(data)
+            size += len(data)
+            if size >= STEP:
+                scores.append(code_lengths(waiting, known))
+                waiting, size = [], 0
+        scores.append(code_lengths(waiting, known))
+        n = texts.num_rows
+        columns = {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": np.full(n, n_train), "base_score": out["base_score"], "score": np.concatenate(scores), "n_bytes": out["n_bytes"]}
+        return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v) for k, v in columns.items()})
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
