@@ -8,13 +8,15 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from tilework.llm import audio, lm, merge_dropout, packing, pii, quality, simhash, token_counts, token_files, warc
+from tilework.llm import audio, lm, merge_dropout, packing, pii, quality, simhash, simhash_pairs, token_counts, token_files, warc, words
 from tilework.llm.common import new_folder
 from tilework.llm.words import default_path
 
@@ -36,7 +38,6 @@ def empty(spark):
 
 def ids_of(text):
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -61,10 +62,53 @@ def test_audio(docs, empty):
         data = (text or "").encode()
         payload = data + b" " * (-len(data) % 192 if data else 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert bytes(audio.samples_of(r.media)) == payload and r.n_frames == len(payload) // 192
+        media = audio.wav(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert bytes(audio.samples_of(media)) == payload and r.n_frames == len(payload) // 192
+        table = pa.ipc.open_stream(bytes(r.tensors)).read_all()
+        kept = np.concatenate([np.array(x, "f4").reshape(-1, audio.BANDS)[:n] for x, n in zip(table.column("log_mel").combine_chunks().storage.to_pylist(), table.column("frames").to_pylist(), strict=True)])
+        mels, energy = plain_features(payload)
+        assert np.allclose(kept, mels, atol=2e-3) and np.allclose(r.mean_log_mel, mels.mean(0), atol=2e-3)
+        assert table.column("start_s").to_pylist() == [k * 16 * 192 / 12_000 for k in range(len(table))]
+        assert [(x.start_s, x.end_s) for x in r.segments] == [(a * 192 / 12_000, b * 192 / 12_000) for a, b in audio.segments(energy)]
     assert audio.document_audio(empty).count() == 0
 
 
+def plain_features(payload):
+    """Resampling by inserting zeros, filtering by convolution and dropping samples; then frame by frame."""
+    x = (np.frombuffer(payload, "u1").astype("f8") - 128) / 128
+    taps = audio.UP * audio.TAPS
+    k = np.arange(taps) - (taps - 1) / 2
+    cut = 0.5 / max(audio.UP, audio.DOWN) * 0.92
+    h = np.sinc(2 * cut * k) * np.hamming(taps)
+    for phase in range(audio.UP):
+        h[phase :: audio.UP] /= h[phase :: audio.UP].sum()
+    up = np.zeros(len(x) * audio.UP)
+    up[:: audio.UP] = x
+    whole = np.concatenate([np.convolve(up, h), np.zeros(4 * taps)])
+    lag = audio.UP * (audio.TAPS // 2 - 1)  # output t is led by half of the filter's inputs
+    y = np.concatenate([whole[lag :: audio.DOWN], np.zeros(audio.WINDOW)])
+    frames = -(-len(payload) // 192)
+    window = np.hanning(audio.WINDOW + 1)[:-1]
+    mels, energy = [], []
+    for f in range(frames):
+        w = y[f * audio.HOP : f * audio.HOP + audio.WINDOW] * window
+        spectrum = np.array([abs((w * np.exp(-2j * np.pi * b * np.arange(audio.WINDOW) / audio.WINDOW)).sum()) ** 2 for b in range(audio.WINDOW // 2 + 1)])
+        mels.append(np.log10(np.maximum(spectrum @ audio._mel(), 1e-10)))
+        energy.append(10 * np.log10(max((w**2).mean(), 1e-10)))
+    return np.array(mels), np.array(energy)
+
+
+def test_resampling_keeps_a_tone():
+    t = np.arange(12_000)
+    tone = np.round(128 + 100 * np.sin(2 * np.pi * 440 * t / 12_000)).astype("u1")
+    y = audio.resampled(tone, 0, 8000)[200:7800]
+    phase = 2 * np.pi * 440 * np.arange(len(y)) / 8000
+    basis = np.stack([np.sin(phase), np.cos(phase)], 1)
+    fit, *_ = np.linalg.lstsq(basis, y, rcond=None)
+    assert abs(np.hypot(*fit) - 100 / 128) < 0.01 and np.abs(basis @ fit - y).max() < 0.02
+
+
 def test_hysteresis():
     e = np.array([0, 0, 5, 0.2, 5, -3, 0, 0], "f4")
     assert audio.segments(e, 1.0, -0.5) == [(2, 5)]
@@ -109,6 +153,49 @@ def test_token_files(spark, docs, empty):
     assert token_files.round_trip(empty, new_folder(spark, "test")).count() == 0
 
 
+def test_dictionaries_are_trained_and_used(spark):
+    rng = np.random.default_rng(8)
+    lines = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "the", "of"], 12)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(lines, 12)) + f" {rng.integers(0, 10**9)}") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert token_files.train_dictionary(table)[:4] == bytes.fromhex("37a430ec")  # the magic number of a trained one
+    folder = new_folder(spark, "test")
+    for r in token_files.round_trip(table, folder).collect():
+        assert zlib.crc32(r.ids) == crc(ids_of(rows[r.doc_id][1]) + [1])
+    assert token_files.read_document(folder, 399).tolist() == ids_of(rows[399][1]) + [1]
+    pages = table.selectExpr("doc_id as page_id", "'u' as url", "concat('<html>', text, '</html>') as html", "1 as payload", "2 as first")
+    assert warc.train_dictionary(pages)[:4] == bytes.fromhex("37a430ec")
+    folder = new_folder(spark, "test")
+    files = warc.write_archives(pages, folder)
+    back = {r.page_id: r.payload_digest for r in warc.read_archives(spark, folder, files).collect()}
+    assert back == {i: base64.b32encode(hashlib.sha1(f"<html>{t}</html>".encode()).digest()).decode() for i, t in rows}
+    few = spark.createDataFrame([(1, "alone and short"), (2, "")], "doc_id long, text string")
+    assert len(token_files.train_dictionary(few)) > 0 and token_files.train_dictionary(few.limit(0)) == b""
+    assert {r.doc_id: r.n_tokens for r in token_files.round_trip(few, new_folder(spark, "test")).collect()} == {1: len(ids_of("alone and short")) + 1, 2: 1}
+
+
+def test_very_long_texts(spark):
+    """Five million characters in one text, through every operator on texts."""
+    unit = "Wort für Wort, word by word: 4111 1111 1111 1111 a.b@c.de <x> 12.5 \n"
+    text = unit * (5_000_000 // len(unit))
+    table = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    data, ids = text.encode(), ids_of(text)
+    assert token_counts.length_histogram(table).where("n_tokens > 1000").first().n_tokens == len(ids)
+    assert audio.document_audio(table).where("doc_id = 1").first().n_bytes == len(data)
+    assert quality.judge(table).where("doc_id = 1").first().n_words == len(data.split())
+    assert {r.doc_id: r.n_tokens for r in token_files.round_trip(table, new_folder(spark, "test")).collect()}[1] == len(ids) + 1
+    pages = table.selectExpr("doc_id as page_id", "'u' as url", "text as html")
+    folder = new_folder(spark, "test")
+    assert {r.page_id: r.payload_bytes for r in warc.read_archives(spark, folder, warc.write_archives(pages, folder)).collect()}[1] == len(data)
+    assert lm.score(table).where("doc_id = 1").first().n_tokens == len(data.split()) + 1
+    assert sum(r.length for r in packing.pack(table).where("doc_id = 1").collect()) == len(ids) + 1
+    assert all(r.lossless for r in merge_dropout.documents_round_trip(table).collect())
+    found = pii.report(table).where("doc_id = 1").first()
+    assert found.n_email == found.n_card == text.count("@") and pii.mask(table).where("doc_id = 1").first().text.count("<EMAIL>") == found.n_email
+    assert simhash.near_duplicates(table).where("doc_id = 1").first().fingerprint == f"{simhash.fingerprint(text):016x}"
+    assert simhash_pairs.keep_one(table).count() == 3
+
+
 def test_warc(spark):
     pages = [(3, "u3", "<p>same</p>"), (1, None, "<p>same</p>"), (2, "u2", None), (5, "u 5", ""), (7, "ü", "x" * 100_000), (1, None, "<p>same</p>")]
     table = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -200,17 +287,52 @@ def test_packing(docs, empty):
     assert sorted(bins) == list(range(len(bins))) and packing.pack(empty).count() == 0
 
 
-def test_column_generation_near_bound():
+def check_plan(demand, size):
+    plan = packing.make_plan(demand, size)
+    got = np.zeros_like(demand)
+    for p, times in plan.patterns:
+        assert times > 0 and sum(c * a for c, a in p.items()) <= size
+        for c, a in p.items():
+            got[c] += a * times
+    n = sum(t for _, t in plan.patterns)
+    assert (got == demand).all() and n <= sum(t for _, t in packing.greedy_patterns(demand, size))
+    return plan, n
+
+
+def test_plans_hold_the_demand_and_need_no_more_than_first_fit():
     rng = np.random.default_rng(3)
-    for n in (1, 30, 700):
+    for n in (1, 30, 700, 20_000):
         demand = np.bincount(rng.integers(1, 400, n), minlength=513)
-        plan = packing.column_generation(demand, 512)
-        got = np.zeros_like(demand)
-        for p, times in plan:
-            assert sum(c * a for c, a in p.items()) <= 512
-            for c, a in p.items():
-                got[c] += a * times
-        assert (got == demand).all() and sum(t for _, t in plan) <= math.ceil(demand @ np.arange(513) / 512) * 1.04 + 1
+        _, used = check_plan(demand, 512)
+        assert used <= math.ceil(demand @ np.arange(513) / 512) * 1.04 + 1
+    check_plan(np.bincount([9] * 10_000, minlength=513), 512)
+    check_plan(np.bincount([1] * 5000 + [512] * 7, minlength=513), 512)
+    assert packing.make_plan(np.zeros(513, "i8"), 512).patterns == []
+
+
+def test_priced_columns_beat_first_fit():
+    demand = np.bincount([260] * 120 + [136] * 120 + [132] * 120 + [120] * 240, minlength=513)
+    plan, n = check_plan(demand, 512)
+    assert plan.knapsacks > 0 and plan.priced > 0 and n < sum(t for _, t in packing.greedy_patterns(demand, 512))
+
+
+def test_column_generation_runs_on_the_documents():
+    texts = [r[0] or "" for r in duckdb.sql("select text from read_parquet('/root/testdata/sf0.01/documents.parquet')").fetchall()]
+    lengths = [len(words.encoder(default_path()).encode(t)) // 2 + 1 for t in texts]
+    demand = np.bincount([k for n in lengths for k in [4096] * (n // 4096) + [n % 4096] if k], minlength=4097)
+    plan, _ = check_plan(demand, 4096)
+    assert plan.knapsacks > 0 and plan.priced > 0
+
+
+def test_many_equal_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 40)
+    rows = spark.createDataFrame([(1, "same words again")] * 300 + [(i, "a " * (i % 90)) for i in range(200)], "doc_id long, text string")
+    made = packing.pack(rows, 128).collect()
+    fill = defaultdict(list)
+    for r in made:
+        fill[r.sequence_id].append((r.offset, r.length))
+    assert len(made) == 500 and all(o == sum(n for _, n in sorted(v)[:i]) for v in fill.values() for i, (o, _) in enumerate(sorted(v)))
+    assert max(sum(n for _, n in v) for v in fill.values()) <= 128 and sorted(fill) == list(range(len(fill)))
 
 
 def test_merge_dropout(docs, empty):
@@ -296,6 +418,37 @@ def test_pii(docs, empty):
     assert masked[5] == LONG and masked[0] is None and masked[9].startswith("mail <EMAIL> or <EMAIL>! ip <IP> and 999.1.1.1, card <CARD>")
 
 
+def test_added_personal_data(spark):
+    texts = {
+        1: "pay ES9121000418450200051332 PAID", 2: "BE68539007547034 USD", 3: "DE89 3704 0044 0532 0130 00 and GB82 WEST 1234 5698 7654 32.",
+        4: "this is a test DE89370400440532013000", 5: "a bank test DE89370400440532013000", 6: "DE88370400440532013000",
+        7: "card 378282246310005", 8: "number 378282246310005", 9: "her ssn 123-45-6789", 10: "code 123-45-6789", 11: "ssn 000-45-6789",
+    }
+    found = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: r.n_iban for i, r in found.items() if r.n_iban} == {1: 1, 2: 1, 3: 2, 5: 1}
+    assert found[1].spans == "iban:4:28" and found[3].spans == "iban:0:27,iban:32:59"
+    assert [i for i, r in found.items() if r.n_short_card] == [7] and [i for i, r in found.items() if r.n_ssn] == [9]
+
+
+def test_many_spans_in_one_text(spark):
+    rng = np.random.default_rng(6)
+    kinds = ["a.b@c.de", "1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "+49 (30) 1234567", "Ä\U0001f600", "DE89 3704 0044 0532 0130 00", "\ufeff"]
+    text = "\n".join(str(x) for x in rng.choice(kinds, 5000))
+    frame = spark.createDataFrame([(1, text, 5), (2, None, None), (3, "\ufeffx@y.de\ufeff", 8)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in pii.report(frame).collect()}
+    want = base_spans(text)
+    assert got[1].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and got[1].spans.startswith(",".join(want))
+    spans = sorted((int(x.split(":")[1]), -int(x.split(":")[2]), x.split(":")[0]) for x in got[1].spans.split(","))
+    out, at = [], 0
+    for start, back, kind in spans:
+        if start >= at:
+            out.append(text[at:start] + f"<{kind.upper()}>")
+        at = max(at, -back)
+    masked = {r.doc_id: r for r in pii.mask(frame).collect()}
+    assert masked[1].text == "".join(out) + text[at:] and masked[1].n_chars == len(masked[1].text)
+    assert masked[2].text is None and masked[3].text == "\ufeff<EMAIL>\ufeff"
+
+
 def brute_classes(rows):
     fps = [simhash.fingerprint(t or "") for _, t in rows]
     label = list(range(len(rows)))
@@ -323,7 +476,8 @@ def test_fingerprint():
 def test_simhash(docs, empty):
     want, n = brute_classes([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=str) == want
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(docs).count() == n and simhash.keep_one(docs).columns == docs.columns
+    assert simhash.near_duplicates(empty).count() == 0
+    assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) == n
 
 
 @pytest.mark.parametrize("large", [130, 2])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tilework.llm import minhash
+from tilework.llm import simhash_pairs
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -45,10 +45,12 @@ def corpus(seed, groups, copies):
     return [*rows, rows[-1]]
 
 
-@pytest.mark.parametrize(("groups", "copies", "rounds", "block"), [(25, 5, 3, 64), (2, 40, 0, 7), (1, 60, 1, 7)])
-def test_near_duplicates(spark, monkeypatch, groups, copies, rounds, block):
-    monkeypatch.setattr(minhash, "ROUNDS", rounds)
-    monkeypatch.setattr(minhash, "BLOCK", block)
+@pytest.mark.parametrize(("groups", "copies", "rounds", "block", "large"), [(25, 5, 3, 64, 64), (2, 40, 0, 7, 2), (1, 60, 1, 7, 5)])
+def test_near_duplicates(spark, monkeypatch, groups, copies, rounds, block, large):
+    monkeypatch.setattr(simhash_pairs, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash_pairs, "BLOCK", block)
+    monkeypatch.setattr(simhash_pairs, "LARGE", large)
+    monkeypatch.setattr(simhash_pairs, "RECALL", 0.9999)  # so that chance decides nothing here
     rows = corpus(groups, groups, copies)
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
     assert kept.columns == ["doc_id", "text", "lang"]
@@ -57,3 +59,26 @@ def test_near_duplicates(spark, monkeypatch, groups, copies, rounds, block):
 
 def test_no_rows(spark):
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_recall_of_buckets():
+    """Of pairs of similarity 0.8 to 0.85, those that share a bucket, at the layouts of a small and of a large table."""
+    rng = np.random.default_rng(9)
+    for n in (10_000, 10_000_000):
+        parts, width = simhash_pairs.layout(n)
+        n_bits = -(-parts * width // 64) * 64
+        groups = [list(range(i * n_bits // parts, (i + 1) * n_bits // parts)) for i in range(parts)]
+        found = total = 0
+        while total < 150:
+            words = rng.integers(0, 3000, 300)
+            other = words.copy()
+            at = rng.integers(0, 300, int(rng.integers(4, 9)))
+            other[at] = rng.integers(3000, 9000, len(at))
+            a, b = (simhash_pairs.word_hashes(" ".join(f"w{x}" for x in w)) for w in (words, other))
+            x, y = set(simhash_pairs.shingles(a).tolist()), set(simhash_pairs.shingles(b).tolist())
+            if not 0.8 <= similarity(x, y) < 0.85:
+                continue
+            total += 1
+            f, g = (simhash_pairs.bits_of(simhash_pairs.fingerprint(w, n_bits)[None]) for w in (a, b))
+            found += any((f[0, k] == g[0, k]).all() for k in groups)
+        assert found >= 0.93 * total

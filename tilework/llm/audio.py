@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, schema_with, text_of
+from .common import saved, schema_with, text_of
 
 RATE, UP, DOWN = 12_000, 2, 3
 TARGET_RATE = RATE * UP // DOWN
@@ -188,11 +188,17 @@ def audio_features(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def document_audio(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Every whole text as audio: encoded, read back, with its features; other columns are dropped, repeated rows stay."""
-    text = text_of(docs).alias("text")
-    source = docs.select(F.col(id_column).alias("doc_id"), text, F.octet_length(text_of(docs)).cast("long").alias("n_bytes"))
-    stored = encode_audio(source, "text", fresh(source, "media")).drop("text")
-    return audio_features(stored)
+    """Every whole text as audio: written as a WAV column to the shared folder, read from there, and its features and tensors written, too.
+
+    (doc_id, n_bytes, media_bytes, media_sha256, and what audio_features adds) of
+    each row; a null text is empty, repeated rows and null ids stay, other columns
+    are dropped, an empty table gives no rows.
+    """
+    text = text_of(docs)
+    source = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    stored = saved(encode_audio(source, "text").drop("text"), "media")
+    described = audio_features(stored).withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    return saved(described.drop("media"), "audio-features")
 
 
 def feature_digest(n_frames: str = "n_frames") -> Column:

@@ -72,9 +72,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of its file system: Spark's default one, where none is named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; it goes when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = qualified(spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
     atexit.register(_remove, spark, path)
     return path
 
@@ -104,7 +110,7 @@ def lookup(left: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
 
 
 def file_system(uri: str):
-    """pyarrow's file system and path for a folder that Spark names by a path or a URI."""
+    """pyarrow's file system and path for a folder named by a URI (see `qualified`), or by a local path."""
     from pyarrow import fs
 
     if uri.startswith("file:"):

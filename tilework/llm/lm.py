@@ -10,8 +10,9 @@ empty context all bytes left are alike. Every text ends with the byte END and
 begins after ORDER bytes BEGIN, neither of which is valid in UTF-8.
 
 Texts are dealt in blocks of about BLOCK_BYTES. A block asks for each of its
-different words and grams (a context and the byte after it) once; joins answer
-with their probabilities, and a block meets its own answers only.
+different words and grams (a context and the byte after it) once, and meets its
+own answers only: grams' probabilities by joins, and how often a word was seen,
+unless no other block's training texts have it.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import saved, text_of
 
 ORDER = 4
 BEGIN, END = 0xFE, 0xFF
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Positions whose grams are made at once; longer words go by a digest, led by a space, which no word has.
 STEP, WORD_BYTES = 1 << 21, 64
 MODULUS, HELD_OUT = 7, 2
@@ -117,23 +118,23 @@ class _Block:
         self.waiting, self.waiting_held, self.size = [], [], 0
 
     def asked(self, block: int):
-        """Batches (block, code, word, trained, total); the end of a text is the word ''."""
+        """Batches (block, code, word, trained); the end of a text is the word ''."""
         if self.waiting:
             self._count()
-        names = ["block", "code", "word", "trained", "total"]
+        names = ["block", "code", "word", "trained"]
         for at in range(0, len(self.codes), 1 << 17):
             c, n = self.codes[at : at + (1 << 17)], self.counts[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), block)), pa.array(c), pa.nulls(len(c), pa.binary()), pa.array(n), pa.array(n)], names)
-        taught, held = self.words[False], self.words[True]
-        words = list(taught.keys() | held.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), block)), pa.array(c), pa.nulls(len(c), pa.binary()), pa.array(n)], names)
+        taught = self.words[False]
+        words = list(taught.keys() | self.words[True].keys())
         for at in range(0, len(words), 1 << 16):
             some = words[at : at + (1 << 16)]
             n = np.array([taught[w] for w in some], "i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.nulls(len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(n), pa.array(n + np.array([held[w] for w in some], "i8"))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.nulls(len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(n)], names)
 
 
 def asked(blocks: DataFrame) -> DataFrame:
-    """(block, code, word, trained, total): each block's different grams (code) and words, with their numbers in its training texts and in all."""
+    """(block, code, word, trained): each block's different grams (code) and words, with their numbers in its training texts."""
 
     def count(batches):
         now, block = None, None
@@ -147,7 +148,7 @@ def asked(blocks: DataFrame) -> DataFrame:
         if now is not None:
             yield from now.asked(block)
 
-    return blocks.select("text", "held_out", "block").mapInArrow(count, "block long, code long, word binary, trained long, total long")
+    return blocks.select("text", "held_out", "block").mapInArrow(count, "block long, code long, word binary, trained long")
 
 
 def _suffix(code: Column, n: int) -> Column:
@@ -253,26 +254,35 @@ def score(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     blocks = saved(in_blocks(rows), "blocks")
     wanted = saved(asked(blocks), "asked")
     of_words, of_grams = wanted.where("word is not null"), wanted.where("word is null")
-    words = saved(of_words.groupBy("word").agg(F.sum("trained").alias("trained")), "words")
-    n_train, v = (x or 0 for x in words.agg(F.sum("trained"), F.count_if(F.col("trained") > 0)).first())
+    by_word = Window.partitionBy("word")
+    summed = of_words.select("block", "word", "trained", F.sum("trained").over(by_word).alias("total"), F.row_number().over(by_word.orderBy("block")).alias("place"))
+    totals = Observation()
+    words = saved(summed.observe(totals, F.sum("trained").alias("n"), F.count_if((F.col("place") == 1) & (F.col("total") > 0)).alias("v")).where("total <> trained").select("block", "word", "total"), "words")
+    n_train, v = (totals.get[x] or 0 for x in "nv")
     codes = saved(of_grams.groupBy("code").agg(F.sum("trained").alias("n")), "grams")
     trie = saved(count_trie(codes), "trie")
     values = saved(probabilities(codes, trie, saved(contexts_of(trie), "contexts")), "probabilities")
     answers = of_grams.select("block", "code").join(values, "code").select("block", "code", F.lit(None).cast("binary").alias("word"), F.col("log10").alias("value"))
-    answers = answers.unionByName(of_words.select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("code"), "word", F.log10(F.col("trained") + 1).alias("value")))
+    answers = answers.unionByName(words.select("block", F.lit(None).cast("long").alias("code"), "word", F.log10(F.col("total") + 1).alias("value")))
     share = math.log10(n_train + v + 1)
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
         is_word = found.column("word").is_valid()
         by_word = found.filter(is_word)
-        get = dict(zip(by_word.column("word").to_pylist(), by_word.column("value").to_pylist(), strict=True)).__getitem__
+        taught: Counter = Counter()
+        for text, held in zip(texts.column("text"), texts.column("held_out").to_pylist(), strict=True):
+            if not held:
+                taught.update(_words(_lower(text.as_py() or "")))
+                taught[b""] += 1
+        logs_of = {w: math.log10(n + 1) for w, n in taught.items()}
+        logs_of.update(zip(by_word.column("word").to_pylist(), by_word.column("value").to_pylist(), strict=True))
         by_code = found.filter(pc.invert(is_word))
         known = _Answers(by_code.column("code").to_numpy(), by_code.column("value").to_numpy())
         out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "n_bytes": []}
         scores, waiting, size = [], [], 0
         for text in texts.column("text"):
             data = _lower(text.as_py() or "")
-            logs = [*map(get, _words(data)), get(b"")]
+            logs = [logs_of.get(w, 0.0) for w in (*_words(data), b"")]
             out["n_tokens"].append(len(logs))
             out["n_known"].append(len(logs) - logs.count(0.0))
             out["base_score"].append(math.fsum(logs) - len(logs) * share)

@@ -1,8 +1,17 @@
-"""Packing by cutting stock: column generation over the length histogram decides patterns, ranked documents fill them."""
+"""Packing by cutting stock: column generation over the length histogram decides patterns, ranked documents fill them.
+
+The linear program has a row for each class of lengths, which are rounded up to
+a grain. Its patterns are then taken
+back to true lengths (a class' pieces go in ascending order of length, so each
+pattern falls into few kinds of sequences), and what rounding left free is
+filled with short pieces held back for that, and with what the rounding down of
+the program's solution left over.
+"""
 
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,25 +21,44 @@ from pyspark.sql import functions as F
 from .common import saved, text_of
 from .words import default_path, encoder
 
-#: Lengths are rounded up to this grain for the linear program only; offsets use true lengths.
-GRAIN = 8
+#: Lengths are rounded up for the linear program to a multiple of the first of these that adds at most ROUNDED to all tokens.
+GRAINS, ROUNDED = (8, 4, 2, 1), 0.01
+#: The share of all tokens, in the shortest pieces, that is kept to fill what rounding leaves free.
+HELD_BACK = 0.02
 #: Pieces that one ranking group holds on average at most, if it holds all lengths.
-BUCKET_ROWS = 20_000
-#: The linear program stops within this share of its optimum (by Farley's bound), or after so many columns.
-GAP, MAX_COLUMNS = 0.0005, 4000
+BUCKET_ROWS = 2_000
+#: The linear program stops within this share of its optimum (by Farley's bound from priced columns), or after so many steps.
+GAP, MAX_COLUMNS = 0.0002, 6000
 #: Differences below this are rounding.
 NOISE = 1e-6
 
-Pattern = dict[int, int]  # class (length in grains) -> pieces of it
+Pattern = dict[int, int]  # length -> pieces of it
+
+
+class Plan(NamedTuple):
+    """patterns and how often each is used; how many knapsacks were solved, and how many of the columns in use they priced."""
+
+    patterns: list[tuple[Pattern, int]]
+    knapsacks: int
+    priced: int
+
+
+def grain_for(demand: np.ndarray, size: int) -> int:
+    """The coarsest grain that divides the size and adds little enough to these pieces (by length)."""
+    lengths = np.arange(len(demand))
+    for g in GRAINS:
+        if size % g == 0 and float(demand @ (-lengths % g)) <= ROUNDED * float(demand @ lengths):
+            return g
+    return 1
 
 
 def _fill(left: np.ndarray, capacity: int) -> Pattern:
-    """The first-fit-decreasing pattern out of what is left (by class)."""
-    pattern, room = {}, capacity
-    for c in np.flatnonzero(left)[::-1]:
-        if c <= room:
-            pattern[int(c)] = k = min(int(left[c]), room // int(c))
-            room -= k * int(c)
+    """The first-fit-decreasing pattern out of what is left (by length)."""
+    pattern, room, longest = {}, capacity, capacity
+    while len(c := np.flatnonzero(left[: min(room, longest) + 1])):
+        best = int(c[-1])
+        pattern[best] = k = min(int(left[best]), room // best)
+        room, longest = room - k * best, best - 1
     return pattern
 
 
@@ -68,54 +96,42 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), column
 
 
-def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Patterns and how often each is used, that hold the demand (by class, index 0 unused) exactly.
+def column_generation(demand: np.ndarray, capacity: int) -> Plan:
+    """Patterns that hold at most the demand (by length, index 0 unused), out of the linear program's solution rounded down.
 
-    A revised simplex on the patterns' linear program; the knapsack prices new
-    columns. Prices are drawn towards the classes' sizes, which keeps them from
-    swinging, and any prices over their best pattern's worth bound the optimum
-    from below (Farley): within GAP of that bound the program stops. The
-    solution is rounded down and the rest, at most one bin a pattern, is filled
-    first fit decreasing. The program has one row a class, so its size does not
-    depend on the corpus.
+    A revised simplex on the patterns' program; every column but the first ones
+    (each of a single length) is priced by the knapsack. Prices are drawn towards
+    the lengths, which keeps them from swinging, and any prices over their best
+    pattern's worth bound the optimum from below (Farley): within GAP of that
+    bound the program stops. It has one row a length, so its size does not depend
+    on the corpus.
     """
     sizes = np.flatnonzero(demand)
     m, need = len(sizes), demand[sizes].astype(float)
     if not m:
-        return []
-    greedy = greedy_patterns(demand, capacity)
-    place = {int(c): i for i, c in enumerate(sizes)}
-    pool = np.zeros((m, len(greedy)))
-    for j, (p, _) in enumerate(greedy):
-        for c, a in p.items():
-            pool[place[c], j] = a
+        return Plan([], 0, 0)
     columns = np.diag((capacity // sizes).astype(float))
-    inverse, cost = np.diag(1 / np.diag(columns)), np.ones(m)
+    inverse, cost, priced = np.diag(1 / np.diag(columns)), np.ones(m), np.zeros(m, bool)
     by_size = sizes / capacity
-    bound, draw = float(by_size @ need), 0.9
+    bound, draw, knapsacks = 0.0, 0.9, 0
     for step in range(MAX_COLUMNS):
-        if step % 20 == 19:
+        if step % 50 == 49:
             inverse = np.linalg.inv(columns)
         x = inverse @ need
         prices = cost @ inverse
-        if cost @ np.maximum(x, 0) <= bound * (1 + GAP):
-            break
-        worth = prices @ pool
-        j = int(worth.argmax())
-        if worth[j] > 1 + NOISE:
-            new, price = pool[:, j], 1.0
-        elif prices.min() < -NOISE:  # a surplus column: more of a class than asked for
+        if prices.min() < -NOISE:  # a surplus column: more of a length than asked for
             new, price = np.zeros(m), 0.0
             new[prices.argmin()] = -1
         else:
             while True:
                 drawn = draw * by_size + (1 - draw) * prices
                 value, new = best_pattern(drawn, sizes, capacity)
+                knapsacks += 1
                 bound = max(bound, float(drawn @ need) / max(value, 1e-12))
                 if prices @ new > 1 + NOISE or draw == 0:
                     break
                 draw = draw - 0.1 if draw > 0.15 else 0.0
-            if prices @ new <= 1 + NOISE:
+            if prices @ new <= 1 + NOISE or cost @ np.maximum(x, 0) <= bound * (1 + GAP):
                 break
             price = 1.0
         way = inverse @ new
@@ -123,11 +139,11 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[Pattern,
         if not np.isfinite(ratio.min()):
             break
         r = int(np.where(ratio <= ratio.min() + NOISE, way, 0).argmax())  # of equals the largest pivot keeps the basis sound
-        columns[:, r], cost[r] = new, price
+        columns[:, r], cost[r], priced[r] = new, price, price > 0
         row = inverse[r] / way[r]
         inverse -= np.outer(way, row)
         inverse[r] = row
-    x, left, out = np.linalg.solve(columns, need), demand.copy(), []
+    x, left, out, used = np.linalg.solve(columns, need), demand.copy(), [], 0
     for i in np.flatnonzero(cost):
         p = {int(sizes[k]): int(columns[k, i]) for k in np.flatnonzero(columns[:, i] > 0.5)}
         times = min([int(max(x[i], 0) + 1e-6), *(int(left[c]) // a for c, a in p.items())])
@@ -135,7 +151,110 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[Pattern,
             for c, a in p.items():
                 left[c] -= a * times
             out.append((p, times))
-    return out + greedy_patterns(left, capacity)
+            used += bool(priced[i])
+    return Plan(out, knapsacks, used)
+
+
+def _split(pattern: Pattern, times: int, runs: dict[int, list[tuple[int, int]]]) -> list[tuple[Pattern, int]]:
+    """A pattern of classes as patterns of true lengths, taken off the front of the classes' runs (length, pieces)."""
+    out = []
+    while times:
+        now = times
+        for c, a in pattern.items():  # as many sequences as have all their pieces of a class out of one run; or one sequence
+            now = min(now, max(1, runs[c][0][1] // a))
+        true: Pattern = {}
+        for c, a in pattern.items():
+            left = a * now
+            while left:
+                length, n = runs[c][0]
+                taken = min(left, n)
+                true[length] = true.get(length, 0) + taken
+                left -= taken
+                runs[c][0] = (length, n - taken)
+                if n == taken:
+                    runs[c].pop(0)
+        if now > 1:
+            true = {length: n // now for length, n in true.items()}
+        out.append((true, now))
+        times -= now
+    return out
+
+
+def _fillers(left: np.ndarray, room: int) -> Pattern:
+    """What is to be put into the room: one or two pieces that fill it, or the longest that fits; nothing if none does."""
+    fits = np.flatnonzero(left[: room + 1])
+    if not len(fits) or fits[-1] == room:
+        return {room: 1} if len(fits) else {}
+    rest = room - fits
+    pairs = fits[(left[rest] > (rest == fits)) & (rest <= fits)]
+    if len(pairs):
+        a = int(pairs[0])
+        return {a: 2} if 2 * a == room else {a: 1, room - a: 1}
+    return {int(fits[-1]): 1}
+
+
+def _exchange(left: np.ndarray, room: int, pattern: Pattern) -> Pattern:
+    """A piece to take out (-1) and one to put in for it that leave the least room, where nothing more fits; nothing if none helps."""
+    best: tuple[int, int] | None = None
+    for c in pattern:
+        longer = np.flatnonzero(left[c + 1 : c + room + 1])
+        if len(longer) and (best is None or longer[-1] + 1 > best[0]):
+            best = int(longer[-1]) + 1, c
+    return {} if best is None else {best[1]: -1, best[1] + best[0]: 1}
+
+
+def make_plan(demand: np.ndarray, size: int) -> Plan:
+    """Patterns of true lengths, and how often each is used, that hold the demand (by length, index 0 unused) exactly.
+
+    Of what the program's patterns leave over, and of that with the sequences that
+    could not be filled, the way that needs fewer sequences is taken. Should first
+    fit decreasing on the true lengths need fewer still, its patterns are the plan.
+    """
+    lengths = np.arange(size + 1)
+    held, budget = np.zeros_like(demand), int(HELD_BACK * (demand @ lengths))
+    for c in np.flatnonzero(demand[:size]):
+        held[c] = min(int(demand[c]), budget // int(c))
+        budget -= int(held[c]) * int(c)
+        if held[c] < demand[c]:
+            break
+    rest = demand - held
+    rest[size] = 0
+    grain = grain_for(rest, size)
+    classes = -(-lengths // grain)
+    found = column_generation(np.bincount(classes, rest, size // grain + 1).astype("i8"), size // grain)
+    runs: dict[int, list[tuple[int, int]]] = {}
+    for length in np.flatnonzero(rest):
+        runs.setdefault(int(classes[length]), []).append((int(length), int(rest[length])))
+    todo = [x for p, times in found.patterns for x in _split(p, times, runs)]
+    left = held.copy()
+    for some in runs.values():
+        for length, n in some:
+            left[length] += n
+    out: list[tuple[Pattern, int]] = [({size: 1}, int(demand[size]))] if demand[size] else []
+    roomy: list[tuple[Pattern, int]] = []
+    todo.sort(key=lambda x: sum(c * a for c, a in x[0].items()))  # the fullest, which only the shortest pieces fit, come off first
+    while todo:
+        pattern, times = todo.pop()
+        room = size - sum(c * a for c, a in pattern.items())
+        more = _fillers(left, room) or _exchange(left, room, pattern)
+        if not more:
+            (roomy if room else out).append((pattern, times))
+            continue
+        now = min([times, *(int(left[c]) // a for c, a in more.items() if a > 0)])
+        for c, a in more.items():
+            left[c] -= a * now
+        both = {c: pattern.get(c, 0) + more.get(c, 0) for c in {**pattern, **more}}
+        todo.append(({c: a for c, a in both.items() if a}, now))
+        if now < times:
+            todo.append((pattern, times - now))
+    loose = left.copy()
+    for pattern, times in roomy:
+        for c, a in pattern.items():
+            loose[c] += a * times
+    plans = [out + roomy + greedy_patterns(left, size), out + greedy_patterns(loose, size), greedy_patterns(demand, size)]
+    totals = [sum(times for _, times in p) for p in plans]
+    best = totals.index(min(totals))
+    return Plan(plans[best], found.knapsacks, found.priced if best < 2 else 0)
 
 
 def cut_documents(docs: DataFrame, size: int, end_id: int = 2, id_column: str = "doc_id", tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -158,21 +277,29 @@ def cut_documents(docs: DataFrame, size: int, end_id: int = 2, id_column: str =
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(cut, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
 
 
-def _places(batches, capacity: int):
-    """The patterns' table out of the batches (class, n): which ranks of a class go to which sequences, `each` of them to one."""
-    demand = np.zeros(capacity + 1, "i8")
+def _places(batches, size: int):
+    """The patterns' table out of the batches (length, n): which ranks of a length go to which sequences, `each` of them to one.
+
+    A length with many entries has its ranks in blocks of `width`, and an entry
+    for each block that its ranks meet, so that a piece is held against few.
+    """
+    demand = np.zeros(size + 1, "i8")
     for batch in batches:
         demand[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    full, demand[capacity] = int(demand[capacity]), 0
-    plan = ([({capacity: 1}, full)] if full else []) + column_generation(demand, capacity)
-    used, first, table = np.zeros(capacity + 1, "i8"), 0, []
-    for pattern, times in plan:
+    used, first = np.zeros(size + 1, "i8"), 0
+    entries: dict[int, list[tuple[int, int, int, int]]] = {}
+    for pattern, times in make_plan(demand, size).patterns:
         for c, a in pattern.items():
-            table.append((c, int(used[c]), int(used[c]) + a * times, a, first))
+            entries.setdefault(c, []).append((int(used[c]), int(used[c]) + a * times, a, first))
             used[c] += a * times
         first += times
-    columns = list(zip(*table, strict=True)) or [()] * 5
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)], ["class", "rank_from", "rank_to", "each", "first"])
+    table = []
+    for c, some in entries.items():
+        width = -(-int(demand[c]) // len(some))
+        table += [(c, width, block, *e) for e in some for block in range(e[0] // width, (e[1] - 1) // width + 1)]
+    for at in range(0, max(1, len(table)), 10_000):
+        columns = list(zip(*table[at : at + 10_000], strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["class", "width", "block", "rank_from", "rank_to", "each", "first"])
 
 
 def pack(docs: DataFrame, size: int = 4096, end_id: int = 2, id_column: str = "doc_id", tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -182,24 +309,24 @@ def pack(docs: DataFrame, size: int = 4096, end_id: int = 2, id_column: str = "d
     ids stay null, other columns are ignored, an empty table gives no rows.
     Documents over `size` are cut into full pieces, which fill sequences alone,
     and a rest. One task solves the linear program: it gets the histogram of
-    lengths in grains, at most size / GRAIN rows whatever the corpus. Within a length, pieces are ranked by a hashed
-    bucket and then by id, so a length that many share is dealt over many tasks;
-    ranks look up their place in the patterns' table, which is as small.
+    lengths, at most `size` rows whatever the corpus. Within a length, pieces are
+    ranked by a hashed bucket, which the pieces' numbers (written with them) are
+    part of, and then by id, so a length that many share, or one row repeated, is
+    dealt over many tasks; ranks look up their place in the patterns' table, whose
+    size depends on `size` alone.
     """
-    if size % GRAIN:
-        raise ValueError(f"size must be a multiple of {GRAIN}")
-    capacity = size // GRAIN
-    pieces = saved(cut_documents(docs, size, end_id, id_column, tokenizer, keep_ids).withColumn("class", F.ceil(F.col("length") / GRAIN).cast("int")), "pieces")
+    pieces = saved(cut_documents(docs, size, end_id, id_column, tokenizer, keep_ids).withColumn("class", F.col("length")).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counted = pieces.groupBy("class").agg(F.count("*").alias("n"))
-    places = saved(counted.repartition(1).mapInArrow(lambda batches: _places(batches, capacity), "class int, rank_from long, rank_to long, each long, first long"), "places")
+    places = saved(counted.repartition(1).mapInArrow(lambda batches: _places(batches, size), "class long, width long, block long, rank_from long, rank_to long, each long, first long"), "places")
 
     buckets = max(1, pieces.count() // BUCKET_ROWS)
-    order = ["doc_id", "start", "ids_crc32", "length"]
+    order = ["doc_id", "start", "ids_crc32", "row"]
     bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     local = bucketed.withColumn("rank", F.row_number().over(Window.partitionBy("class", "bucket").orderBy(*order)) - 1)
     before = bucketed.groupBy("class", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = local.join(before, ["class", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    here = (ranked["class"] == places["class"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
-    put = ranked.join(F.broadcast(places), here).withColumn("sequence_id", F.col("first") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("each")))
-    w = Window.partitionBy("sequence_id").orderBy(ranked["class"].desc(), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    widths = places.groupBy("class").agg(F.first("width").alias("width"))  # at most `size` rows
+    blocks = ranked.join(F.broadcast(widths), "class").withColumn("block", F.floor(F.col("rank") / F.col("width")))
+    put = blocks.join(F.broadcast(places.drop("width")), ["class", "block"]).where("rank >= rank_from and rank < rank_to").withColumn("sequence_id", F.col("first") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("each")))
+    w = Window.partitionBy("sequence_id").orderBy(F.col("class").desc(), "rank").rowsBetween(Window.unboundedPreceding, -1)
     return put.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"), *["ids"] * keep_ids)

@@ -25,7 +25,7 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audio.document_audio(_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), audio.feature_digest().alias("feature"),
+        "media_bytes", "media_sha256", audio.feature_digest().alias("feature"),
         F.col("n_frames").cast("long").alias("n_frames"), F.sha2("tensors", 256).alias("tensors_sha256"),
     )
 

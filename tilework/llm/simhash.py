@@ -67,53 +67,66 @@ def fingerprints(docs: DataFrame, columns: list[str], text: str = "text") -> Dat
     return source.mapInArrow(add, schema_with(source.drop(words), **{fp: "long"}))
 
 
-def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
-    """The 64 bits in groups of about equal size, correlated bits together: each group grows by the bit that goes best with it."""
-    bits = np.unpackbits(sample.view("u1").reshape(-1, 8), axis=1, bitorder="little").astype("f8")
+def bits_of(fingerprints: np.ndarray) -> np.ndarray:
+    """The bits of fingerprints (n x words of 64 bits), lowest first: n x bits."""
+    return np.unpackbits(np.ascontiguousarray(fingerprints, "<u8").view("u1").reshape(len(fingerprints), -1), axis=1, bitorder="little")
+
+
+def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
+    """The columns of bits in groups of about equal size, correlated ones together: each group grows by the bit that goes best with it."""
+    n = bits.shape[1]
     spread = bits - bits.mean(0)
     norm = np.sqrt((spread**2).sum(0))
     tie = np.abs(spread.T @ spread) / np.maximum(np.outer(norm, norm), 1e-9)
-    left, out = set(range(64)), []
+    left, out = np.ones(n, bool), []
     for k in range(parts):
-        size = (64 - 64 * k // parts) - (64 - 64 * (k + 1) // parts)
-        rest = sorted(left)
-        group = [max(rest, key=lambda b: (tie[b, rest].sum(), -b))]
+        size = n * (k + 1) // parts - n * k // parts
+        group = [int(np.where(left, tie[:, left].sum(1), -1).argmax())]
+        left[group[0]] = False
+        score = tie[:, group[0]].copy()
         while len(group) < size:
-            group.append(max((b for b in sorted(left - {*group})), key=lambda b: (tie[b, group].sum(), -b)))
-        left -= {*group}
+            group.append(int(np.where(left, score, -1).argmax()))
+            left[group[-1]] = False
+            score += tie[:, group[-1]]
         out.append(sorted(group))
     return out
 
 
-def _keys(values: np.ndarray, bits: list[int]) -> np.ndarray:
-    return values & np.uint64(sum(1 << b for b in bits))
+def part_keys(bits: np.ndarray, group: list[int]) -> np.ndarray:
+    """The group's bits (63 at most) of each row as a number, the group's first bit lowest."""
+    return bits[:, group].astype("u8") @ (np.uint64(1) << np.arange(len(group), dtype="u8"))
+
+
+def flips(width: int, radius: int) -> list[int]:
+    """What to change, bit by bit, to get to each key within the radius; 0 first."""
+    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def _cost(sample: np.ndarray, bits: list[int], radius: int, n: int) -> float:
-    """Estimated probes and candidates of n fingerprints, if this partition is probed within `radius` bits."""
+def _cost(keys: np.ndarray, width: int, radius: int, n: int) -> float:
+    """Estimated probes and candidates of n fingerprints, if this partition is probed within `radius` bits; keys are a sample's."""
     if radius < 0:
         return 0.0
-    flips = [()] + [c for r in range(1, radius + 1) for c in combinations(bits, r)]
-    keys, counts = np.unique(_keys(sample, bits), return_counts=True)
-    met, scale = 0.0, n / max(1, len(sample))
-    for f in flips:
-        other = keys ^ np.uint64(sum(1 << b for b in f))
-        at = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
-        partners = np.where(keys[at] == other, counts[at] - (f == ()), 0) * scale
+    found, counts = np.unique(keys, return_counts=True)
+    met, scale, changes = 0.0, n / max(1, len(keys)), flips(width, radius)
+    for f in changes:
+        other = found ^ np.uint64(f)
+        at = np.minimum(np.searchsorted(found, other), len(found) - 1)
+        partners = np.where(found[at] == other, counts[at] - (f == 0), 0) * scale
         met += float(np.minimum(counts * scale * partners / 2, MIDPOINTS * counts * scale).sum())  # large buckets go by midpoints
-    met += n**2 * len(flips) / 2.0 ** len(bits) / 2  # what the sample is too small to show
-    return PROBE_COST * n * len(flips) + met
+    met += n**2 * len(changes) / 2.0**width / 2  # what the sample is too small to show
+    return PROBE_COST * n * len(changes) + met
 
 
-def allocate(sample: np.ndarray, n: int, radius: int = RADIUS) -> tuple[list[list[int]], list[int], float]:
-    """(bits of each partition, their thresholds, estimated cost): the cheapest over one to radius + 1 partitions."""
+def allocate(bits: np.ndarray, n: int, radius: int = RADIUS, choices: tuple[int, ...] | None = None, most: int | None = None) -> tuple[list[list[int]], list[int], float]:
+    """(bits of each partition, their thresholds, estimated cost) for a sample's bits: the cheapest over `choices` of how many partitions (one to radius + 1), thresholds up to `most` (radius)."""
     best = None
-    for parts in range(1, radius + 2):
-        groups = group_bits(sample, parts)
+    for parts in choices or range(1, radius + 2):
+        groups = group_bits(bits, parts)
         want = radius - parts + 1
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # sum of thresholds so far -> cheapest
         for g in groups:
-            costs = {t: _cost(sample, g, t, n) for t in range(-1, radius + 1)}
+            keys = part_keys(bits, g)
+            costs = {t: _cost(keys, len(g), t, n) for t in range(-1, (radius if most is None else most) + 1)}
             new: dict[int, tuple[float, list[int]]] = {}
             for total, (cost, chosen) in table.items():
                 for t, c in costs.items():
@@ -137,7 +150,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     sample = np.array([r[0] for r in hashed_sample(distinct.select("fp"), F.xxhash64("fp"), SAMPLE).collect()], "i8").view("u8")
     if len(sample) < 2:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("a < b")
-    groups, thresholds, _ = allocate(sample, n, radius)
+    groups, thresholds, _ = allocate(bits_of(sample.reshape(-1, 1)), n, radius)
 
     def masks(value: Column, bits: list[int], r: int) -> Column:
         mask = np.uint64(sum(1 << b for b in bits)).view("i8").item()
@@ -186,11 +199,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def classes(fps: DataFrame, id_column: str, radius: int = RADIUS, root: str | None = None) -> DataFrame:
+def classes(fps: DataFrame, id_column: str, radius: int = RADIUS) -> DataFrame:
     """fps (written; with fp and the id) and `component_id`: the least id reachable over links of its fingerprint.
 
     Ids that are null count for a class only where it has no other, which then is
-    null. `root` names a further column, the class' least fingerprint, never null.
+    null.
     """
     distinct = saved(fps.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n")), "distinct")
     chains = components(links(distinct.select("fp"), radius))
@@ -198,7 +211,7 @@ def classes(fps: DataFrame, id_column: str, radius: int = RADIUS, root: str | No
     grouped = saved(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "grouped")
     best = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("w"))
     labels = saved(lookup(grouped.select("fp", "n", "root"), best, "root", "w"), "labels")
-    return lookup(fps, labels.select("fp", "n", "component_id", *[F.col("root").alias(root)] if root else []), "fp", "n")
+    return lookup(fps, labels.select("fp", "n", "component_id"), "fp", "n")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -211,21 +224,3 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", radius: int = RA
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(docs).alias("text"))
     fps = saved(fingerprints(source, ["doc_id"]), "fingerprints")
     return classes(fps, "doc_id", radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_column: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each class of near duplicates: that of the least id, of a null one only where a class has no other.
-
-    Repeated rows and ids count as copies where their fingerprints link. Rows
-    get a number as they are written with their fingerprints to the shared
-    folder; what decides is a table of (number, id, fingerprint), and texts are
-    dealt by number once.
-    """
-    names = docs.columns
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("row"))
-    held = saved(fingerprints(renamed, renamed.columns, f"c{names.index('text')}"), "fingerprinted")
-    narrow = held.select("row", F.col(f"c{names.index(id_column)}").cast("long").alias("doc_id"), "fp")
-    marked = classes(narrow, "doc_id", radius, root="class")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
-    kept = marked.groupBy("class").agg(first.alias("first")).select(F.col("first.row").alias("row"))
-    return held.join(kept, "row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

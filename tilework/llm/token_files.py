@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, hashed_sample, new_file, shuffle_partitions, text_of
+from .common import file_system, hashed_sample, new_file, qualified, shuffle_partitions, text_of
 from .words import default_path, encoder
 
 MAGIC = b"TWIDS\x01\x00\x00"
@@ -30,13 +30,23 @@ _INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("n_
 FRAMES_A_BATCH = 2000
 
 
+def make_dictionary(pieces: list[bytes], segment: int) -> bytes:
+    """A zstandard dictionary trained on the pieces, or where training finds too little, of their content itself."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, pieces)) // 8), pieces, k=segment, d=8).as_bytes()
+    except (ValueError, zstandard.ZstdError):
+        return b"".join(pieces)[-DICTIONARY_BYTES:]
+
+
 def train_dictionary(docs: DataFrame, id_column: str = "doc_id", tokenizer: str | None = None) -> bytes:
     """A dictionary trained on a bounded sample: of the SAMPLE_DOCS documents with the least hashes of id and text, a window of at most PIECE_BYTES of the serialized ids, at a place set by the hash.
 
-    Fewer than 8 usable pieces (small corpora) give an empty dictionary: frames are then compressed without.
+    Where the pieces are too few or too alike to train on, their last
+    DICTIONARY_BYTES are the dictionary as they stand; it is empty only where
+    there are no ids at all.
     """
-    import zstandard
-
     path = tokenizer or default_path()
     rows = docs.select(F.col(id_column).cast("string").alias("id"), text_of(docs).alias("text"))
     chosen = hashed_sample(rows, F.xxhash64("id", "text", F.lit("dictionary")), SAMPLE_DOCS).select("h", "text")
@@ -51,12 +61,7 @@ def train_dictionary(docs: DataFrame, id_column: str = "doc_id", tokenizer: str
             yield pa.RecordBatch.from_pydict({"piece": pa.array(out, pa.binary())})
 
     found = [bytes(r[0]) for r in chosen.mapInArrow(pieces, "piece binary").collect() if r[0]]
-    if len(found) < 8 or sum(map(len, found)) < 16 * 1024:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, found)) // 8), found, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:  # samples too alike or too short
-        return b""
+    return make_dictionary(found, 64)
 
 
 def _compressor(dictionary: bytes, level: int):
@@ -86,6 +91,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, id_column:
     and each task encodes and writes one shard as a stream.
     """
     spark, path = docs.sparkSession, tokenizer or default_path()
+    folder = qualified(spark, folder)
     dictionary = train_dictionary(docs, id_column, path)
     digest = hashlib.sha256(dictionary).hexdigest()
     with new_file(folder, f"dictionary-{digest}.zdict") as f:
@@ -111,11 +117,12 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, id_column:
             table = np.array(index, _INDEX)
             out.write(table.tobytes())
             out.write(np.array([at, len(index)], "<u8").tobytes())
-        yield pa.RecordBatch.from_pylist([{"shard": name, "n_docs": len(index), "n_tokens": int(table["n_tokens"].sum()), "n_bytes": at + table.nbytes + 16}])
+        row = {"shard": name, "n_docs": len(index), "n_tokens": int(table["n_tokens"].sum()), "n_bytes": at + table.nbytes + 16, **_range(table)}
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.string() if k == "shard" else pa.int64()) for k, v in row.items()], list(row))
 
     dealt = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
     shards, start = [], 0
-    for r in sorted(dealt.mapInArrow(write, "shard string, n_docs long, n_tokens long, n_bytes long").collect()):  # a row a shard
+    for r in sorted(dealt.mapInArrow(write, "shard string, n_docs long, n_tokens long, n_bytes long, first_id long, last_id long").collect()):  # a row a shard
         shards.append({**r.asDict(), "start": start})
         start += r.n_tokens
     with new_file(folder, "manifest.json") as f:
@@ -123,6 +130,12 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, id_column:
     return shards
 
 
+def _range(index: np.ndarray) -> dict[str, int | None]:
+    """A shard's least and greatest id, by which documents are found; nulls if it has none."""
+    ids = index["doc_id"][index["is_null"] == 0]
+    return {"first_id": int(ids[0]) if len(ids) else None, "last_id": int(ids[-1]) if len(ids) else None}
+
+
 def _open(folder: str, shard: str):
     files, path = file_system(folder)
     f = files.open_input_file(f"{path}/{shard}")
@@ -143,11 +156,13 @@ def _ids(codec, frame: bytes, n_tokens: int) -> np.ndarray:
 
 
 def read_document(folder: str, doc_id: int) -> np.ndarray | None:
-    """Ids of the first document with this id, by the manifest and the offset indexes; None if there is none."""
+    """Ids of the first document with this id, by the manifest's ranges and one shard's offset index; None if there is none."""
     files, path = file_system(folder)
     with files.open_input_file(f"{path}/manifest.json") as f:
         manifest = json.loads(f.read())
     for s in manifest["shards"]:
+        if s["first_id"] is None or not s["first_id"] <= doc_id <= s["last_id"]:
+            continue
         f, index, end, codec = _open(folder, s["shard"])
         with f:
             k = np.flatnonzero((index["doc_id"] == doc_id) & (index["is_null"] == 0))

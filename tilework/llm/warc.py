@@ -17,11 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, hashed_sample, lookup, new_file, saved, text_of
+from .common import file_system, hashed_sample, lookup, new_file, qualified, saved, text_of
+from .token_files import DICTIONARY_BYTES, make_dictionary
 
 DICTIONARY_FRAME = 0x184D2A5D
-#: Records that the dictionary is made from at most, bytes of each, and its own size.
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 8192, 65_536
+#: Records that the dictionary is made from at most, and bytes of each; its own size is at most DICTIONARY_BYTES.
+SAMPLE_RECORDS, SAMPLE_BYTES = 1000, 8192
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6f1d2c0a-7f0b-4c53-9a39-5f0f7f1b2a77")
 CAPTURED = "2020-01-01T00:00:00Z"  # pages carry no date; a fixed one keeps equal input equal
@@ -74,9 +75,10 @@ def assign_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """Made from a bounded sample: the records of the SAMPLE_RECORDS pages with the least hashes of id and address, SAMPLE_BYTES of each from a place set by the hash."""
-    import zstandard
+    """Made from a bounded sample: the records of the SAMPLE_RECORDS pages with the least hashes of id and address, SAMPLE_BYTES of each from a place set by the hash.
 
+    Where they are too few or too alike to train on, their content itself; empty only for an empty table.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of(pages, "html").alias("html"))
     chosen = hashed_sample(rows, F.xxhash64("page_id", "url", F.lit("dictionary")), SAMPLE_RECORDS)
 
@@ -90,12 +92,7 @@ def train_dictionary(pages: DataFrame) -> bytes:
             yield pa.RecordBatch.from_pydict({"piece": pa.array(out, pa.binary())})
 
     found = [bytes(r[0]) for r in chosen.mapInArrow(pieces, "piece binary").collect()]
-    if len(found) < 8 or sum(map(len, found)) < 16 * 1024:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, found)) // 8), found, k=128, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    return make_dictionary(found, 128)
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 3) -> DataFrame:
@@ -105,6 +102,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
     """
     import zstandard
 
+    folder = qualified(pages.sparkSession, folder)
     dictionary = train_dictionary(pages)
     packed = zstandard.ZstdCompressor().compress(dictionary) if dictionary else b""
     head = struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed if packed else b""
