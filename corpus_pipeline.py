@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilework.llm import minhash, packing, pii, quality
+from tilework.llm import packing, pii, quality, simhash_pairs
 from tilework.llm.common import saved
 
 
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each class of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return minhash.keep_one(docs)
+    return simhash_pairs.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
