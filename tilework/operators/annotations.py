@@ -36,6 +36,15 @@ def filter_labels(vertices: DataFrame, labels: list[str]) -> DataFrame:
 
 def polygon_measures(vertices: DataFrame) -> DataFrame:
     """(slide_id, label, roi_id, n_vertices, area, perimeter) by the shoelace formula; the last vertex joins the first."""
+    return _measured(vertices).drop("cx", "cy")
+
+
+def polygon_centroids(vertices: DataFrame) -> DataFrame:
+    """(slide_id, label, roi_id, cx, cy): centres of mass; null where the signed area is 0."""
+    return _measured(vertices).select("slide_id", "label", "roi_id", "cx", "cy")
+
+
+def _measured(vertices: DataFrame) -> DataFrame:
     roi = ["slide_id", "label", "roi_id"]
     w = Window.partitionBy(*roi).orderBy("vertex_id")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -43,7 +52,9 @@ def polygon_measures(vertices: DataFrame) -> DataFrame:
     edges = vertices.select(*roi, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), nxt("x").alias("nx"), nxt("y").alias("ny"))
     cross = F.col("x") * F.col("ny") - F.col("nx") * F.col("y")
     length = F.sqrt((F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2)
-    return edges.groupBy(*roi).agg(F.count("*").alias("n_vertices"), F.round(F.abs(F.sum(cross)) / 2, 3).alias("area"), F.round(F.sum(length), 3).alias("perimeter"))
+    return edges.groupBy(*roi).agg(F.count("*").alias("n_vertices"), F.round(F.abs(F.sum(cross)) / 2, 3).alias("area"), F.round(F.sum(length), 3).alias("perimeter"),
+        *[F.round(F.when(F.sum(cross) != 0, F.sum((F.col(c) + F.col(f"n{c}")) * cross) / (3 * F.sum(cross))), 3).alias(f"c{c}") for c in "xy"],
+    )
 
 
 def mask_bbox(mask: DataFrame) -> DataFrame:

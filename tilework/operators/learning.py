@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -55,36 +56,53 @@ def principal_components(features: DataFrame, vector: str, k: int):
     return PCA(k=k, inputCol="v", outputCol="pc").fit(rows)
 
 
+#: Fits that the driver has under way at once; each is a Spark job of its own.
+FITS_AT_ONCE = 8
+
+
+def _beside(work: Callable, many: list) -> list:
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(work, many))
+
+
 def linear_probe(train: DataFrame, test: DataFrame, item: str, vector: str, label: str, portion: float = 1.0, models: int = 30, reg: float = 0.01) -> DataFrame:
-    """(item, label, p): the mean probability of logistic models, each fitted on the train rows whose hash lies in its portion."""
-    rows = train.select(item, array_to_vector(vector).alias("v"), F.col(label).cast("double").alias("y"))
+    """(item, label, p): the mean probability of logistic models, each fitted on the train rows whose hash lies in its portion; train rows are read once."""
+    rows = train.select(item, array_to_vector(vector).alias("v"), F.col(label).cast("double").alias("y")).persist()
     out = test.select(item, F.col(label).alias("label"), array_to_vector(vector).alias("v"), F.lit(0.0).alias("p"))
-    for m in range(models):
+
+    def fit(m: int):
         drawn = rows.where(F.conv(F.substring(hash_order(item, seed=m), 1, 8), 16, 10).cast("double") < portion * 2.0**32)
-        fitted = LogisticRegression(featuresCol="v", labelCol="y", regParam=reg, maxIter=50, rawPredictionCol="raw_", probabilityCol="p_", predictionCol="y_").fit(drawn)
+        return LogisticRegression(featuresCol="v", labelCol="y", regParam=reg, maxIter=50, rawPredictionCol="raw_", probabilityCol="p_", predictionCol="y_").fit(drawn)
+
+    for fitted in _beside(fit, list(range(models))) if models > 1 else [fit(0)]:
         out = fitted.transform(out).select(item, "label", "v", (F.col("p") + vector_to_array("p_")[1]).alias("p"))
+    rows.unpersist()
     return out.select(item, "label", (F.col("p") / models).alias("p"))
 
 
 def nested_cv(rows: DataFrame, item: str, vector: str, label: str, grid: list[float], outer: int = 5, inner: int = 5) -> DataFrame:
     """(split, reg, inner_auc, auc): of each outer fold the regularisation best over the inner folds, the first of equals, and its AUC on the fold.
 
-    Folds follow from the hash of the item, so no row moves; the driver loops
-    over configurations and folds and holds one number of each.
+    Folds follow from the hash of the item, so no row moves; fits run beside each
+    other over the persisted rows, and the driver holds one number of each.
     """
     fold = lambda k, seed: F.pmod(F.conv(F.substring(hash_order(item, seed=seed), 1, 8), 16, 10).cast("long"), F.lit(k))
-    data = rows.withColumn("outer_", fold(outer, 1)).withColumn("inner_", fold(inner, 2))
+    data = rows.withColumn("outer_", fold(outer, 1)).withColumn("inner_", fold(inner, 2)).persist()
 
-    def auc(train: DataFrame, test: DataFrame, reg: float) -> float | None:
+    def auc(task: tuple[int, int | None, float]) -> float | None:
+        o, i, reg = task
+        rest = data.where(F.col("outer_") != o)
+        train, test = (rest, data.where(F.col("outer_") == o)) if i is None else (rest.where(F.col("inner_") != i), rest.where(F.col("inner_") == i))
         return binary_auc(linear_probe(train, test, item, vector, label, 1.0, 1, reg), "p", "label").first()["auc"]
 
-    found = []
+    tasks = [(o, i, reg) for o in range(outer) for reg in grid for i in range(inner)]
+    got = dict(zip(tasks, _beside(auc, tasks), strict=True))
+    best, means = [], {}
     for o in range(outer):
-        train, test = data.where(F.col("outer_") != o), data.where(F.col("outer_") == o)
-        means = []
         for reg in grid:
-            got = [a for i in range(inner) if (a := auc(train.where(F.col("inner_") != i), train.where(F.col("inner_") == i), reg)) is not None]
-            means.append(sum(got) / len(got) if got else float("-inf"))
-        best = max(range(len(grid)), key=lambda g: (means[g], -g))
-        found.append((o, float(grid[best]), round(means[best], 6), auc(train, test, grid[best])))
-    return rows.sparkSession.createDataFrame(found, "split int, reg double, inner_auc double, auc double")
+            known = [x for i in range(inner) if (x := got[o, i, reg]) is not None]
+            means[o, reg] = sum(known) / len(known) if known else float("-inf")
+        best.append(max(range(len(grid)), key=lambda g: (means[o, grid[g]], -g)))
+    final = _beside(auc, [(o, None, grid[g]) for o, g in enumerate(best)])
+    data.unpersist()
+    return rows.sparkSession.createDataFrame([(o, float(grid[g]), round(means[o, grid[g]], 6), a) for o, (g, a) in enumerate(zip(best, final, strict=True))], "split int, reg double, inner_auc double, auc double")

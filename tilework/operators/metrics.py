@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +12,62 @@ def accuracy(scored: DataFrame, logit: str = "logit", label: str = "label") -> D
     return scored.agg(F.round(F.avg(((F.col(logit) > 0).cast("int") == F.col(label)).cast("double")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
+#: Values that one block of a ranking holds about, and blocks at most.
+RANK_BLOCK, RANK_BLOCKS = 4096, 1000
+
+
+def blocks_of(df: DataFrame, column: str) -> Column:
+    """A number that ascends with a column and parts its values in about even blocks: cut at quantiles, of which the driver holds RANK_BLOCKS at most."""
+    n = min(RANK_BLOCKS, df.count() // RANK_BLOCK)
+    cuts = (df.agg(F.percentile_approx(F.col(column).cast("double"), [(i + 1) / (n + 1) for i in range(n)], 10_000).alias("q")).first().q or []) if n else []
+    return sum(((F.col(column) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+
+
+def running_sum(df: DataFrame, keys: list[str], block: Column, order: list, value: Column, into: str) -> DataFrame:
+    """df and `into`: the sum of value over the rows of a key up to each row, blocks first and then by order; sums within blocks, and the blocks' totals carried on."""
+    held = df.withColumn("_block", block).withColumn("_value", value)
+    totals = held.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
+    over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"))
+    within = F.sum("_value").over(Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return held.withColumn("_within", within).join(carried, [*keys, "_block"]).withColumn(into, F.col("_within") + F.col("_before")).drop("_block", "_value", "_within", "_before")
+
+
 def binary_auc(scored: DataFrame, score: str = "score", label: str = "label", by: str | None = None) -> DataFrame:
     """Mann-Whitney AUC; null where there is one class only.
 
     Scores collapse to one row each before the cumulative count, so ties cost
-    nothing and the window runs over distinct scores.
+    nothing; distinct scores are summed up in blocks.
     """
     keys = [by] if by else []
     per = scored.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
-    below = F.sum("neg").over(Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
-    won = per.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    summed = running_sum(per, keys, blocks_of(per, "s"), ["s"], F.col("neg"), "upto")
+    won = summed.withColumn("won", F.col("pos") * (F.col("upto") - F.col("neg") + F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return won.groupBy(*keys).agg(F.round(F.when(pairs > 0, F.sum("won") / pairs), 6).alias("auc"))
 
 
-#: Values that one block of a ranking holds about, and blocks at most.
-RANK_BLOCK, RANK_BLOCKS = 4096, 1000
+def mean_auc(by_class: DataFrame) -> DataFrame:
+    """The mean of the classes' AUC (one row each, rounded as they are), null if any of them is."""
+    return by_class.agg(F.round(F.when(F.count("*") == F.count("auc"), F.avg("auc")), 6).alias("mean_auc"), F.count("*").alias("n_classes"))
+
+
+def argmax(scores: Column) -> Column:
+    """The place of the greatest score, from 0; the first of equals."""
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
+def multiclass_accuracy(rows: DataFrame, scores: str, label: str) -> DataFrame:
+    return rows.agg(F.round(F.avg((argmax(F.col(scores)) == F.col(label)).cast("double")), 6).alias("accuracy"), F.count("*").alias("n"))
+
+
+def class_metrics(rows: DataFrame, scores: str, label: str) -> DataFrame:
+    """(class, auc, acc, f1) of each class against the rest, where scores has a score for each class."""
+    long = rows.select(argmax(F.col(scores)).alias("p"), F.col(label).alias("y"), F.posexplode(scores).alias("class", "s"))
+    long = long.withColumn("hit", (F.col("y") == F.col("class")).cast("int")).withColumn("said", (F.col("p") == F.col("class")).cast("int"))
+    both = F.sum(F.col("hit") * F.col("said"))
+    scored = long.groupBy("class").agg(F.round(F.avg((F.col("hit") == F.col("said")).cast("double")), 6).alias("acc"), F.round(2 * both / F.greatest(F.sum("hit") + F.sum("said"), F.lit(1)), 6).alias("f1"))
+    return binary_auc(long, "s", "hit", "class").join(scored, "class").select("class", "auc", "acc", "f1")
 
 
 def _ranked(values: DataFrame, column: str) -> DataFrame:
@@ -75,10 +117,11 @@ def bce_loss(logit: Column, label: Column) -> Column:
 
 
 def cox_loss(rows: DataFrame, group: str, time: str, event: str, risk: str, item: str) -> DataFrame:
-    """Mean negative partial log likelihood of each group: the hazards of all at risk are summed over descending time, events first among equals."""
-    w = Window.partitionBy(group).orderBy(F.col(time).desc(), F.col(event).desc(), item).rowsBetween(Window.unboundedPreceding, 0)
-    part = F.when(F.col(event), F.log(F.sum(F.exp(F.col(risk))).over(w)) - F.col(risk)).otherwise(0.0)
-    return rows.select(group, part.alias("part")).groupBy(group).agg(F.round(F.avg("part"), 6).alias("loss"), F.count("*").alias("n"))
+    """Mean negative partial log likelihood of each group: the hazards of all at risk are summed over descending time, events first among equals, in blocks of times."""
+    source = rows.select(group, F.col(time).alias("_t"), F.col(event).alias("_e"), F.col(risk).alias("_r"), F.col(item).alias("_i"))
+    summed = running_sum(source, [group], -blocks_of(source, "_t"), [F.col("_t").desc(), F.col("_e").desc(), "_i"], F.exp("_r"), "_h")
+    part = F.when(F.col("_e"), F.log("_h") - F.col("_r")).otherwise(0.0)
+    return summed.select(group, part.alias("part")).groupBy(group).agg(F.round(F.avg("part"), 6).alias("loss"), F.count("*").alias("n"))
 
 
 def class_scores(predicted: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
@@ -90,16 +133,31 @@ def class_scores(predicted: DataFrame, prediction: str = "prediction", label: st
     return out.withColumn("f1", F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6))
 
 
-def bootstrap_interval(rows: DataFrame, item: str, value: str, resamples: int, confidence: float = 0.95) -> DataFrame:
-    """A basic bootstrap interval of a mean: each row's weight in a resample is a Poisson(1) draw by the hash of (resample, row), so rows are neither indexed nor moved."""
+#: name -> statistic of rows (prediction or value p, label y) under weights w, as an aggregate; more may be added.
+STATISTICS: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "mean": lambda p, y, w: F.sum(p * w) / F.sum(w),
+    "accuracy": lambda p, y, w: F.sum(F.when(p == y, w).otherwise(0)) / F.sum(w),
+    "f1": lambda p, y, w: 2 * F.sum(p * y * w) / F.sum((p + y) * w),
+}
+
+
+def bootstrap_interval(rows: DataFrame, item: str, value: str, resamples: int = 1000, confidence: float = 0.95, statistic: str = "mean", label: str | None = None) -> DataFrame:
+    """A basic bootstrap interval of a statistic: each row's weight in a resample is a Poisson(1) draw by the hash of (resample, row), so rows are neither indexed nor moved."""
     u = F.conv(F.substring(F.sha2(F.concat_ws("|", "b", F.col(item).cast("string")), 256), 1, 8), 16, 10).cast("double") / 2.0**32
     cuts = (0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.996340153173, 0.999405815182)
     weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = rows.select(item, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("w", weight)
-    means = drawn.groupBy("b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    of, source = STATISTICS[statistic], rows.select(item, F.col(value).cast("double").alias("v"), F.col(label or value).cast("double").alias("y"))
+    drawn = source.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight)
+    means = drawn.groupBy("b").agg(of(F.col("v"), F.col("y"), F.col("w")).alias("m"))
     a = (1 - confidence) / 2
     ends = means.agg(F.expr(f"percentile(m, {1 - a})").alias("hi"), F.expr(f"percentile(m, {a})").alias("lo"))
-    return rows.agg(F.avg(F.col(value).cast("double")).alias("estimate")).crossJoin(ends).select(F.round("estimate", 6).alias("estimate"), F.round(2 * F.col("estimate") - F.col("hi"), 6).alias("low"), F.round(2 * F.col("estimate") - F.col("lo"), 6).alias("high"))
+    whole = source.agg(of(F.col("v"), F.col("y"), F.lit(1)).alias("estimate"))
+    return whole.crossJoin(ends).select(F.round("estimate", 6).alias("estimate"), F.round(2 * F.col("estimate") - F.col("hi"), 6).alias("low"), F.round(2 * F.col("estimate") - F.col("lo"), 6).alias("high"))  # two single rows
+
+
+def best_config(chosen: DataFrame) -> DataFrame:
+    """The configuration (config, epoch, value) of the greatest value, the first of equals."""
+    return chosen.agg(F.max_by(F.struct("config", "epoch", "value"), F.struct("value", F.struct(-F.col("epoch")))).alias("b")).select("b.*")
 
 
 def select_epoch(history: DataFrame) -> DataFrame:

@@ -46,3 +46,45 @@ def critical_instance_pool(tiles: DataFrame, key: str, item: str, score: str, ve
     top = tiles.groupBy(key).agg(F.max_by(F.struct(F.col(item).alias("i"), F.col(vector).alias("q")), F.struct(F.col(score), -F.col(item))).alias("c"))
     dot = F.aggregate(F.zip_with(vector, "c.q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
     return tiles.join(top, key).groupBy(key).agg(F.first("c.i").alias("critical"), F.round(F.max(dot), 5).alias("attention_max"))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def _dot(weights: list[float], vector: Column) -> Column:
+    return F.aggregate(F.zip_with(F.array(*map(F.lit, weights)), vector, lambda a, b: a * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
+
+
+def gated_attention_pool(tiles: DataFrame, key: str, vector: str, v: list[list[float]], u: list[list[float]], w: list[float], temperature: float = 1.0) -> DataFrame:
+    """(key, pos, pooled): the vectors' mean by the softmax of w . (tanh(V x) * sigmoid(U x)) / temperature within a key."""
+    gates = [F.lit(float(a)) * F.tanh(_dot(x, F.col(vector))) * sigmoid(_dot(y, F.col(vector))) for a, x, y in zip(w, v, u, strict=True)]
+    scored = tiles.select(key, vector, (sum(gates[1:], gates[0]) / temperature).alias("_score"))
+    return _softmax_pool(scored, key, vector)
+
+
+def _softmax_pool(scored: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, pos, pooled) of (key, vector, _score)."""
+    top = scored.groupBy(key).agg(F.max("_score").alias("_top"))
+    weighted = scored.join(top, key).select(key, F.exp(F.col("_score") - F.col("_top")).alias("_w"), F.posexplode(vector).alias("pos", "_v"))
+    return weighted.groupBy(key, "pos").agg(F.round(F.sum(F.col("_w") * F.col("_v").cast("double")) / F.sum("_w"), 6).alias("pooled"))
+
+
+def critical_attention_pool(tiles: DataFrame, key: str, item: str, score: str, vector: str) -> DataFrame:
+    """(key, pos, pooled): the vectors' mean by the softmax, within a key, of their dot products with the vector of its tile of the greatest score, over the root of the length."""
+    top = tiles.groupBy(key).agg(F.max_by(F.col(vector), F.struct(F.col(score), -F.col(item))).alias("_q"))
+    dot = F.aggregate(F.zip_with(vector, "_q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
+    return _softmax_pool(tiles.join(top, key).select(key, vector, (dot / F.sqrt(F.size(vector))).alias("_score")), key, vector)
+
+
+def mean_of_branches(scores: DataFrame, key: str, top: str, bag: str) -> DataFrame:
+    """(key, logit): half of the greatest tile's score and half of the bag's."""
+    return scores.select(key, F.round(0.5 * (F.col(top) + F.col(bag)), 6).alias("logit"))
+
+
+def padded(values: Column, length: Column | int, fill) -> Column:
+    """struct<values, mask>: the first `length` values, filled up to as many; the mask is true where filled."""
+    n = F.lit(length) if isinstance(length, int) else length
+    gap = F.greatest(n - F.size(values), F.lit(0))
+    kept = F.slice(values, F.lit(1), n)
+    return F.struct(F.concat(kept, F.array_repeat(fill, gap)).alias("values"), F.concat(F.array_repeat(F.lit(False), F.least(F.size(values), n)), F.array_repeat(F.lit(True), gap)).alias("mask"))

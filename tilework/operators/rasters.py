@@ -70,15 +70,20 @@ def runs_of(mask: DataFrame) -> DataFrame:
 
 
 def components(mask: DataFrame) -> DataFrame:
-    """(slide_id, component struct<slide_id, row, lo>, row, lo, hi): each run with the first run of its 8-connected component.
+    """(slide_id, component struct<slide_id, row, lo>, row, lo, hi): each run of mask pixels with the first run of its 8-connected component."""
+    return run_components(runs_of(mask))
+
+
+def run_components(found: DataFrame, touch: int = 1) -> DataFrame:
+    """components() of runs (slide_id, row, lo, hi); touch 1 joins runs that meet at a corner, 0 only those with a column in common.
 
     Runs take the least name among their neighbours' and then the name of the
     run they are named after, so that rounds grow slowly with a component's
     length. Each round is checkpointed.
     """
-    runs = checkpointed(runs_of(mask).withColumn("node", F.struct("slide_id", "row", "lo")))
+    runs = checkpointed(found.withColumn("node", F.struct("slide_id", "row", "lo")))
     a = runs.select("slide_id", F.col("node").alias("a"), (F.col("row") + 1).alias("row"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    touching = a.join(runs, ["slide_id", "row"]).where("a_lo <= hi + 1 and lo <= a_hi + 1").select("a", F.col("node").alias("b"))
+    touching = a.join(runs, ["slide_id", "row"]).where((F.col("a_lo") <= F.col("hi") + touch) & (F.col("lo") <= F.col("a_hi") + touch)).select("a", F.col("node").alias("b"))
     edges = checkpointed(touching.unionByName(touching.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     names = runs.select("node", F.col("node").alias("name"))
     while True:
@@ -91,6 +96,61 @@ def components(mask: DataFrame) -> DataFrame:
             return runs.join(names, "node").select("slide_id", F.col("name").alias("component"), "row", "lo", "hi")
 
 
+def fill_holes(mask: DataFrame) -> DataFrame:
+    """The mask's pixels and those of its holes: background that no path of neighbours in a row or column leads out of."""
+    frame = mask.groupBy("slide_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    lines = frame.select("slide_id", "c0", "c1", "r0", F.explode(F.sequence(F.col("r0") - 1, F.col("r1") + 1)).alias("row"))
+    line = Window.partitionBy("slide_id", "row").orderBy("lo")
+    runs = runs_of(mask)
+    ends = lines.select("slide_id", "row", (F.col("c1") + 2).alias("lo"), (F.col("c1") + 2).alias("hi"))  # what closes each line's last gap
+    starts = lines.select("slide_id", "row", (F.col("c0") - 2).alias("lo"), (F.col("c0") - 2).alias("hi"))
+    marks = runs.unionByName(ends).unionByName(starts)
+    gaps = marks.select("slide_id", "row", (F.col("hi") + 1).alias("lo"), (F.lead("lo").over(line) - 1).alias("hi")).where("hi >= lo")
+    found = run_components(gaps, 0)
+    inner = found.join(frame.select("slide_id", "r0"), "slide_id").where(F.col("component.row") >= F.col("r0"))  # what lies outside begins in the line above
+    filled = inner.select("slide_id", "row", F.explode(F.sequence("lo", "hi")).alias("col"))
+    return mask.select("slide_id", "row", "col").unionByName(filled).distinct()
+
+
+def binary_mask(mask: DataFrame, class_id: int) -> DataFrame:
+    """The pixels of one class, its holes filled."""
+    return fill_holes(mask.where(F.col("class_id") == class_id).select("slide_id", "row", "col"))
+
+
+def white_out(pixels: DataFrame, mask: DataFrame, values: list[str], white: int = 255) -> DataFrame:
+    """Pixels (slide_id, row, col, values) with all values white where there is no mask pixel."""
+    marked = pixels.join(mask.select("slide_id", "row", "col").distinct().withColumn("_in", F.lit(True)), ["slide_id", "row", "col"], "left")
+    return marked.select(*[F.when(F.col("_in"), F.col(c)).otherwise(F.lit(white)).alias(c) if c in values else F.col(c) for c in pixels.columns])
+
+
+def palette(n: int) -> list[tuple[float, float, float]]:
+    """n colours of even hue (red, green, blue from 0 to 1), lightness 0.6 and saturation 0.65."""
+    import colorsys
+
+    return [colorsys.hls_to_rgb((i / n + 0.01) % 1, 0.6, 0.65) for i in range(n)]
+
+
+def coloured(mask: DataFrame, n_classes: int) -> DataFrame:
+    """mask with its class' colour (r, g, b): class 1 has the palette's first, background none (0)."""
+    colours = F.array(*[F.struct(*[F.lit(round(x, 6)).alias(c) for c, x in zip("rgb", p, strict=True)]) for p in palette(n_classes)])
+    at = F.when(F.col("class_id").between(1, n_classes), F.get(colours, F.col("class_id") - 1))
+    return mask.select("*", *[F.coalesce(at[c], F.lit(0.0)).alias(c) for c in "rgb"])
+
+
+def to_source_level(boxes: DataFrame, scale_x: float, scale_y: float) -> DataFrame:
+    """Boxes of components found at a level, in pixels of level 0, rounded half to even."""
+    at = lambda c, k: F.bround(F.col(c) * F.lit(float(k)), 0).cast("long").alias(c)
+    kept = [c for c in boxes.columns if c not in ("row_min", "row_max", "col_min", "col_max")]
+    return boxes.select(*kept, at("row_min", scale_y), at("row_max", scale_y), at("col_min", scale_x), at("col_max", scale_x))
+
+
+def blended(image: DataFrame, heat: DataFrame, alpha: float, threshold: float | None = None) -> DataFrame:
+    """Pixels (slide_id, row, col, v) mixed with heat (slide_id, row, col, heat): alpha of the heat, the rest of the pixel; pixels without heat, or with heat below the threshold, stay."""
+    both = image.join(heat.select("slide_id", "row", "col", "heat"), ["slide_id", "row", "col"], "left")
+    shown = F.col("heat").isNotNull() if threshold is None else F.col("heat") >= threshold
+    return both.select("slide_id", "row", "col", F.round(F.when(shown, alpha * F.col("heat") + (1 - alpha) * F.col("v")).otherwise(F.col("v")), 6).alias("v"))
+
+
 def component_boxes(found: DataFrame, min_size: int = 0, largest: int | None = None) -> DataFrame:
     """(slide_id, component, area, row_min, row_max, col_min, col_max) of components above min_size; of each slide the `largest` if given."""
     boxes = found.groupBy("slide_id", "component").agg(
@@ -131,11 +191,13 @@ def hulls(found: DataFrame) -> DataFrame:
     return named.select("slide_id", F.lit("tissue").alias("label"), "roi_id", "vertex_id", "p.x", "p.y")
 
 
-def canvas(tiles: DataFrame, side: int) -> DataFrame:
-    """(slide_id, row, col, line): square tiles (slide_id, x, y, px) put together; a row a line of pixels, which starts at the leftmost tile's column."""
+def canvas(tiles: DataFrame, side: int, background: int = 255) -> DataFrame:
+    """(slide_id, row, col, line): square tiles (slide_id, x, y, px) put together; a row a line of pixels, which starts at the leftmost tile's column; gaps are background."""
     lines = tiles.select("slide_id", "y", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda r: F.slice("px", r * side + 1, side))).alias("r", "part"), "x")
     whole = lines.groupBy("slide_id", (F.col("x") + F.col("r")).alias("row")).agg(F.array_sort(F.collect_list(F.struct("y", "part"))).alias("parts"))
-    return whole.select("slide_id", "row", F.col("parts")[0]["y"].alias("col"), F.flatten("parts.part").alias("line"))
+    gap = lambda i: F.when(i > 0, F.col("parts")[i]["y"] - F.get(F.col("parts"), i - 1)["y"] - side).otherwise(0)
+    filled = F.transform("parts", lambda p, i: F.concat(F.array_repeat(F.lit(background), F.greatest(gap(i), F.lit(0)).cast("int")), p["part"]))
+    return whole.select("slide_id", "row", F.col("parts")[0]["y"].alias("col"), F.flatten(filled).alias("line"))
 
 
 def local_entropy(image: np.ndarray, radius: int = 10) -> np.ndarray:

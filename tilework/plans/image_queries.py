@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import annotations as an
-from ..operators import learning, rasters
+from ..operators import learning, pooling, rasters
 from ..streaming.tiles import counts_by_window
 from .queries import QUERIES, SQL, features, image_pixels, mask, otsu_threshold, query, table, vertices
 
@@ -21,18 +21,12 @@ def gray(spark, d):
 
 
 def crowded(spark, d):
-    """The mask's pixels on fifty slides, so that they touch."""
-    return mask(spark, d).withColumn("slide_id", F.col("slide_id") % 50)
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id % 10 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
-def missing_patches(spark, d):
-    expected = table(spark, d, "documents").select("doc_id").where("doc_id % 10 = 0")
-    return expected.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
+    """The mask's pixels with those of four thousand orders on one slide, so that they touch; slides grow in number with the table."""
+    return mask(spark, d).withColumn("slide_id", F.floor(F.col("slide_id") / 4000))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def missing_patches_all(spark, d):
+def missing_patches(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
@@ -52,8 +46,7 @@ def center_crop(spark, d):
 @query("SELECT slide_id, CAST(len(tiles) AS INT) AS n, list_aggregate(list_concat(tiles, list_transform(range(30 - len(tiles)), lambda i: -1)), 'string_agg', ',') AS tiles FROM (SELECT slide_id, list_sort(list(tile_no)) AS tiles FROM features GROUP BY 1)")
 def pad_mask(spark, d):
     rows = features(spark, d).groupBy("slide_id").agg(F.array_sort(F.collect_list("tile_no")).alias("tiles"))
-    padded = F.concat("tiles", F.array_repeat(F.lit(-1), F.lit(30) - F.size("tiles")))
-    return rows.select("slide_id", F.size("tiles").alias("n"), F.concat_ws(",", padded.cast("array<string>")).alias("tiles"))
+    return rows.select("slide_id", F.size("tiles").alias("n"), F.concat_ws(",", pooling.padded(F.col("tiles"), 30, F.lit(-1))["values"].cast("array<string>")).alias("tiles"))
 
 
 @query("SELECT round(avg(ln(exp(z0) + exp(z1)) - CASE WHEN y = 1 THEN z1 ELSE z0 END), 6) AS loss FROM (SELECT e0 AS z0, e1 AS z1, label % 2 AS y FROM features)")
@@ -152,11 +145,15 @@ def _binary(spark, d):
 
 def linear_probe(spark, d):
     rows = _binary(spark, d)
-    return learning.linear_probe(rows.where("image_id % 4 <> 0"), rows.where("image_id % 4 = 0"), "image_id", "embedding", "y", portion=0.5, models=3).withColumn("p", F.round("p", 4))
+    return learning.linear_probe(rows.where("image_id % 4 <> 0"), rows.where("image_id % 4 = 0"), "image_id", "embedding", "y", portion=0.5).withColumn("p", F.round("p", 4))
 
 
 def nested_cv(spark, d):
-    return learning.nested_cv(_binary(spark, d), "image_id", "embedding", "y", [0.001, 0.1], outer=2, inner=2)
+    return learning.nested_cv(_binary(spark, d), "image_id", "embedding", "y", [0.001, 0.1])
 
 
 QUERIES |= {f.__name__: f for f in (pca, linear_probe, nested_cv)}
+
+#: Names that queries over whole tables had beside filtered ones of old.
+for _name in ("cindex", "missing_patches", "outer_join_chain", "label_right_join"):
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]

@@ -184,30 +184,19 @@ def class_weights(spark, d):
 # -- cohorts -------------------------------------------------------------------
 
 
-@query("SELECT doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 3 <> 0) d FULL OUTER JOIN (SELECT doc_id, quality, toxic FROM labels) l USING (doc_id)")
+@query("SELECT doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d FULL OUTER JOIN labels l USING (doc_id)")
 def outer_join_chain(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 3 <> 0").select("doc_id", "lang", "n_chars")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
     labels = table(spark, d, "labels")
     return cohorts.merge_chain([docs, labels.select("doc_id", "quality"), labels.select("doc_id", "toxic")], ["doc_id", "doc_id"], ["full_outer", "full_outer"])
 
 
-@query("SELECT doc_id, d.lang, l.quality FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0) d RIGHT JOIN (SELECT doc_id, quality FROM labels) l USING (doc_id)")
+@query("SELECT doc_id, d.lang, l.quality FROM documents d RIGHT JOIN labels l USING (doc_id)")
 def label_right_join(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", "lang")
+    docs = table(spark, d, "documents").select("doc_id", "lang")
     return docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "right")
 
 
-@query("SELECT doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d FULL OUTER JOIN labels l USING (doc_id)")
-def outer_join_chain_all(spark, d):
-    docs, labels = table(spark, d, "documents").select("doc_id", "lang", "n_chars"), table(spark, d, "labels")
-    return cohorts.merge_chain([docs, labels.select("doc_id", "quality"), labels.select("doc_id", "toxic")], ["doc_id", "doc_id"], ["full_outer", "full_outer"])
-
-
-@query("SELECT doc_id, d.lang, l.quality FROM documents d RIGHT JOIN labels l USING (doc_id)")
-def label_right_join_all(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "right")
-
-
 @query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id) WHERE lang IN ('de', 'en')")
 def cohort_union_dropna(spark, d):
     joined = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -368,9 +357,11 @@ def critical_instance_pool(spark, d):
 
 @query("""SELECT slide_id, r, c, round(sum(score) / count(*), 6) AS heat, count(*) AS n FROM (SELECT slide_id, "row" // 8 + dx AS r, col // 8 + dy AS c, class_id::DOUBLE AS score FROM mask, unnest([0, 1]) a(dx), unnest([0, 1]) b(dy)) GROUP BY ALL""")
 def heatmap_blend(spark, d):
-    shifted = mask(spark, d).select("slide_id", "row", "col", "class_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("dx")).withColumn("dy", F.explode(F.array(F.lit(0), F.lit(1))))
-    at = lambda c, s: (F.floor(F.col(c) / 8) + F.col(s)).cast("long")
-    return shifted.groupBy("slide_id", at("row", "dx").alias("r"), at("col", "dy").alias("c")).agg(F.round(F.avg(F.col("class_id").cast("double")), 6).alias("heat"), F.count("*").alias("n"))
+    at = lambda c: F.floor(F.col(c) / 8)
+    cells = mask(spark, d).groupBy("slide_id", at("row").alias("r0"), at("col").alias("c0")).agg(F.sum(F.col("class_id").cast("double")).alias("s"), F.count("*").alias("m"))
+    steps = F.array(F.lit(0), F.lit(1))
+    shifted = cells.select("slide_id", "s", "m", "c0", F.explode(F.transform(steps, lambda k: F.col("r0") + k)).alias("r")).select("slide_id", "s", "m", "r", F.explode(F.transform(steps, lambda k: F.col("c0") + k)).alias("c"))
+    return shifted.groupBy("slide_id", "r", "c").agg(F.round(F.sum("s") / F.sum("m"), 6).alias("heat"), F.sum("m").alias("n"))
 
 
 # -- metrics -------------------------------------------------------------------
@@ -393,13 +384,8 @@ def macro_ovr_auc(spark, d):
     return metrics.binary_auc(f, "s", "y", "class")
 
 
-@query("SELECT round(sum(CASE WHEN a.risk > b.risk THEN 1.0::DOUBLE WHEN a.risk = b.risk THEN 0.5 ELSE 0 END) / count(*), 6) AS cindex, count(*) AS n_pairs FROM (SELECT * FROM clinical WHERE center < 2) a JOIN (SELECT * FROM clinical WHERE center < 2) b ON a.event AND (a.time < b.time OR (a.time = b.time AND NOT b.event))")
-def cindex(spark, d):
-    return metrics.cindex(clinical(spark, d).where("center < 2"), "time", "event", "risk")
-
-
 @query("SELECT round(sum(CASE WHEN a.risk > b.risk THEN 1.0::DOUBLE WHEN a.risk = b.risk THEN 0.5 ELSE 0 END) / count(*), 6) AS cindex, count(*) AS n_pairs FROM clinical a JOIN clinical b ON a.event AND (a.time < b.time OR (a.time = b.time AND NOT b.event))")
-def cindex_all(spark, d):
+def cindex(spark, d):
     return metrics.cindex(clinical(spark, d), "time", "event", "risk")
 
 
@@ -410,9 +396,9 @@ def per_class_f1(spark, d):
 
 @query("""SELECT round(e, 6) AS estimate, round(2 * e - hi, 6) AS low, round(2 * e - lo, 6) AS high FROM (SELECT avg(label::DOUBLE) AS e FROM features), (SELECT quantile_cont(m, 0.975) AS hi, quantile_cont(m, 0.025) AS lo FROM (SELECT b, sum(v * w) / sum(w) AS m FROM
 (SELECT b, v, (u >= 0.367879441171)::INT + (u >= 0.735758882343)::INT + (u >= 0.919698602929)::INT + (u >= 0.981011843124)::INT + (u >= 0.996340153173)::INT + (u >= 0.999405815182)::INT AS w FROM
-(SELECT b, label::DOUBLE AS v, ('0x' || sha256(concat_ws('|', b::VARCHAR, image_id::VARCHAR))[1:8])::BIGINT / 4294967296::DOUBLE AS u FROM features, unnest(range(0, 100)) t(b))) GROUP BY b))""")
+(SELECT b, label::DOUBLE AS v, ('0x' || sha256(concat_ws('|', b::VARCHAR, image_id::VARCHAR))[1:8])::BIGINT / 4294967296::DOUBLE AS u FROM features, unnest(range(0, 1000)) t(b))) GROUP BY b))""")
 def bootstrap_ci(spark, d):
-    return metrics.bootstrap_interval(features(spark, d).select("image_id", "label"), "image_id", "label", 100)
+    return metrics.bootstrap_interval(features(spark, d).select("image_id", "label"), "image_id", "label")
 
 
 @query("SELECT round(avg(greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit)))), 6) AS loss FROM scored")
@@ -445,6 +431,7 @@ def results_pivot(spark, d):
 LEFT JOIN (SELECT slide_id, round(avg(e0), 6) AS mean_e0 FROM features GROUP BY 1) USING (slide_id)""")
 def slide_summary(spark, d):
     """Of each slide: the tiles within its border, and its tiles' mean first feature."""
-    counts = tile_grid_drop_edges(spark, d).groupBy("slide_id").agg(F.count("*").alias("n_tiles"))
+    n = tiles.tile_count(F.col("height"), TILE, drop_edges=True) * tiles.tile_count(F.col("width"), TILE, drop_edges=True)
+    counts = slides(spark, d).groupBy("slide_id").agg(F.sum(n).alias("n_tiles")).where("n_tiles > 0")
     means = features(spark, d).groupBy("slide_id").agg(F.round(F.avg("e0"), 6).alias("mean_e0"))
     return counts.join(means, "slide_id", "left")

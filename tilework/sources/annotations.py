@@ -64,7 +64,20 @@ def read_imagej(spark: SparkSession, path: str) -> DataFrame:
 READERS = {"csv": read_csv, "json": read_json, "qupath": read_qupath, "asap": read_asap, "imagej": read_imagej}
 
 
-def read_annotations(spark: SparkSession, source: str | DataFrame, kind: str = "json", labels: list[str] | None = None) -> DataFrame:
-    """Reads a path or glob of one kind, or takes a DataFrame of vertices as it is; keeps `labels` if given."""
-    found = source if isinstance(source, DataFrame) else READERS[kind](spark, source)
+def read_annotations(spark: SparkSession, source: str | DataFrame | list, kind: str | list[str] = "json", labels: list[str] | None = None) -> DataFrame:
+    """Reads a path or glob of a kind, or takes a DataFrame of vertices as it is, or a list of such, each of its own kind if kinds are a list; keeps `labels` if given.
+
+    Files of one slide add to each other: rois of a label are numbered on from
+    source to source.
+    """
+    sources = source if isinstance(source, list) else [source]
+    kinds = kind if isinstance(kind, list) else [kind] * len(sources)
+    parts = [x if isinstance(x, DataFrame) else READERS[k](spark, x) for x, k in zip(sources, kinds, strict=True)]
+    found = parts[0]
+    if len(parts) > 1:
+        every = [p.select("slide_id", "label", "roi_id", "vertex_id", "x", "y").withColumn("_source", F.lit(i)) for i, p in enumerate(parts)]
+        for p in every[1:]:
+            every[0] = every[0].unionByName(p)
+        number = F.dense_rank().over(Window.partitionBy("slide_id", "label").orderBy("_source", "roi_id")) - 1
+        found = every[0].withColumn("roi_id", number).drop("_source")
     return found if labels is None else found.where(F.col("label").isin(labels))

@@ -24,6 +24,21 @@ def read_kv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key string, shape array<int>, dtype string, data binary").parquet(path)
 
 
+def upsert_kv(spark: SparkSession, tiles: DataFrame, path: str, target: str) -> None:
+    """Writes to `target` the store at `path` with these entries in the place of those of the same key; an entry given twice keeps its greatest data."""
+    new = tiles.groupBy("key").agg(F.max(F.struct("data", "shape", "dtype")).alias("r")).select("key", "r.shape", "r.dtype", "r.data")
+    kept = read_kv(spark, path).join(new.select("key"), "key", "left_anti")
+    kept.unionByName(new).write.mode("overwrite").parquet(target)
+
+
+def tile_metadata(tiles: DataFrame, folder: str, path: str | None = None) -> DataFrame:
+    """(y, x, path) of tiles saved as folder_y_x.png; written as CSV with a header if there is a path."""
+    rows = tiles.select("y", "x", F.concat(F.lit(folder), F.lit("_"), F.concat_ws("_", "y", "x"), F.lit(".png")).alias("path"))
+    if path:
+        rows.write.mode("overwrite").csv(path, header=True)
+    return rows
+
+
 def get(store: DataFrame, key: str) -> DataFrame:
     """The entry of a key; no row if it is missing. The filter reaches the files' statistics."""
     return store.where(F.col("key") == key)
@@ -109,10 +124,12 @@ def read_msi(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_survival(spark: SparkSession, path: str) -> DataFrame:
-    """(patient_id, center, os, pfi): times are negative where censored."""
+    """(patient_id, center, age, gender, ethnicity, stage, grade, os, pfi): times are negative where censored; columns that the file lacks are null."""
     rows = spark.read.csv(path, header=True, nullValue="[Not Available]")
     signed = lambda event: F.when(F.col(event).cast("double") == 1, F.col(f"`{event}.time`").cast("double")).otherwise(-F.col(f"`{event}.time`").cast("double"))
-    return rows.select(F.col("bcr_patient_barcode").alias("patient_id"), F.split("bcr_patient_barcode", "-")[1].alias("center"), signed("OS").alias("os"), signed("PFI").alias("pfi"))
+    described = {"age": "age_at_initial_pathologic_diagnosis", "gender": "gender", "ethnicity": "race", "stage": "ajcc_pathologic_tumor_stage", "grade": "histological_grade"}
+    more = [(F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(name) for name, c in described.items()]
+    return rows.select(F.col("bcr_patient_barcode").alias("patient_id"), F.split("bcr_patient_barcode", "-")[1].alias("center"), *more, signed("OS").alias("os"), signed("PFI").alias("pfi"))
 
 
 def read_subtypes(spark: SparkSession, path: str) -> DataFrame:
