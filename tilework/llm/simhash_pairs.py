@@ -13,9 +13,10 @@ stay few and that recall stays the same at every size.
 
 Members of a bucket are candidates if CHECK_BITS further bits agree well enough
 and their sizes can reach the similarity; candidates count only if their sets of
-shingles do reach it. In a large bucket, members are first compared with a
-leader, another one in each bucket and round; what verified pairs connect needs
-no further look, and all other pairs of the bucket are compared then.
+shingles do reach it. Each member of a bucket is first compared with one other
+that is like it, in a large bucket with a leader, another one in each round; what
+verified pairs connect needs no further look, and all other pairs of members that
+are alike are compared then.
 """
 
 from __future__ import annotations
@@ -38,13 +39,13 @@ DIFFERING, RECALL = 0.095, 0.97
 #: A partition is so many bits wider than the number of documents needs, so chance members of a bucket are few.
 SPARE_BITS = 3
 #: Bits beside the partitions' that candidates are looked at by, and in how many they may differ (at 0.8: 12 on average, by chance: 64).
-CHECK_BITS, CHECK_RADIUS = 128, 36
-#: Buckets beyond this go by leaders; rounds of leaders before all pairs that are left; members of a block of those.
+CHECK_BITS, CHECK_RADIUS = 128, 28
+#: Buckets beyond this go by leaders and are never seen whole; rounds of leaders before all pairs that are left; members of a block of those.
 LARGE, ROUNDS, BLOCK = 64, 3, 64
 #: monotonically_increasing_id has the number of the partition from this bit on.
 PARTITION_BIT = 33
 #: Words whose hashes a worker remembers.
-HASHES_KEPT = 300_000
+HASHES_KEPT = 100_000
 _FACTOR, _GOLDEN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _hashes: dict[bytes, int] = {}
 
@@ -207,11 +208,15 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
     met = saved(lookup(rows, shared, "bucket", "n").where("met is not null").select("bucket", "met", F.struct("node", "size", "c1", "c2").alias("m")), "met")
 
     members = met.where(F.col("met") <= LARGE).groupBy("bucket").agg(F.collect_list("m").alias("all"))
-    inner = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (x["node"] < y["node"]) & _alike(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    near = saved(members.select(F.inline(inner)).distinct(), "candidates")
+    alike = F.transform("all", lambda x: F.struct(x["node"].alias("b"), F.transform(F.filter("all", lambda y: (y["node"] < x["node"]) & _alike(x, y)), lambda y: y["node"]).alias("before")))
+    some_alike = members.select("bucket", F.filter(alike, lambda x: F.size(x["before"]) > 0).alias("found")).where(F.size("found") > 0)
+    first = saved(some_alike.select("bucket", F.exists("found", lambda x: F.size(x["before"]) > 1).alias("more"), F.inline(F.transform("found", lambda x: F.struct(F.array_min(x["before"]).alias("a"), x["b"].alias("b"))))), "first")
+    near = saved(first.select("a", "b").distinct(), "candidates")
+    open_buckets = first.where("more").select("bucket").distinct()
+    small = saved(met.join(open_buckets, "bucket", "left_semi").select("bucket", "m"), "small")  # pairs are left in these
     active = met.where(F.col("met") > LARGE).select("bucket", "m")
 
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(active.select("m.node")).distinct()
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(active.select("m.node")).unionByName(small.select("m.node")).distinct()
 
     def sets_of(batch):
         found = [shingles(word_hashes(x.as_py())) for x in batch.column(1)]
@@ -223,19 +228,27 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
     if not edges.isEmpty():
         chains = components(edges)
         roots = saved(chains.unionByName(chains.select(F.col("root").alias("node"), "root")).distinct(), "roots")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Members (bucket, m) with their class, of those buckets that have members of two classes: others have no further pairs."""
+        weighted = roots.join(rows.groupBy(F.col("m.node").alias("node")).agg(F.count("*").alias("n")), "node")
+        now = lookup(rows.select("bucket", "m", F.col("m.node").alias("node")), weighted, "node", "n").select("bucket", "m", F.coalesce("root", "node").alias("class"))
+        two = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+        return saved(lookup(now, two.select("bucket", "n", F.lit(True).alias("mixed")), "bucket", "n").where("mixed").drop("mixed"), "active")
+
     for k in range(ROUNDS + 1):
-        # Buckets whose members are all of one class have no further pairs.
-        weighted = roots.join(active.groupBy(F.col("m.node").alias("node")).agg(F.count("*").alias("n")), "node")
-        now = lookup(active.select("bucket", "m", F.col("m.node").alias("node")), weighted, "node", "n").select("bucket", "m", F.coalesce("root", "node").alias("class"))
-        mixed = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-        active = saved(lookup(now, mixed.select("bucket", "n", F.lit(True).alias("mixed")), "bucket", "n").where("mixed").drop("mixed"), "active")
-        if active.isEmpty():
+        classed = mixed(active)
+        rest = mixed(small) if k == 0 else None
+        done = classed.isEmpty()
+        if done and (rest is None or rest.isEmpty()):
             break
         if k < ROUNDS:
-            leader = active.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "m.node", F.lit(k)).alias("h"), "m", "class")).alias("l"), F.count("*").alias("n"))
-            asked = lookup(active, leader.select("bucket", "n", F.col("l.m").alias("other"), F.col("l.class").alias("other_class")), "bucket", "n")
+            leader = classed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "m.node", F.lit(k)).alias("h"), "m", "class")).alias("l"), F.count("*").alias("n"))
+            asked = lookup(classed, leader.select("bucket", "n", F.col("l.m").alias("other"), F.col("l.class").alias("other_class")), "bucket", "n").select("m", "class", "other", "other_class")
         else:
-            asked = crossed(active)
+            asked = crossed(classed)
+        if rest is not None:
+            asked = asked.unionByName(crossed(rest))
         new = saved(ordered(asked.where("class <> other_class")).join(tried, ["a", "b"], "left_anti"), "candidates")
         if not new.isEmpty():
             found = saved(verified(new, sets), "verified")
@@ -244,7 +257,9 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
                 edges = edges.unionByName(found)
                 chains = components(edges)
                 roots = saved(chains.unionByName(chains.select(F.col("root").alias("node"), "root")).distinct(), "roots")
-        active = active.select("bucket", "m")
+        if done:
+            break
+        active = classed.select("bucket", "m")
     return roots
 
 
@@ -259,7 +274,7 @@ def crossed(active: DataFrame) -> DataFrame:
         return F.filter("all", lambda y: (x["m"]["node"] != y["m"]["node"]) & (x["class"] != y["class"]) & ((F.col("i") == F.col("j")) | (x["block"] < y["block"])) & _alike(x["m"], y["m"]))
 
     found = F.flatten(F.transform("all", lambda x: F.transform(fit(x), lambda y: F.struct(x["m"].alias("m"), x["class"].alias("class"), y["m"].alias("other"), y["class"].alias("other_class")))))
-    return groups.select("i", "j", F.inline(found))
+    return groups.select("i", "j", F.inline(found)).drop("i", "j")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens and words that a worker remembers at most; those met later are encoded anew each time.
-PIECES_KEPT, WORDS_KEPT = 700_000, 300_000
+PIECES_KEPT, WORDS_KEPT = 400_000, 200_000
 #: Texts of these characters alone are in normal form C once in lower case, and the pattern below cuts them as the library does.
 _PLAIN = re.compile("[\t-\r -~ß-öø-ÿÀ-ÖØ-Þ]*").fullmatch
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+").findall
