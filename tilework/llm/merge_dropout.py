@@ -389,7 +389,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "piece_ids", rate: floa
 
     A null text gives null, an empty one no pieces; equal texts are cut alike
     under one seed, their words' occurrences each by itself. Rate 0 gives the library's own segmentation. A column already
-    called `ids` is an error; other columns pass through.
+    called `ids` is an error; other columns and repeated rows pass through, an
+    empty table stays empty.
     """
     if ids.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"there is a column {ids}")
