@@ -13,22 +13,26 @@ from tilework.llm.common import saved
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that weak supervision takes for good."""
+    """Documents that weak supervision takes for good; null and empty texts are not, repeated rows are judged each, an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document, that of the least id, of each class of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Texts without words, null ones too, are one class; repeated rows are copies; a
+    null id stays only where a class has no other; an empty table stays empty.
+    """
     return simhash_pairs.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All documents, with personal data masked; null texts stay null, repeated rows stay, an empty table stays empty."""
     return pii.mask(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences of 4096 tokens."""
+    """The documents' pieces and their places in sequences of 4096 tokens; a null text is its end alone, an empty table gives no rows."""
     return packing.pack(docs)
 
 

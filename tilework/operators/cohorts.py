@@ -27,15 +27,19 @@ def not_done(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key).distinct(), key, "left_anti")
 
 
-#: Labels up to so many are broadcast with their codes; more are joined.
-BROADCAST_LABELS = 100_000
+#: Tables of up to so many rows are broadcast; larger ones are joined.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
     """df with `code`: labels numbered from 0 in their order, null stays null. Codes come from the distinct labels."""
     codes = df.select(label).where(F.col(label).isNotNull()).distinct().select(label, (F.row_number().over(Window.orderBy(label)) - 1).alias("code"))
-    few = codes.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    return df.join(F.broadcast(codes) if few else codes, label, "left")
+    return df.join(broadcast_if_small(codes), label, "left")
 
 
 def map_labels(df: DataFrame, label: str, codes: dict) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cohorts import broadcast_if_small
+
 
 def to_pixels(vector: Column) -> Column:
     """Values in [-1, 1] as bytes."""
@@ -44,7 +46,7 @@ def standard_scale(features: DataFrame, item: str, vector: str) -> DataFrame:
     """(item, pos, z): positions scaled by their own mean and population deviation; the statistics are a row a position."""
     long = features.select(item, F.posexplode(vector).alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
     stats = long.groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return long.join(F.broadcast(stats), "pos").select(item, "pos", F.round((F.col("v") - F.col("m")) / F.col("s"), 5).alias("z"))
+    return long.join(broadcast_if_small(stats), "pos").select(item, "pos", F.round((F.col("v") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
 def blue_share(pixels: Column) -> Column:

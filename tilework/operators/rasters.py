@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cohorts import broadcast_if_small
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the folder the session names in spark.checkpoint.dir; one is set only where that is unset."""
@@ -38,7 +40,7 @@ def fill_polygons(vertices: DataFrame) -> DataFrame:
 
 def paint(runs: DataFrame, class_key: DataFrame) -> DataFrame:
     """(slide_id, row, col, class_id): runs as pixels; of classes that overlap the greatest wins. The key is one row a label."""
-    pixels = runs.join(F.broadcast(class_key), "label").select("slide_id", "row", F.explode(F.sequence("lo", "hi")).alias("col"), "class_id")
+    pixels = runs.join(broadcast_if_small(class_key), "label").select("slide_id", "row", F.explode(F.sequence("lo", "hi")).alias("col"), "class_id")
     return pixels.groupBy("slide_id", "row", "col").agg(F.max("class_id").alias("class_id"))
 
 

@@ -160,10 +160,10 @@ def first_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
 
 
 def stitch_completeness(patches: DataFrame) -> DataFrame:
-    """(slide_id, step, n, completeness) of patches (slide_id, x, y): the share of the grid, spanned by their extremes and least step, that is present."""
+    """(slide_id, step, n, completeness) of patches (slide_id, x, y): the share of the grid, spanned by their extremes and the least step along either axis, that is present."""
     distinct = patches.select("slide_id", "x", "y").distinct()
-    gap = F.col("x") - F.lag("x").over(Window.partitionBy("slide_id").orderBy("x"))
-    steps = distinct.select("slide_id", "x").distinct().withColumn("gap", gap).groupBy("slide_id").agg(F.min("gap").alias("step"))
+    axis = lambda c: distinct.select("slide_id", F.col(c).alias("at")).distinct().select("slide_id", (F.col("at") - F.lag("at").over(Window.partitionBy("slide_id").orderBy("at"))).alias("gap"))
+    steps = axis("x").unionByName(axis("y")).groupBy("slide_id").agg(F.min("gap").alias("step"))
     span = distinct.groupBy("slide_id").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
     cells = lambda c: F.floor((F.col(f"hi_{c}") - F.col(f"lo_{c}")) / F.col("step")) + 1
     return span.join(steps, "slide_id").where("step is not null").select("slide_id", F.col("step").cast("long").alias("step"), "n", F.round(F.col("n") / (cells("x") * cells("y")), 6).alias("completeness"))

@@ -132,7 +132,7 @@ def first_n_tiles(spark, d):
 
 @query("""SELECT slide_id, step::BIGINT AS step, n, round(n / ((floor((hx - lx) / step) + 1) * (floor((hy - ly) / step) + 1)), 6) AS completeness FROM
 (SELECT slide_id, count(*) AS n, min(x) lx, max(x) hx, min(y) ly, max(y) hy FROM (SELECT DISTINCT slide_id, "row" AS x, col AS y FROM mask) GROUP BY 1)
-JOIN (SELECT slide_id, min(gap)::DOUBLE AS step FROM (SELECT slide_id, x - lag(x) OVER (PARTITION BY slide_id ORDER BY x) AS gap FROM (SELECT DISTINCT slide_id, "row" AS x FROM mask)) GROUP BY 1 HAVING min(gap) IS NOT NULL) USING (slide_id)""")
+JOIN (SELECT slide_id, min(gap)::DOUBLE AS step FROM (SELECT slide_id, x - lag(x) OVER (PARTITION BY slide_id ORDER BY x) AS gap FROM (SELECT DISTINCT slide_id, "row" AS x FROM mask) UNION ALL SELECT slide_id, y - lag(y) OVER (PARTITION BY slide_id ORDER BY y) FROM (SELECT DISTINCT slide_id, col AS y FROM mask)) GROUP BY 1 HAVING min(gap) IS NOT NULL) USING (slide_id)""")
 def stitch_completeness(spark, d):
     return tiles.stitch_completeness(mask(spark, d).select("slide_id", F.col("row").alias("x"), F.col("col").alias("y")))
 

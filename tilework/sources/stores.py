@@ -86,11 +86,18 @@ def png(data: bytes, width: int, height: int, channels: int = 3) -> bytes:
 
 
 def write_pngs(tiles: DataFrame, folder: str) -> DataFrame:
-    """Writes tiles (slide_id, x, y, width, height, data as RGB) to folder/slide/y_x.png; (slide_id, y, x, path), lazily, a file each row."""
+    """Writes tiles (slide_id, x, y, width, height, data as RGB) to folder/slide/y_x.png; (slide_id, y, x, path), lazily, a file each row.
+
+    A folder without a scheme lies on Spark's default file system.
+    """
+    spark = tiles.sparkSession
+    named = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toString()
+
     def put(batches):
         from pyarrow import fs
 
-        files, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        files, root = (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if folder.startswith("file:") else fs.FileSystem.from_uri(folder)
         for batch in batches:
             paths = []
             for t in batch.to_pylist():
