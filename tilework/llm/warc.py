@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import file_system, hashed_sample, lookup, new_file, qualified, saved, text_of
-from .token_files import DICTIONARY_BYTES, make_dictionary
+from .token_files import make_dictionary
 
 DICTIONARY_FRAME = 0x184D2A5D
-#: Records that the dictionary is made from at most, and bytes of each; its own size is at most DICTIONARY_BYTES.
+#: Records that the dictionary is made from at most, and bytes of each; its own size is bounded by token_files.DICTIONARY_BYTES.
 SAMPLE_RECORDS, SAMPLE_BYTES = 1000, 8192
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6f1d2c0a-7f0b-4c53-9a39-5f0f7f1b2a77")
