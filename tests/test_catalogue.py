@@ -63,3 +63,11 @@ def test_folds_keep_groups_and_labels_together(spark):
     assert all(max(c.values()) - min(c.values()) <= 1 for y in (True, False) if (c := Counter(r.fold for r in alone.collect() if r.label == y)))
     with pytest.raises(ValueError):
         cohorts.split_cv(frame, "item", 5, "other")
+
+
+def test_clinical_columns(spark, tmp_path):
+    from tilework.sources import stores
+
+    touch(tmp_path / "clin.csv", "bcr_patient_barcode,gender,ajcc_pathologic_tumor_stage,OS,OS.time,PFI,PFI.time\nTCGA-AA-1,MALE,[Not Available],1,10,0,20\n")
+    row = stores.read_clinical(spark, str(tmp_path / "clin.csv")).first()
+    assert (row.patient_id, row.center, row.age, row.gender, row.stage, row.grade, row.os, row.pfi) == ("TCGA-AA-1", "AA", None, "MALE", None, None, 10.0, -20.0)

@@ -130,7 +130,7 @@ def read_msi(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("patient_id", (F.col("label") == "MSI-H").cast("double").alias("label"))
 
 
-def read_survival(spark: SparkSession, path: str) -> DataFrame:
+def read_clinical(spark: SparkSession, path: str) -> DataFrame:
     """(patient_id, center, age, gender, ethnicity, stage, grade, os, pfi): times are negative where censored; columns that the file lacks are null."""
     rows = spark.read.csv(path, header=True, nullValue="[Not Available]")
     signed = lambda event: F.when(F.col(event).cast("double") == 1, F.col(f"`{event}.time`").cast("double")).otherwise(-F.col(f"`{event}.time`").cast("double"))
@@ -139,6 +139,11 @@ def read_survival(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("bcr_patient_barcode").alias("patient_id"), F.split("bcr_patient_barcode", "-")[1].alias("center"), *more, signed("OS").alias("os"), signed("PFI").alias("pfi"))
 
 
+def read_survival(spark: SparkSession, path: str) -> DataFrame:
+    """(patient_id, center, os, pfi) of the clinical table."""
+    return read_clinical(spark, path).select("patient_id", "center", "os", "pfi")
+
+
 def read_subtypes(spark: SparkSession, path: str) -> DataFrame:
     """(patient_id, cohort, subtype), each once; tab-separated, compressed or not."""
     rows = spark.read.csv(path, header=True, sep="\t")
