@@ -196,9 +196,9 @@ def document_audio(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """
     text = text_of(docs)
     source = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    stored = saved(encode_audio(source, "text").drop("text"), "media")
+    stored = saved(encode_audio(source, "text").drop("text"), "media", "zstd")
     described = audio_features(stored).withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    return saved(described.drop("media"), "audio-features")
+    return saved(described.drop("media"), "audio-features", "zstd")
 
 
 def feature_digest(n_frames: str = "n_frames") -> Column:
