@@ -310,6 +310,23 @@ def test_plans_hold_the_demand_and_need_no_more_than_first_fit():
     assert packing.make_plan(np.zeros(513, "i8"), 512).patterns == []
 
 
+def test_subset_sums_fill_sequences():
+    left = np.bincount([7, 7, 5, 4, 3, 3], minlength=21)
+    assert packing._subset(left, 12) == {7: 1, 5: 1} and sum(c * a for c, a in packing._subset(left, 6).items()) == 6
+    done = packing.subset_patterns(np.bincount([9] * 10 + [6] * 10 + [5] * 10, minlength=21), 20)
+    assert sum(t for _, t in done) == 10 and all(sum(c * a for c, a in p.items()) == 20 for p, _ in done)
+
+
+def test_program_is_solved_beside_a_session(spark):
+    """Dense algebra in a process that has forked, behind a live session."""
+    assert spark.range(10).repartition(3).count() == 10
+    rng = np.random.default_rng(11)
+    square = rng.random((300, 300))
+    assert np.abs(np.einsum("ij,jk->ik", packing.inverted(square), square) - np.eye(300)).max() < 1e-6
+    plan, used = check_plan(np.bincount(rng.integers(1, 1200, 3000), minlength=4097), 4096)
+    assert plan.priced > 0 and used > 0
+
+
 def test_priced_columns_beat_first_fit():
     demand = np.bincount([260] * 120 + [136] * 120 + [132] * 120 + [120] * 240, minlength=513)
     plan, n = check_plan(demand, 512)

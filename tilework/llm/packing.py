@@ -29,6 +29,8 @@ HELD_BACK = 0.02
 BUCKET_ROWS = 2_000
 #: The linear program stops within this share of its optimum (by Farley's bound from priced columns), or after so many steps.
 GAP, MAX_COLUMNS = 0.0002, 6000
+#: Steps of the simplex after which its inverse is made anew, or half as many as it has rows.
+REFRESH = 50
 #: Differences below this are rounding.
 NOISE = 1e-6
 
@@ -96,6 +98,26 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), column
 
 
+def inverted(square: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots, without BLAS, whose threads can hang in a process that has forked."""
+    n = len(square)
+    both = np.hstack([square, np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        if pivot != k:
+            both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        rows = np.flatnonzero(factors)  # few: patterns hold few lengths
+        both[rows] -= factors[rows, None] * both[k]
+    return both[:, n:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", matrix, vector)
+
+
 def column_generation(demand: np.ndarray, capacity: int) -> Plan:
     """Patterns that hold at most the demand (by length, index 0 unused), out of the linear program's solution rounded down.
 
@@ -115,10 +137,10 @@ def column_generation(demand: np.ndarray, capacity: int) -> Plan:
     by_size = sizes / capacity
     bound, draw, knapsacks = 0.0, 0.9, 0
     for step in range(MAX_COLUMNS):
-        if step % 50 == 49:
-            inverse = np.linalg.inv(columns)
-        x = inverse @ need
-        prices = cost @ inverse
+        if step % max(REFRESH, m // 2) == REFRESH - 1:
+            inverse = inverted(columns)
+        x = _times(inverse, need)
+        prices = np.einsum("i,ij->j", cost, inverse)
         if prices.min() < -NOISE:  # a surplus column: more of a length than asked for
             new, price = np.zeros(m), 0.0
             new[prices.argmin()] = -1
@@ -134,7 +156,7 @@ def column_generation(demand: np.ndarray, capacity: int) -> Plan:
             if prices @ new <= 1 + NOISE or cost @ np.maximum(x, 0) <= bound * (1 + GAP):
                 break
             price = 1.0
-        way = inverse @ new
+        way = _times(inverse, new)
         ratio = np.where(way > NOISE, np.maximum(x, 0) / np.where(way > NOISE, way, 1), np.inf)
         if not np.isfinite(ratio.min()):
             break
@@ -143,7 +165,7 @@ def column_generation(demand: np.ndarray, capacity: int) -> Plan:
         row = inverse[r] / way[r]
         inverse -= np.outer(way, row)
         inverse[r] = row
-    x, left, out, used = np.linalg.solve(columns, need), demand.copy(), [], 0
+    x, left, out, used = _times(inverted(columns), need), demand.copy(), [], 0
     for i in np.flatnonzero(cost):
         p = {int(sizes[k]): int(columns[k, i]) for k in np.flatnonzero(columns[:, i] > 0.5)}
         times = min([int(max(x[i], 0) + 1e-6), *(int(left[c]) // a for c, a in p.items())])
@@ -203,12 +225,66 @@ def _exchange(left: np.ndarray, room: int, pattern: Pattern) -> Pattern:
     return {} if best is None else {best[1]: -1, best[1] + best[0]: 1}
 
 
+def _subset(left: np.ndarray, room: int) -> Pattern:
+    """Of what is left, pieces whose sum comes closest to the room, long ones before short ones, by a dynamic program over the sums that can be reached (as bits of a number)."""
+    whole, reached = (1 << (room + 1)) - 1, 1
+    steps: list[tuple[int, int]] = []  # a length, and the sums reached before one more piece of it
+    for c in np.flatnonzero(left[: room + 1])[::-1].tolist():
+        for _ in range(min(int(left[c]), room // c)):
+            more = reached | (reached << c) & whole
+            if more == reached:
+                break
+            steps.append((c, reached))
+            reached = more
+        if reached >> room:
+            break
+    pattern: Pattern = {}
+    at = reached.bit_length() - 1
+    for c, before in reversed(steps):
+        if not before >> at & 1:
+            pattern[c] = pattern.get(c, 0) + 1
+            at -= c
+    return pattern
+
+
+def subset_patterns(demand: np.ndarray, size: int) -> list[tuple[Pattern, int]]:
+    """Sequences filled as far as can be around the longest piece that is left; each pattern is repeated while its pieces last."""
+    left, out = demand.copy(), []
+    left[0] = 0
+    while len(known := np.flatnonzero(left)):
+        longest = int(known[-1])
+        left[longest] -= 1
+        p = _subset(left, size - longest)
+        left[longest] += 1
+        p[longest] = p.get(longest, 0) + 1
+        times = min(int(left[c]) // a for c, a in p.items())
+        for c, a in p.items():
+            left[c] -= a * times
+        out.append((p, times))
+    return out
+
+
+def _repacked(full: list[tuple[Pattern, int]], roomy: list[tuple[Pattern, int]], left: np.ndarray, size: int, spare: int) -> list[tuple[Pattern, int]]:
+    """The full sequences, the roomy ones (fullest first) as far as their rooms add up to `spare` at most, and what is in the others packed anew with what is left."""
+    out, left = list(full), left.copy()
+    for pattern, times in roomy:
+        room = size - sum(c * a for c, a in pattern.items())
+        kept = min(times, spare // room)
+        spare -= kept * room
+        if kept:
+            out.append((pattern, kept))
+        for c, a in pattern.items():
+            left[c] += a * (times - kept)
+    return out + min(subset_patterns(left, size), greedy_patterns(left, size), key=lambda p: sum(n for _, n in p))
+
+
 def make_plan(demand: np.ndarray, size: int) -> Plan:
     """Patterns of true lengths, and how often each is used, that hold the demand (by length, index 0 unused) exactly.
 
-    Of what the program's patterns leave over, and of that with the sequences that
-    could not be filled, the way that needs fewer sequences is taken. Should first
-    fit decreasing on the true lengths need fewer still, its patterns are the plan.
+    Sequences that could not be filled stay while their rooms add up to no more than
+    nothing, what the last sequence of all has free, or half of that and of one
+    sequence (whichever needs fewest); what is in the others is packed by subset
+    sums, or first fit, with what the program's patterns leave over.
     """
     lengths = np.arange(size + 1)
     held, budget = np.zeros_like(demand), int(HELD_BACK * (demand @ lengths))
@@ -247,14 +323,10 @@ def make_plan(demand: np.ndarray, size: int) -> Plan:
         todo.append(({c: a for c, a in both.items() if a}, now))
         if now < times:
             todo.append((pattern, times - now))
-    loose = left.copy()
-    for pattern, times in roomy:
-        for c, a in pattern.items():
-            loose[c] += a * times
-    plans = [out + roomy + greedy_patterns(left, size), out + greedy_patterns(loose, size), greedy_patterns(demand, size)]
-    totals = [sum(times for _, times in p) for p in plans]
-    best = totals.index(min(totals))
-    return Plan(plans[best], found.knapsacks, found.priced if best < 2 else 0)
+    roomy.sort(key=lambda x: -sum(c * a for c, a in x[0].items()))
+    free = -int(demand @ lengths) % size
+    plans = [_repacked(out, roomy, left, size, spare) for spare in (0, free, (size + free) // 2)]
+    return Plan(min(plans, key=lambda p: sum(times for _, times in p)), found.knapsacks, found.priced)
 
 
 def cut_documents(docs: DataFrame, size: int, end_id: int = 2, id_column: str = "doc_id", tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:

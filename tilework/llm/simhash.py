@@ -77,7 +77,7 @@ def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
     n = bits.shape[1]
     spread = bits - bits.mean(0)
     norm = np.sqrt((spread**2).sum(0))
-    tie = np.abs(spread.T @ spread) / np.maximum(np.outer(norm, norm), 1e-9)
+    tie = np.abs(np.stack([np.einsum("i,ij->j", column, spread) for column in spread.T])) / np.maximum(np.outer(norm, norm), 1e-9)
     left, out = np.ones(n, bool), []
     for k in range(parts):
         size = n * (k + 1) // parts - n * k // parts
@@ -94,7 +94,7 @@ def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
 
 def part_keys(bits: np.ndarray, group: list[int]) -> np.ndarray:
     """The group's bits (63 at most) of each row as a number, the group's first bit lowest."""
-    return bits[:, group].astype("u8") @ (np.uint64(1) << np.arange(len(group), dtype="u8"))
+    return np.einsum("ij,j->i", bits[:, group].astype("u8"), np.uint64(1) << np.arange(len(group), dtype="u8"))
 
 
 def flips(width: int, radius: int) -> list[int]:
