@@ -1,5 +1,29 @@
-import pytest
-from pyspark.sql import SparkSession
+import faulthandler
+import os
+import signal
+
+for _name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"):
+    os.environ.setdefault(_name, "1")
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
+
+#: Seconds that a test may take; one that does not even take the signal ends the run, with all stacks.
+LIMIT, LAST = 600, 900
+
+
+@pytest.fixture(autouse=True)
+def limited():
+    def stop(*_):
+        raise TimeoutError(f"over {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(LIMIT)
+    faulthandler.dump_traceback_later(LAST, exit=True)
+    yield
+    faulthandler.cancel_dump_traceback_later()
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
 
 
 @pytest.fixture(scope="session")
