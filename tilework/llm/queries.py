@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, lm, merge_dropout, packing, pii, quality, simhash, token_counts, token_files, warc
+from . import audio, lm, merge_dropout, packing, periodic_runs, pii, quality, simhash, token_counts, token_files, toxicity, warc, whitening
 from .common import new_folder, saved
 
 
@@ -75,8 +75,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chance of being toxic, and which sentences make it so."""
+    found = toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    first = F.get("sentences", F.lit(0))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("n_offending"), first["start"].alias("first_start"), first["end"].alias("first_end"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of repeated word sequences, and its text without the repeats."""
+    return periodic_runs.report(_table(spark, sf_dir, "documents"), repeat_tails=True)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first sixteen whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_audio, op3_quality, op4_token_files, op5_warc, op6_ppm, op7_packing, op8_merge_dropout, op9_pii, op10_simhash)
+    found = (op1_token_counts, op2_audio, op3_quality, op4_token_files, op5_warc, op6_ppm, op7_packing, op8_merge_dropout, op9_pii, op10_simhash, op11_toxicity, op12_periodic_runs, op13_whitening)
     return {f.__name__: f for f in found}
 
 
