@@ -7,29 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rasters import checkpointed
+
 
 def accuracy(scored: DataFrame, logit: str = "logit", label: str = "label") -> DataFrame:
     return scored.agg(F.round(F.avg(((F.col(logit) > 0).cast("int") == F.col(label)).cast("double")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
-#: Values that one block of a ranking holds about, and blocks at most.
-RANK_BLOCK, RANK_BLOCKS = 4096, 1000
+#: Rows that one block of an ordering holds about; an ordering of fewer rows is one block.
+RANK_BLOCK = 1_000_000
+
 
+def in_blocks(df: DataFrame, order: list, rows: int) -> DataFrame:
+    """df with `_block`, which ascends with the order: ranges of about RANK_BLOCK rows each, so as many as `rows`, a bound of df's, asks for.
 
-def blocks_of(df: DataFrame, column: str) -> Column:
-    """A number that ascends with a column and parts its values in about even blocks: cut at quantiles, of which the driver holds RANK_BLOCKS at most."""
-    n = min(RANK_BLOCKS, df.count() // RANK_BLOCK)
-    cuts = (df.agg(F.percentile_approx(F.col(column).cast("double"), [(i + 1) / (n + 1) for i in range(n)], 10_000).alias("q")).first().q or []) if n else []
-    return sum(((F.col(column) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    Ranges are drawn by Spark's own range partitioning, so no cut points come to
+    the driver; they are written, since a number out of a partition may not change.
+    """
+    if rows <= RANK_BLOCK:
+        return df.withColumn("_block", F.lit(0))
+    return checkpointed(df.repartitionByRange(-(-rows // RANK_BLOCK), *order).withColumn("_block", F.spark_partition_id()))
 
 
-def running_sum(df: DataFrame, keys: list[str], block: Column, order: list, value: Column, into: str) -> DataFrame:
-    """df and `into`: the sum of value over the rows of a key up to each row, blocks first and then by order; sums within blocks, and the blocks' totals carried on."""
-    held = df.withColumn("_block", block).withColumn("_value", value)
+def running_sum(df: DataFrame, keys: list[str], order: list, value: Column, into: str, rows: int) -> DataFrame:
+    """df and `into`: the sum of value over the rows of a key up to each row in the order; sums within blocks, and the blocks' totals carried on. `rows` bounds df's rows."""
+    held = in_blocks(df.withColumn("_value", value), order, rows)
+    within = F.sum("_value").over(Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    if rows <= RANK_BLOCK:
+        return held.withColumn(into, within).drop("_block", "_value")
     totals = held.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
     over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*keys, "_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"))
-    within = F.sum("_value").over(Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return held.withColumn("_within", within).join(carried, [*keys, "_block"]).withColumn(into, F.col("_within") + F.col("_before")).drop("_block", "_value", "_within", "_before")
 
 
@@ -41,7 +49,7 @@ def binary_auc(scored: DataFrame, score: str = "score", label: str = "label", by
     """
     keys = [by] if by else []
     per = scored.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
-    summed = running_sum(per, keys, blocks_of(per, "s"), ["s"], F.col("neg"), "upto")
+    summed = running_sum(per, keys, ["s"], F.col("neg"), "upto", scored.count())
     won = summed.withColumn("won", F.col("pos") * (F.col("upto") - F.col("neg") + F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return won.groupBy(*keys).agg(F.round(F.when(pairs > 0, F.sum("won") / pairs), 6).alias("auc"))
@@ -70,16 +78,19 @@ def class_metrics(rows: DataFrame, scores: str, label: str) -> DataFrame:
     return binary_auc(long, "s", "hit", "class").join(scored, "class").select("class", "auc", "acc", "f1")
 
 
-def _ranked(values: DataFrame, column: str) -> DataFrame:
-    """(column, rank) of the distinct values of a column without nulls: ranks within blocks between quantiles, and the blocks' totals carried on."""
+def _ranked(values: DataFrame, column: str, rows: int) -> DataFrame:
+    """(column, rank) of the distinct values of a column without nulls: ranks within blocks, and the blocks' totals carried on."""
     distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
-    n = min(RANK_BLOCKS, distinct.count() // RANK_BLOCK)
-    cuts = distinct.agg(F.percentile_approx(column, [(i + 1) / (n + 1) for i in range(n)], 10_000).alias("q")).first().q if n else []
-    block = F.lit(0) if not cuts else sum((F.col(column) > c).cast("int") for c in sorted(set(cuts)))
-    held = distinct.withColumn("block", block)
-    before = held.groupBy("block").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("block")) - F.col("n")).drop("n")
-    here = F.row_number().over(Window.partitionBy("block").orderBy(column))
-    return held.withColumn("here", here).join(F.broadcast(before), "block").select(column, (F.col("before") + F.col("here") - 1).alias("rank"))
+    held = in_blocks(distinct, [F.col(column)], rows)
+    here = F.row_number().over(Window.partitionBy("_block").orderBy(column)) - 1
+    if rows <= RANK_BLOCK:
+        return held.select(column, here.alias("rank"))
+    before = held.groupBy("_block").agg(F.count("*").alias("n")).select("_block", (F.sum("n").over(Window.orderBy("_block")) - F.col("n")).alias("before"))
+    return held.withColumn("here", here).join(before, "_block").select(column, (F.col("before") + F.col("here")).alias("rank"))
+
+
+#: Ranks of risks in one block of cindex().
+RISK_BLOCK = 4096
 
 
 def cindex(rows: DataFrame, time: str, event: str, risk: str) -> DataFrame:
@@ -92,16 +103,17 @@ def cindex(rows: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     are carried on.
     """
     source = rows.where(F.col(time).isNotNull()).select(F.col(time).alias("t"), F.coalesce(F.col(event), F.lit(False)).alias("e"), F.col(risk).alias("r"), (~F.col(event)).alias("censored"))
-    times = _ranked(source, "t").withColumnRenamed("rank", "k")
-    risks = _ranked(source, "r").withColumnRenamed("rank", "q")
+    n = rows.count()
+    times = _ranked(source, "t", n).withColumnRenamed("rank", "k")
+    risks = _ranked(source, "r", n).withColumnRenamed("rank", "q")
     place = F.col("k") * 2 + F.coalesce("censored", F.lit(False)).cast("int")
     placed = source.join(times, "t").join(risks, "r", "left").groupBy(place.alias("place"), "q").agg(F.count("*").alias("n"), F.sum(F.col("e").cast("long")).alias("events"))
-    bits = max(1, (2 * source.select("t").distinct().count()).bit_length())
+    bits = max(1, (2 * n).bit_length())
     level = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
     late = F.expr("shiftright(place, bit) & 1") == 1
     keys = ["bit", "over"]
     sides = level.withColumn("over", F.expr("shiftright(place, bit + 1)")).groupBy(*keys, "q").agg(F.sum(F.when(late, F.col("n")).otherwise(0)).alias("later"), F.sum(F.when(late, 0).otherwise(F.col("events"))).alias("asking"))
-    sides = sides.withColumn("block", F.floor(F.col("q") / RANK_BLOCK))
+    sides = sides.withColumn("block", F.floor(F.col("q") / RISK_BLOCK))
     blocks = sides.groupBy(*keys, "block").agg(F.sum("later").alias("sum"))
     every = Window.partitionBy(*keys)
     carried = blocks.select(*keys, F.col("block").alias("of"), (F.sum("sum").over(every.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")).alias("under"), F.sum("sum").over(every).alias("all"), F.sum(F.when(F.col("block").isNull(), F.col("sum")).otherwise(0)).over(every).alias("unknown"))
@@ -119,7 +131,7 @@ def bce_loss(logit: Column, label: Column) -> Column:
 def cox_loss(rows: DataFrame, group: str, time: str, event: str, risk: str, item: str) -> DataFrame:
     """Mean negative partial log likelihood of each group: the hazards of all at risk are summed over descending time, events first among equals, in blocks of times."""
     source = rows.select(group, F.col(time).alias("_t"), F.col(event).alias("_e"), F.col(risk).alias("_r"), F.col(item).alias("_i"))
-    summed = running_sum(source, [group], -blocks_of(source, "_t"), [F.col("_t").desc(), F.col("_e").desc(), "_i"], F.exp("_r"), "_h")
+    summed = running_sum(source, [group], [F.col("_t").desc(), F.col("_e").desc(), F.col("_i")], F.exp("_r"), "_h", rows.count())
     part = F.when(F.col("_e"), F.log("_h") - F.col("_r")).otherwise(0.0)
     return summed.select(group, part.alias("part")).groupBy(group).agg(F.round(F.avg("part"), 6).alias("loss"), F.count("*").alias("n"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cohorts import broadcast_if_small
+from .metrics import running_sum
+
 
 def mean_pool(features: DataFrame, key: str = "slide_id", vector: str = "embedding") -> DataFrame:
     """(key, pos, mean): each slide's mean vector, a row a position, so that partial sums meet in the shuffle."""
@@ -17,6 +20,13 @@ def softmax_over(score: Column, key: str) -> Column:
     return F.exp(score - F.max(score).over(w)) / F.sum(F.exp(score - F.max(score).over(w))).over(w)
 
 
+def softmax(df: DataFrame, key: str, score: str, into: str) -> DataFrame:
+    """df and `into`: softmax_over() by two aggregations, whose partial results meet, so that no key's rows go to one task; a row without a key has null."""
+    top = broadcast_if_small(df.groupBy(F.col(key).alias("_key")).agg(F.max(score).alias("_top")))
+    sums = df.join(top, F.col(key) == F.col("_key")).groupBy("_key", "_top").agg(F.sum(F.exp(F.col(score) - F.col("_top"))).alias("_sum"))
+    return df.join(broadcast_if_small(sums), F.col(key) == F.col("_key"), "left").withColumn(into, F.exp(F.col(score) - F.col("_top")) / F.col("_sum")).drop("_key", "_top", "_sum")
+
+
 def attention_pool(tiles: DataFrame, key: str, score: str, value: str) -> DataFrame:
     """The value's mean by softmax weights: one pass of exact sums after each key's greatest score."""
     top = tiles.groupBy(key).agg(F.max(score).alias("top"))
@@ -35,10 +45,12 @@ def extreme_scores(tiles: DataFrame, key: str, score: str, n_top: int, n_bottom:
 
 
 def percentile_rank(df: DataFrame, key: str, score: str) -> DataFrame:
-    """Average-tie rank of a score within its key, times 100 over the key's rows."""
-    ranks, ties, all_rows = Window.partitionBy(key).orderBy(score), Window.partitionBy(key, score), Window.partitionBy(key)
-    rank = F.rank().over(ranks) + (F.count("*").over(ties) - 1) / 2
-    return df.withColumn("percentile", F.round(rank * 100 / F.count("*").over(all_rows), 6))
+    """Average-tie rank of a score within its key, times 100 over the key's rows; different scores are counted first and summed up in blocks, so a key may hold any share of the rows."""
+    per = df.groupBy(F.col(key).alias("_key"), F.col(score).alias("_score")).agg(F.count("*").alias("_n"))
+    summed = running_sum(per, ["_key"], [F.col("_score")], F.col("_n"), "_upto", df.count())
+    sizes = per.groupBy(F.col("_key").alias("_of")).agg(F.sum("_n").alias("_all"))
+    ranked = summed.join(broadcast_if_small(sizes), F.col("_key").eqNullSafe(F.col("_of"))).select("_key", "_score", F.round((F.col("_upto") - (F.col("_n") - 1) / 2) * 100 / F.col("_all"), 6).alias("percentile"))
+    return df.join(ranked, F.col(key).eqNullSafe(F.col("_key")) & F.col(score).eqNullSafe(F.col("_score"))).drop("_key", "_score")
 
 
 def critical_instance_pool(tiles: DataFrame, key: str, item: str, score: str, vector: str) -> DataFrame:

@@ -329,7 +329,7 @@ def mean_pool(spark, d):
 
 @query("SELECT image_id, round(exp(e0 - max(e0) OVER w) / sum(exp(e0)) OVER w * exp(max(e0) OVER w), 6) AS p FROM features WINDOW w AS (PARTITION BY slide_id)")
 def softmax(spark, d):
-    return features(spark, d).select("image_id", F.round(pooling.softmax_over(F.col("e0"), "slide_id"), 6).alias("p"))
+    return pooling.softmax(features(spark, d), "slide_id", "e0", "p").select("image_id", F.round("p", 6).alias("p"))
 
 
 @query("SELECT slide_id, round(sum(exp(e0) * e1) / sum(exp(e0)), 6) AS pooled, count(*) AS n_tiles FROM features GROUP BY 1")
