@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import annotations as an
-from ..operators import learning, pooling, rasters
+from ..operators import learning, pooling, rasters, shapes
 from ..streaming.tiles import counts_by_window
 from .queries import QUERIES, SQL, features, image_pixels, mask, otsu_threshold, query, table, vertices
 
@@ -20,9 +20,17 @@ def gray(spark, d):
     return p.select("slide_id", F.floor(F.col("i") / SIDE).cast("int").alias("row"), (F.col("i") % SIDE).alias("col"), "v")
 
 
+#: Orders whose pixels share a slide of 128 x 128 pixels, about four tenths of which they fill; slides grow in number with the table.
+CROWD, CANVAS = 2000, 128
+
+
 def crowded(spark, d):
-    """The mask's pixels with those of four thousand orders on one slide, so that they touch; slides grow in number with the table."""
-    return mask(spark, d).withColumn("slide_id", F.floor(F.col("slide_id") / 4000))
+    row = (F.col("l_partkey") * 7 + F.col("l_linenumber") * 13) % CANVAS
+    col = (F.col("l_orderkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber")) % CANVAS
+    return table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / CROWD).alias("slide_id"), row.cast("int").alias("row"), col.cast("int").alias("col"))
+
+
+_CROWDED = f"""crowded AS (SELECT DISTINCT l_orderkey // {CROWD} AS slide_id, CAST((l_partkey * 7 + l_linenumber * 13) % {CANVAS} AS INT) AS "row", CAST((l_orderkey * 31 + l_suppkey * 17 + l_linenumber) % {CANVAS} AS INT) AS col FROM lineitem)"""
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -94,6 +102,21 @@ def mask_polygons(spark, d):
     return an.polygon_measures(rasters.hulls(rasters.components(crowded(spark, d))))
 
 
+@query(f""", {_CROWDED} SELECT slide_id, CAST(count(*) AS BIGINT) AS area, CAST(sum(4 - n) AS BIGINT) AS perimeter FROM (SELECT slide_id, "row", col,
+(SELECT count(*) FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) s(a, b) JOIN crowded q ON q.slide_id = p.slide_id AND q."row" = p."row" + a AND q.col = p.col + b) AS n FROM crowded p) GROUP BY 1""")
+def contours(spark, d):
+    """Of each slide what its contours measure: areas less holes, and lengths; the SQL counts pixels and their bare sides."""
+    measured = shapes.contour_measures(shapes.contours(rasters.components(crowded(spark, d))))
+    return measured.groupBy("slide_id").agg(F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"))
+
+
+def split_shapes(spark, d):
+    """Pixels of every shape that components fall into."""
+    parts = shapes.split_touching(rasters.components(rasters.dilate(crowded(spark, d))), 10)
+    return parts.groupBy("slide_id", "peak_row", "peak_col").agg(F.count("*").alias("n_pixels"), F.min("row").alias("row_min"), F.max("row").alias("row_max"), F.min("col").alias("col_min"), F.max("col").alias("col_max"))
+
+
+QUERIES["split_shapes"] = split_shapes
 QUERIES |= {f.__name__: f for f in (components, largest_components, mask_polygons)}
 
 
