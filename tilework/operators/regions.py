@@ -26,38 +26,83 @@ def shrunk(image: np.ndarray, factor: int) -> np.ndarray:
     return ((part(lo, lo) + part(lo, hi) + part(hi, lo) + part(hi, hi) + 2) // 4).astype("u1")
 
 
-def cut(image: np.ndarray, x: int, y: int, extent: int) -> np.ndarray:
-    """The square at row x, column y; what lies beyond the image is 0."""
-    out = np.zeros((extent, extent, image.shape[2]), "u1")
-    part = image[max(x, 0) : max(x + extent, 0), max(y, 0) : max(y + extent, 0)]
-    out[max(-x, 0) : max(-x, 0) + part.shape[0], max(-y, 0) : max(-y, 0) + part.shape[1]] = part
-    return out
+#: Rows of an image in one strip.
+STRIP = 256
+_PIECE = pa.schema([("slide_id", pa.string()), ("x", pa.int32()), ("y", pa.int32()), ("block_row", pa.int32()), ("block_col", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
 
 
-def extract_tiles(images: DataFrame, tiles: DataFrame, tile_dim: int, downsample: int = 1, normalize: Callable[[np.ndarray], np.ndarray] | None = None, then_downsample: int = 1) -> DataFrame:
-    """(slide_id, x, y, side, channels, data): the pixels of tiles (slide_id, x, y; in level-0 pixels) of images (slide_id, width, height, channels, data).
+def strips(images: DataFrame, rows: int = STRIP) -> DataFrame:
+    """Blocks (slide_id, block_row, block_col, x, y, width, height, channels, data) of whole images (slide_id, width, height, channels, data): strips of so many rows, each image's in its row's task."""
+    kind = pa.schema([("slide_id", pa.string()), *[(c, pa.int32()) for c in ("block_row", "block_col", "x", "y", "width", "height", "channels")], ("data", pa.binary())])
+    source = images.select(F.col("slide_id").cast("string").alias("slide_id"), *[F.col(c).cast("int").alias(c) for c in ("width", "height", "channels")], "data")
+
+    def put(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                step = row["width"] * row["channels"]
+                for k, at in enumerate(range(0, row["height"], rows)):
+                    n = min(rows, row["height"] - at)
+                    yield pa.RecordBatch.from_pylist([{"slide_id": row["slide_id"], "block_row": k, "block_col": 0, "x": at, "y": 0, "width": row["width"], "height": n, "channels": row["channels"], "data": row["data"][at * step : (at + n) * step]}], schema=kind)
+
+    return source.mapInArrow(put, "slide_id string, block_row int, block_col int, x int, y int, width int, height int, channels int, data binary")
+
 
-    An image and its tiles meet in one task, which holds that image. Tiles that
-    overhang are padded with 0; tiles of slides without an image are left out.
-    `downsample` is that of the level read, `normalize` maps a tile to a tile of
-    equal shape, `then_downsample` shrinks it once more.
+def extract_from_blocks(blocks: DataFrame, tiles: DataFrame, tile_dim: int, block: tuple[int, int | None], downsample: int = 1, normalize: Callable[[np.ndarray], np.ndarray] | None = None, then_downsample: int = 1) -> DataFrame:
+    """extract_tiles() of images in blocks (slide_id, block_row, block_col, x, y, width, height, channels, data) of a regular grid, `block` being a block's rows and columns (None: as wide as the image).
+
+    A tile names the blocks that it lies in and meets them by an equi-join; of a
+    block only what lies in the tile goes on, so no task holds an image. A block
+    that is there twice is an error.
     """
-    def put(image: pa.Table, wanted: pa.Table) -> pa.Table:
-        rows = image.to_pylist()
-        found = {"slide_id": [], "x": [], "y": [], "side": [], "channels": [], "data": []}
-        if rows:
-            whole = _image(rows[0])
-            for t in wanted.to_pylist():
-                tile = shrunk(cut(whole, t["x"], t["y"], tile_dim * downsample), downsample)
+    high, wide = block
+    extent = tile_dim * downsample
+    known = blocks.groupBy("slide_id").agg(F.max("channels").alias("channels"))
+    wanted = tiles.select(F.col("slide_id").cast("string").alias("slide_id"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct().join(known, "slide_id")
+    span = lambda c, n: F.sequence(F.floor(F.col(c) / n).cast("int"), F.floor((F.col(c) + extent - 1) / n).cast("int")) if n else F.array(F.lit(0))
+    asked = wanted.select("slide_id", F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode(span("x", high)).alias("block_row")).select("*", F.explode(span("ty", wide)).alias("block_col"))
+    met = asked.join(blocks.select("slide_id", "block_row", "block_col", "x", "y", "width", "height", "channels", "data"), ["slide_id", "block_row", "block_col"])
+
+    def crop(batches):
+        for batch in batches:
+            for t in batch.to_pylist():
+                image = _image(t)
+                r0, c0 = max(t["tx"] - t["x"], 0), max(t["ty"] - t["y"], 0)
+                part = image[r0 : max(t["tx"] + extent - t["x"], 0), c0 : max(t["ty"] + extent - t["y"], 0)]
+                if part.size:
+                    yield pa.RecordBatch.from_pylist([{"slide_id": t["slide_id"], "x": t["tx"], "y": t["ty"], "block_row": t["block_row"], "block_col": t["block_col"], "row": t["x"] + r0 - t["tx"], "col": t["y"] + c0 - t["ty"], "height": part.shape[0], "width": part.shape[1], "data": part.tobytes()}], schema=_PIECE)
+
+    pieces = met.mapInArrow(crop, "slide_id string, x int, y int, block_row int, block_col int, row int, col int, height int, width int, data binary")
+    whole = pieces.groupBy("slide_id", "x", "y").agg(F.collect_list(F.struct("block_row", "block_col", "row", "col", "height", "width", "data")).alias("pieces"))
+    kind = pa.schema([("slide_id", pa.string()), ("x", pa.int32()), ("y", pa.int32()), ("side", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
+
+    def put(batches):
+        for batch in batches:
+            out = []
+            for t in batch.to_pylist():
+                tile = np.zeros((extent, extent, t["channels"]), "u1")
+                pieces = t["pieces"] or []
+                if len({(p["block_row"], p["block_col"]) for p in pieces}) < len(pieces):
+                    raise ValueError(f"slide {t['slide_id']} has a block twice")
+                for p in pieces:
+                    tile[p["row"] : p["row"] + p["height"], p["col"] : p["col"] + p["width"]] = np.frombuffer(p["data"], "u1").reshape(p["height"], p["width"], -1)
+                tile = shrunk(tile, downsample)
                 tile = shrunk(normalize(tile) if normalize else tile, then_downsample)
-                for k, v in zip(found, (str(t["slide_id"]), t["x"], t["y"], tile.shape[0], tile.shape[2], tile.tobytes()), strict=True):
-                    found[k].append(v)
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(found.items(), kinds, strict=True)})
+                out.append({"slide_id": t["slide_id"], "x": t["x"], "y": t["y"], "side": tile.shape[0], "channels": tile.shape[2], "data": tile.tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return wanted.join(whole, ["slide_id", "x", "y"], "left").mapInArrow(put, "slide_id string, x int, y int, side int, channels int, data binary")
 
-    one = images.select(F.col("slide_id").cast("string").alias("slide_id"), "width", "height", "channels", "data")
-    wanted = tiles.select(F.col("slide_id").cast("string").alias("slide_id"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
-    return one.groupBy("slide_id").cogroup(wanted.groupBy("slide_id")).applyInArrow(put, "slide_id string, x int, y int, side int, channels int, data binary")
+
+def extract_tiles(images: DataFrame, tiles: DataFrame, tile_dim: int, downsample: int = 1, normalize: Callable[[np.ndarray], np.ndarray] | None = None, then_downsample: int = 1) -> DataFrame:
+    """(slide_id, x, y, side, channels, data): the pixels of tiles (slide_id, x, y; in level-0 pixels) of images (slide_id, width, height, channels, data).
+
+    Images go in strips, see extract_from_blocks. Tiles that overhang are padded
+    with 0, a tile asked for twice is there once, tiles of slides without an image
+    are left out, and two images of one slide are an error. `downsample` is that of
+    the level read, `normalize` maps a tile to a tile of equal shape,
+    `then_downsample` shrinks it once more.
+    """
+    return extract_from_blocks(strips(images), tiles, tile_dim, (STRIP, None), downsample, normalize, then_downsample)
 
 
 def thumbnails(images: DataFrame, most: int) -> DataFrame:
@@ -75,12 +120,12 @@ def thumbnails(images: DataFrame, most: int) -> DataFrame:
 
 
 def extract_masks(mask: DataFrame, tiles: DataFrame, extent: int, side: int) -> DataFrame:
-    """(slide_id, x, y, classes): of each tile the class at the centre of each of side x side cells, row by row, 0 where the mask (slide_id, row, col, class_id) has none."""
+    """(slide_id, x, y, classes): of each tile the class at the centre of each of side x side cells, row by row, 0 where the mask (slide_id, row, col, class_id) has none; tiles name the pixels they ask for, so an equi-join finds them."""
     cell = extent // side
-    sampled = F.pmod(F.col("row") - F.col("x"), F.lit(cell)) == cell // 2
-    near = mask.join(tiles, "slide_id").where((F.col("row") >= F.col("x")) & (F.col("row") < F.col("x") + side * cell) & (F.col("col") >= F.col("y")) & (F.col("col") < F.col("y") + side * cell))
-    at = (F.floor((F.col("row") - F.col("x")) / cell) * side + F.floor((F.col("col") - F.col("y")) / cell)).cast("int")
-    hits = near.where(sampled & (F.pmod(F.col("col") - F.col("y"), F.lit(cell)) == cell // 2)).groupBy("slide_id", "x", "y", at.alias("at")).agg(F.max("class_id").alias("c"))
+    centres = F.explode(F.sequence(F.lit(0), F.lit(side * side - 1)))
+    points = tiles.select("slide_id", "x", "y", centres.alias("at")).select("*", (F.col("x") + F.floor(F.col("at") / side) * cell + cell // 2).cast("int").alias("row"), (F.col("y") + F.col("at") % side * cell + cell // 2).cast("int").alias("col"))
+    classes = mask.select("slide_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "class_id")
+    hits = points.join(classes, ["slide_id", "row", "col"]).groupBy("slide_id", "x", "y", "at").agg(F.max("class_id").alias("c"))
     lists = hits.groupBy("slide_id", "x", "y").agg(F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("m"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
     return tiles.join(lists, ["slide_id", "x", "y"], "left").select("slide_id", "x", "y", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0), side * side)).otherwise(cells).alias("classes"))

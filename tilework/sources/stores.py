@@ -8,7 +8,6 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def tile_key(x: Column, y: Column) -> Column:
@@ -47,11 +46,10 @@ def get(store: DataFrame, key: str) -> DataFrame:
 def write_features(features: DataFrame, path: str, slide: str = "slide_id") -> DataFrame:
     """Appends the slides that the store does not hold yet and returns them; a run that was cut off continues."""
     spark, todo = features.sparkSession, features
-    try:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         done = spark.read.parquet(path).select(F.col(slide).cast(features.schema[slide].dataType)).distinct()
         todo = features.join(done, slide, "left_anti")
-    except AnalysisException:  # nothing written yet
-        pass
     slides = todo.select(slide).distinct().checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else todo.select(slide).distinct().persist()
     slides.count()
     todo.write.mode("append").parquet(path)
