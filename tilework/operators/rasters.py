@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cohorts import broadcast_if_small
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the session names in spark.checkpoint.dir; one is set only where that is unset."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilework-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+from .tables import checkpoint_dir, written
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -87,18 +78,18 @@ def run_components(found: DataFrame, touch: int = 1) -> DataFrame:
 
     Runs take the least name among their neighbours' and then the name of the
     run they are named after, so that rounds grow slowly with a component's
-    length. Each round is checkpointed.
+    length. Each round is written.
     """
-    runs = checkpointed(found.withColumn("node", F.struct("slide_id", "row", "lo")))
+    runs = written(found.withColumn("node", F.struct("slide_id", "row", "lo")))
     a = runs.select("slide_id", F.col("node").alias("a"), (F.col("row") + 1).alias("row"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
     touching = a.join(runs, ["slide_id", "row"]).where((F.col("a_lo") <= F.col("hi") + touch) & (F.col("lo") <= F.col("a_hi") + touch)).select("a", F.col("node").alias("b"))
-    edges = checkpointed(touching.unionByName(touching.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = written(touching.unionByName(touching.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     names = runs.select("node", F.col("node").alias("name"))
     while True:
         near = edges.join(names, F.col("b") == F.col("node")).groupBy("a").agg(F.min("name").alias("near"))
         least = names.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("name").alias("old"), F.least("name", "near").alias("name"))
         to = names.select(F.col("node").alias("at"), F.col("name").alias("further"))
-        moved = checkpointed(least.join(to, F.col("name") == F.col("at"), "left").select("node", "old", F.least("name", "further").alias("name")))
+        moved = written(least.join(to, F.col("name") == F.col("at"), "left").select("node", "old", F.least("name", "further").alias("name")))
         names = moved.select("node", "name")
         if moved.where("old <> name").isEmpty():
             return runs.join(names, "node").select("slide_id", F.col("name").alias("component"), "row", "lo", "hi")
@@ -131,11 +122,15 @@ def white_out(pixels: DataFrame, mask: DataFrame, values: list[str], white: int
     return marked.select(*[F.when(F.col("_in"), F.col(c)).otherwise(F.lit(white)).alias(c) if c in values else F.col(c) for c in pixels.columns])
 
 
+# Lightness, saturation and the first hue of class colours.
+LIGHTNESS, SATURATION, FIRST_HUE = 0.6, 0.65, 0.01
+
+
 def palette(n: int) -> list[tuple[float, float, float]]:
     """n colours of even hue (red, green, blue from 0 to 1), lightness 0.6 and saturation 0.65."""
     import colorsys
 
-    return [colorsys.hls_to_rgb((i / n + 0.01) % 1, 0.6, 0.65) for i in range(n)]
+    return [colorsys.hls_to_rgb((i / n + FIRST_HUE) % 1, LIGHTNESS, SATURATION) for i in range(n)]
 
 
 def coloured(mask: DataFrame, n_classes: int) -> DataFrame:

@@ -211,7 +211,8 @@ def split_by_few_centers(spark, d):
     return cohorts.split_cv(table(spark, d, "labels"), "doc_id", 3, "center_split", "quality", center="toxic").select("doc_id", "fold")
 
 
-@query(f", {_SHAPES} SELECT source, n_folds FROM (SELECT source, 0 AS n_folds FROM shapes WHERE shape IS NULL)")
+@query(f""", {_SHAPES}, folds AS (SELECT source, fold FROM documents JOIN (SELECT source, CAST((row_number() OVER (PARTITION BY shape ORDER BY sha256(concat_ws('|', source, '42')), source) - 1 + ('0x' || sha256(shape)[1:6])::BIGINT) % 5 AS INT) AS fold FROM shapes) USING (source))
+SELECT source, CAST(count(DISTINCT fold) AS INT) AS n_folds FROM folds GROUP BY 1 HAVING count(DISTINCT fold) > 1""")
 def folds_disjoint(spark, d):
     """No source lies in two folds."""
     folds = cohorts.split_cv(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id", 5, "patient_split", "lang", patient="source")

@@ -20,8 +20,8 @@ def gray(spark, d):
     return p.select("slide_id", F.floor(F.col("i") / SIDE).cast("int").alias("row"), (F.col("i") % SIDE).alias("col"), "v")
 
 
-#: Orders whose pixels share a slide of 128 x 128 pixels, about four tenths of which they fill; slides grow in number with the table.
-CROWD, CANVAS = 2000, 128
+#: Orders whose pixels share a slide of 128 x 128 pixels, about a fifth of which they fill; slides grow in number with the table.
+CROWD, CANVAS = 1000, 128
 
 
 def crowded(spark, d):

@@ -197,10 +197,10 @@ def label_right_join(spark, d):
     return docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "right")
 
 
-@query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id) WHERE lang IN ('de', 'en')")
+@query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id) WHERE lang IN ('de', 'en', 'es', 'fr')")
 def cohort_union_dropna(spark, d):
     joined = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return cohorts.union_cohorts([joined.where(F.col("lang") == x) for x in ("de", "en")], ["quality"])
+    return cohorts.union_cohorts([joined.where(F.col("lang") == x) for x in ("de", "en", "es", "fr")], ["quality"])
 
 
 @query("SELECT DISTINCT lang, source FROM documents")
