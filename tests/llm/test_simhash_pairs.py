@@ -1,10 +1,12 @@
 """The pipeline's near duplicates against all pairs of five-word shingle sets."""
 
+import random
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from tilework.llm import simhash_pairs
+from tilework.llm import common, simhash, simhash_pairs
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -82,3 +84,32 @@ def test_recall_of_buckets():
             f, g = (simhash_pairs.bits_of(simhash_pairs.fingerprint(w, n_bits)[None]) for w in (a, b))
             found += any((f[0, k] == g[0, k]).all() for k in groups)
         assert found >= 0.93 * total
+
+
+def test_wide_lookup_copies_hot_keys(spark):
+    """A key of most rows is repeated and dealt, no row is lost or doubled, and keys without a value go."""
+    left = spark.createDataFrame([(1, i) for i in range(200)] + [(2, i) for i in range(7)] + [(9, 1)], "k long, other long")
+    table = spark.createDataFrame([(1, [1, 2]), (2, []), (3, [4])], "k long, v array<int>")
+    got = common.lookup_wide(left, table, "k", "other", hot_share=10).collect()
+    assert sorted((r.k, r.other, tuple(r.v)) for r in got) == sorted([(1, i, (1, 2)) for i in range(200)] + [(2, i, ()) for i in range(7)])
+    assert common.lookup_wide(left.limit(0), table, "k", "other").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_equal_a_walk(spark, seed):
+    """Chains, stars, loops and repeated edges in either direction."""
+    rng = random.Random(seed)
+    edges = [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 230)] + [(230 + i, 200 + i) for i in range(3)] + [(5, 5)]
+    edges += [(rng.randrange(300, 360), rng.randrange(300, 360)) for _ in range(45)]
+    edges += edges[:9]
+    least = {n: n for e in edges for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((n, m) for n, m in least.items() if n != m)
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0

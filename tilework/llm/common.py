@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import math
 import tempfile
 import uuid
 
@@ -92,13 +93,20 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(left: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def few(df: DataFrame, rows: int, a_task: int = 100_000) -> DataFrame:
+    """df in no more partitions than so many rows need, eight at least: a small table is not written as hundreds of files; a larger one keeps all its tasks."""
+    return df.coalesce(max(8, math.ceil(rows / a_task)))
+
+
+def lookup(left: DataFrame, table: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
     """Left join with a table that has one row a key and in `weight` its number of left rows; the weight is dropped.
 
     Keys with more than one in HOT_SHARE of those rows (so at most HOT_SHARE
     keys) are broadcast; their left rows are dealt by a salt, all others by key.
+    `total`: the number of left rows, where it is known; else the weights are summed.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = table.agg(F.sum(weight)).first()[0] or 0
     values = [c for c in table.columns if c not in (key, weight)]
     is_hot = F.col(weight) * HOT_SHARE > total
     hot = table.where(is_hot).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
@@ -118,6 +126,28 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def lookup_wide(left: DataFrame, table: DataFrame, key: str, salt_by: str, counted: DataFrame | None = None, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Inner join with a table that has one row a key, where its values can be long: no value is broadcast.
+
+    A key with more than one in hot_share of the left rows is repeated, once for
+    each such part of the rows, and its rows meet one of the copies by the hash of
+    `salt_by`. Rows a key are counted in `counted`, where that is simpler than
+    left and has as many. Broadcast are those keys and their numbers of copies, fewer than
+    hot_share rows; copies are fewer than twice hot_share in all.
+    """
+    counted = left if counted is None else counted
+    counts, total = counted.groupBy(key).agg(F.count("*").alias("_n")), counted.count()
+    hot = counts.where(F.col("_n") * hot_share > total).select(F.col(key).alias("_hot_key"), F.ceil(F.col("_n") * hot_share / total).cast("int").alias("_copies"))
+
+    def copies(df: DataFrame, on: str) -> DataFrame:
+        return df.join(F.broadcast(hot), F.col(on) == F.col("_hot_key"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+
+    values = [c for c in table.columns if c != key]
+    asked = copies(left, key).select(*left.columns, F.pmod(F.xxhash64(salt_by), F.col("_copies")).cast("int").alias("_salt"))
+    given = copies(table, key).select(F.col(key).alias("_key"), *values, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    return asked.join(given, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_copy"))).select(*left.columns, *values)
+
+
 @contextlib.contextmanager
 def new_file(folder: str, name: str):
     """Writes folder/name under another name first, so that a lost or repeated attempt leaves no half file."""

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hashed_sample, lookup, saved, schema_with, text_of
+from .common import few, fresh, hashed_sample, lookup, saved, schema_with, text_of
 
 RADIUS = 2
 SEED = 42
@@ -177,26 +177,32 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.unionByName(edges).distinct()
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of the edges (a, b) reaches, by alternating large and small stars.
 
-    Each round's edges are written to the shared folder; rounds grow with the
-    logarithm of the longest chain.
+    Each round's edges are written to the shared folder, in few files where they
+    are few; rounds grow with the logarithm of the longest chain. The end is where
+    a large star changes nothing (then all that a node is linked to below it is
+    linked to nothing lower) and no node has two roots.
     """
-    now, before = saved(edges.where("a <> b").distinct(), "edges"), None
-    if now.isEmpty():
-        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    while True:
+    now = saved(edges.where("a <> b").distinct(), "edges")
+    state = _state(now)
+    while state[0]:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
-        large = saved(lookup(both.where("b > a"), least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars")
+        large = saved(few(lookup(both.where("b > a"), least, "a", "n", 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), state[0]), "stars")
+        stars = _state(large)
+        if stars == state and large.select("a").distinct().count() == stars[0]:
+            break
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = lookup(large, low, "a", "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = saved(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+        small = lookup(large, low, "a", "n", stars[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = saved(few(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), 2 * stars[0]), "edges")
+        state = _state(now)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def classes(fps: DataFrame, id_column: str, radius: int = RADIUS) -> DataFrame:

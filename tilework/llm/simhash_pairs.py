@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, hashed_sample, lookup, new_folder, saved, text_of
+from .common import few, file_system, hashed_sample, lookup, lookup_wide, new_folder, saved, text_of
 from .simhash import SAMPLE, SEED, allocate, bits_of, components, flips, part_keys
 
 SIMILARITY, WORDS = 0.8, 5
@@ -41,7 +41,7 @@ SPARE_BITS = 3
 #: Bits beside the partitions' that candidates are looked at by, and in how many they may differ (at 0.8: 12 on average, by chance: 64).
 CHECK_BITS, CHECK_RADIUS = 128, 28
 #: Buckets beyond this go by leaders and are never seen whole; rounds of leaders before all pairs that are left; members of a block of those.
-LARGE, ROUNDS, BLOCK = 64, 3, 64
+LARGE, ROUNDS, BLOCK = 64, 1, 64
 #: monotonically_increasing_id has the number of the partition from this bit on.
 PARTITION_BIT = 33
 #: Words whose hashes a worker remembers.
@@ -173,11 +173,8 @@ def only(held: DataFrame, rows: DataFrame, change=None, schema=None) -> DataFram
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets (node, shingles) have at least SIMILARITY in common."""
-    out = pairs
-    for end, name in (("a", "x"), ("b", "y")):
-        weights = out.groupBy(end).agg(F.count("*").alias("w"))
-        table = weights.join(sets, F.col(end) == F.col("node")).select(end, "w", F.col("shingles").alias(name))
-        out = lookup(out, table, end, "w")
+    out = lookup_wide(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a", "b")
+    out = lookup_wide(out, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b", "a", pairs)
     both = F.size(F.array_intersect("x", "y"))
     return out.where(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
 
@@ -204,16 +201,18 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
     bits = bits_of(np.frombuffer(b"".join(r.fp for r in sample), "<u8").reshape(len(sample), -1)[:, : n_bits // 64])
     groups, thresholds, _ = allocate(bits, some.count(), parts - 1, (parts,), 1)
     rows = saved(probes(some, n_bits, groups, thresholds), "probes")
+    probed = rows.count()
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("met", F.col("n"))
-    met = saved(lookup(rows, shared, "bucket", "n").where("met is not null").select("bucket", "met", F.struct("node", "size", "c1", "c2").alias("m")), "met")
+    met = saved(few(lookup(rows, shared, "bucket", "n", probed).where("met is not null").select("bucket", "met", F.struct("node", "size", "c1", "c2").alias("m")), probed), "met")
+    joined = met.count()
 
     members = met.where(F.col("met") <= LARGE).groupBy("bucket").agg(F.collect_list("m").alias("all"))
     alike = F.transform("all", lambda x: F.struct(x["node"].alias("b"), F.transform(F.filter("all", lambda y: (y["node"] < x["node"]) & _alike(x, y)), lambda y: y["node"]).alias("before")))
     some_alike = members.select("bucket", F.filter(alike, lambda x: F.size(x["before"]) > 0).alias("found")).where(F.size("found") > 0)
-    first = saved(some_alike.select("bucket", F.exists("found", lambda x: F.size(x["before"]) > 1).alias("more"), F.inline(F.transform("found", lambda x: F.struct(F.array_min(x["before"]).alias("a"), x["b"].alias("b"))))), "first")
-    near = saved(first.select("a", "b").distinct(), "candidates")
+    first = saved(few(some_alike.select("bucket", F.exists("found", lambda x: F.size(x["before"]) > 1).alias("more"), F.inline(F.transform("found", lambda x: F.struct(F.array_min(x["before"]).alias("a"), x["b"].alias("b"))))), joined, 20_000), "first")
+    near = saved(few(first.select("a", "b").distinct(), first.count()), "candidates")
     open_buckets = first.where("more").select("bucket").distinct()
-    small = saved(met.join(open_buckets, "bucket", "left_semi").select("bucket", "m"), "small")  # pairs are left in these
+    small = saved(few(met.join(open_buckets, "bucket", "left_semi").select("bucket", "m"), joined), "small")  # pairs are left in these
     active = met.where(F.col("met") > LARGE).select("bucket", "m")
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(active.select("m.node")).unionByName(small.select("m.node")).distinct()
@@ -224,17 +223,25 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
 
     chosen = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("row"))
     sets = saved(only(held.select("row", text_of(held, text).alias("text")), chosen, sets_of, "node long, shingles array<int>"), "sets")
-    edges, tried, roots = saved(verified(near, sets), "verified"), near, none
-    if not edges.isEmpty():
-        chains = components(edges)
-        roots = saved(chains.unionByName(chains.select(F.col("root").alias("node"), "root")).distinct(), "roots")
+    tried, roots, chains = near, none, none
+
+    def joined_by(pairs: DataFrame, n: int) -> None:
+        """Takes those of n pairs that are verified into the classes known so far."""
+        nonlocal roots, chains
+        found = saved(few(verified(pairs, sets), n, 2000), "verified")
+        if not found.isEmpty():
+            chains = components(found.unionByName(chains.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            roots = saved(few(chains.unionByName(chains.select(F.col("root").alias("node"), "root")).distinct(), 2 * chains.count()), "roots")
+
+    joined_by(near, near.count())
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Members (bucket, m) with their class, of those buckets that have members of two classes: others have no further pairs."""
         weighted = roots.join(rows.groupBy(F.col("m.node").alias("node")).agg(F.count("*").alias("n")), "node")
         now = lookup(rows.select("bucket", "m", F.col("m.node").alias("node")), weighted, "node", "n").select("bucket", "m", F.coalesce("root", "node").alias("class"))
         two = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-        return saved(lookup(now, two.select("bucket", "n", F.lit(True).alias("mixed")), "bucket", "n").where("mixed").drop("mixed"), "active")
+        n = rows.count()
+        return saved(few(lookup(now, two.select("bucket", "n", F.lit(True).alias("mixed")), "bucket", "n", n).where("mixed").drop("mixed"), n), "active")
 
     for k in range(ROUNDS + 1):
         classed = mixed(active)
@@ -244,19 +251,16 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
             break
         if k < ROUNDS:
             leader = classed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "m.node", F.lit(k)).alias("h"), "m", "class")).alias("l"), F.count("*").alias("n"))
-            asked = lookup(classed, leader.select("bucket", "n", F.col("l.m").alias("other"), F.col("l.class").alias("other_class")), "bucket", "n").select("m", "class", "other", "other_class")
+            asked = lookup(classed, leader.select("bucket", "n", F.col("l.m").alias("other"), F.col("l.class").alias("other_class")), "bucket", "n", classed.count()).select("m", "class", "other", "other_class")
         else:
             asked = crossed(classed)
         if rest is not None:
             asked = asked.unionByName(crossed(rest))
-        new = saved(ordered(asked.where("class <> other_class")).join(tried, ["a", "b"], "left_anti"), "candidates")
-        if not new.isEmpty():
-            found = saved(verified(new, sets), "verified")
+        new = saved(few(ordered(asked.where("class <> other_class")).join(tried, ["a", "b"], "left_anti"), classed.count() + (rest.count() if rest else 0)), "candidates")
+        n = new.count()
+        if n:
             tried = tried.unionByName(new)
-            if not found.isEmpty():
-                edges = edges.unionByName(found)
-                chains = components(edges)
-                roots = saved(chains.unionByName(chains.select(F.col("root").alias("node"), "root")).distinct(), "roots")
+            joined_by(new, n)
         if done:
             break
         active = classed.select("bucket", "m")
@@ -288,13 +292,14 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     names = docs.columns
     text, id_at = f"c{names.index('text')}", f"c{names.index(id_column)}"
     held = saved(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("row")), "numbered")
-    parts, width = layout(held.count())
+    n = held.count()
+    parts, width = layout(n)
     n_bits = -(-parts * width // 64) * 64
     sketched = saved(sketches(held.select("row", F.col(id_at).cast("long").alias("doc_id"), text_of(held, text).alias("text")), n_bits + CHECK_BITS), "sketches")
-    nodes = saved(sketched.groupBy("node").agg(F.min("row").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.count("*").alias("n")), "nodes")
+    nodes = saved(few(sketched.groupBy("node").agg(F.min("row").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.count("*").alias("n")), n), "nodes")
     roots = links(nodes, held, text, n_bits, parts)
     labels = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("class"))
-    marked = lookup(sketched.select("row", "doc_id", "node"), saved(labels, "labels"), "node", "n")
+    marked = lookup(sketched.select("row", "doc_id", "node"), saved(few(labels, n), "labels"), "node", "n", n)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     kept = marked.groupBy("class").agg(first.alias("first")).select(F.col("first.row").alias("row"))
     return only(held, kept).select(*[F.col(c).alias(names[i]) for i, c in enumerate(held.columns[:-1])])
