@@ -95,6 +95,25 @@ def test_wide_lookup_copies_hot_keys(spark):
     assert common.lookup_wide(left.limit(0), table, "k", "other").count() == 0
 
 
+def test_rarest_shingles_find_all_similar_pairs(spark):
+    """Sets that share a long common part, of sizes 1 to 60: every pair of similarity 0.8 meets under a rare shingle, few others do."""
+    rng = np.random.default_rng(4)
+    common = rng.choice(10_000, 40, replace=False)
+    sets = [np.unique(np.concatenate([rng.choice(common, int(rng.integers(1, 41)), replace=False), rng.integers(10_000, 90_000, int(rng.integers(0, 20)))])) for _ in range(60)]
+    for s in sets[:30]:  # partners about as similar as needed
+        sets.append(np.unique(np.concatenate([s[: len(s) - len(s) // 9], rng.integers(90_000, 99_000, len(s) // 9)])))
+    made = {tuple(s.tolist()) for s in sets}
+    sets = [set(s) for s in sorted(made)]
+    m = [(7, (i, len(s), 0, 0)) for i, s in enumerate(sets)]
+    active = spark.createDataFrame(m + m[:9], "bucket long, m struct<node: long, size: int, c1: long, c2: long>")
+    held = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "node long, shingles array<int>")
+    rows = simhash_pairs.rarest(active, held).withColumn("class", simhash_pairs.F.col("m.node"))
+    met = {tuple(sorted((r.m.node, r.other.node))) for r in simhash_pairs.crossed(rows, simhash_pairs._can_share).collect()}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if similarity(sets[i], sets[j]) >= 0.8}
+    assert len(want) >= 10 and want <= met and len(met) < len(sets) * (len(sets) - 1) / 8
+    assert simhash_pairs.rarest(active.limit(0), held).count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_a_walk(spark, seed):
     """Chains, stars, loops and repeated edges in either direction."""

@@ -16,13 +16,17 @@ and their sizes can reach the similarity; candidates count only if their sets of
 shingles do reach it. Each member of a bucket is first compared with one other
 that is like it, in a large bucket with a leader, another one in each round; what
 verified pairs connect needs no further look, and all other pairs of members that
-are alike are compared then.
+are alike are compared then. Members of large buckets that are still of two
+classes, unlike ones whose texts have much in common, go by their rarest shingles
+instead of their bucket: two sets of that similarity share one of those
+(`rarest`), so all their pairs are found and others hardly meet.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -253,7 +257,8 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
             leader = classed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "m.node", F.lit(k)).alias("h"), "m", "class")).alias("l"), F.count("*").alias("n"))
             asked = lookup(classed, leader.select("bucket", "n", F.col("l.m").alias("other"), F.col("l.class").alias("other_class")), "bucket", "n", classed.count()).select("m", "class", "other", "other_class")
         else:
-            asked = crossed(classed)
+            under = mixed(saved(few(rarest(classed, sets), 20 * classed.count()), "rarest"))
+            asked = crossed(under, _can_share).select("class", "other_class", *[F.col(c).dropFields("before").alias(c) for c in ("m", "other")])
         if rest is not None:
             asked = asked.unionByName(crossed(rest))
         new = saved(few(ordered(asked.where("class <> other_class")).join(tried, ["a", "b"], "left_anti"), classed.count() + (rest.count() if rest else 0)), "candidates")
@@ -267,15 +272,39 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
     return roots
 
 
-def crossed(active: DataFrame) -> DataFrame:
-    """Pairs of members (bucket, m, class) of a bucket that are of two classes and can be similar, each once: blocks of about BLOCK members meet in groups, so no task has a whole bucket's."""
+def rarest(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members m of active, each once, (bucket, m with `before`) under those of their shingles of which two sets of SIMILARITY must share one; before: how many shingles come before that one.
+
+    Whatever order shingles have, sets x and y that share SIMILARITY of both share
+    one of the first |x| - SIMILARITY * |x| + 1 of x and as many of y. The order is
+    that of how many members have a shingle, so what many texts share comes last;
+    shingles of one member alone are counted in, but lead to nothing.
+    """
+    members = active.select("m").distinct().withColumn("node", F.col("m.node"))
+    rows = saved(sets.join(members.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle")), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).withColumn("often", F.col("n"))
+    ranked = lookup(rows, often, "shingle", "n", rows.count()).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    needed = F.size("all") - F.ceil(SIMILARITY * F.size("all") - 1e-6).cast("int") + 1
+    placed = F.transform(F.slice("all", F.lit(1), needed), lambda x, i: F.struct(x["shingle"].cast("long").alias("bucket"), i.alias("before"), x["often"].alias("often")))
+    first = ranked.select("node", F.inline(F.filter(placed, lambda x: x["often"] > 1)))
+    return first.join(members, "node").select("bucket", F.col("m").withField("before", F.col("before")).alias("m"))
+
+
+def _can_share(x: Column, y: Column) -> Column:
+    """Whether two members that are alike and share this shingle can be similar if it is the first that they share: what they share is it and others after it."""
+    most = F.least(x["size"] - x["before"], y["size"] - y["before"])
+    return _alike(x, y) & (most * (1 + SIMILARITY) >= SIMILARITY * (x["size"] + y["size"]) - 1e-6)
+
+
+def crossed(active: DataFrame, like: Callable[[Column, Column], Column] = _alike) -> DataFrame:
+    """Pairs of members (bucket, m, class) of a bucket that are of two classes and can be similar, each once a bucket: blocks of about BLOCK members meet in groups, so no task has a whole bucket's."""
     sizes = active.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = lookup(active, sizes, "bucket", "n").withColumn("block", F.pmod(F.xxhash64("m.node"), F.col("blocks")).cast("int"))
     sent = dealt.select("bucket", "block", "m", "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     groups = sent.groupBy("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).agg(F.collect_list(F.struct("block", "m", "class")).alias("all"))
 
     def fit(x: Column) -> Column:
-        return F.filter("all", lambda y: (x["m"]["node"] != y["m"]["node"]) & (x["class"] != y["class"]) & ((F.col("i") == F.col("j")) | (x["block"] < y["block"])) & _alike(x["m"], y["m"]))
+        return F.filter("all", lambda y: F.when(F.col("i") == F.col("j"), x["m"]["node"] < y["m"]["node"]).otherwise(x["block"] < y["block"]) & (x["class"] != y["class"]) & like(x["m"], y["m"]))
 
     found = F.flatten(F.transform("all", lambda x: F.transform(fit(x), lambda y: F.struct(x["m"].alias("m"), x["class"].alias("class"), y["m"].alias("other"), y["class"].alias("other_class")))))
     return groups.select("i", "j", F.inline(found)).drop("i", "j")
