@@ -101,10 +101,9 @@ def level_transform(spark, d):
     return vertices(spark, d).select("vertex_id", *[tiles.to_level(F.col(c), 4).alias(c) for c in "xy"])
 
 
-@query("SELECT slide_id, 1024 AS x, 512 AS y, CAST(floor(least(4000, width - 1024) / 4::DOUBLE) AS BIGINT) AS w, CAST(floor(least(3000, height - 512) / 4::DOUBLE) AS BIGINT) AS h FROM slides WHERE width > 1024 AND height > 512")
+@query("SELECT slide_id, 1024 AS x, 512 AS y, CAST(floor(greatest(least(4000, width - 1024), 0) / 4::DOUBLE) AS BIGINT) AS w, CAST(floor(greatest(least(3000, height - 512), 0) / 4::DOUBLE) AS BIGINT) AS h FROM slides")
 def region_window(spark, d):
-    s = slides(spark, d).where("width > 1024 and height > 512")
-    return s.select("slide_id", F.inline(F.array(tiles.region_window(F.lit(1024), F.lit(512), F.lit(4000), F.lit(3000), F.col("width"), F.col("height"), 2))))
+    return slides(spark, d).select("slide_id", F.inline(F.array(tiles.region_window(F.lit(1024), F.lit(512), F.lit(4000), F.lit(3000), F.col("width"), F.col("height"), 2))))
 
 
 @query(f"SELECT slide_id, CAST(trunc(y / 3::DOUBLE) AS INT) AS \"left\", CAST(trunc(x / 3::DOUBLE) AS INT) AS top, {int(TILE / 3)} AS w, {int(TILE / 3)} AS h FROM slides, unnest(range(0, height, {TILE})) a(x), unnest(range(0, width, {TILE})) b(y)")
