@@ -132,3 +132,51 @@ def test_components_equal_a_walk(spark, seed):
     got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted((r.node, r.root) for r in got) == sorted((n, m) for n, m in least.items() if n != m)
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_families_are_verified_where_each_set_is_once(spark, tmp_path, monkeypatch):
+    """A family of texts all alike, a star, a chain and a long pair: the pairs verified are those of brute force, and a family's sets are sent far less often than it has pairs."""
+    rng = np.random.default_rng(3)
+    sets = {}
+    for i in range(60):  # a family of close and less close sets
+        sets[i] = np.unique(np.concatenate([np.arange(100 + 5 * (i % 7)), rng.integers(1_000, 9_000, int(rng.integers(0, 25)))]))
+    for i in range(100, 140):
+        sets[i] = np.arange(int(rng.integers(1, 9)))
+    sets[200], sets[201] = np.arange(50_000), np.arange(9_000, 50_000)
+    pairs = [(i, j) for j in range(60) for i in range(j)] + [(100, i) for i in range(101, 120)] + [(i, i + 1) for i in range(120, 139)] + [(200, 201)]
+    rows = [((i % 3 << simhash_pairs.PARTITION_BIT) + i, i, len(x), x.tolist()) for i, x in sets.items()]
+    spark.createDataFrame(rows, "row long, node long, size int, shingles array<int>").write.parquet(f"{tmp_path}/sets")
+    held, asked = spark.read.parquet(f"{tmp_path}/sets"), spark.createDataFrame(pairs, "a long, b long")
+    want = {(i, j) for i, j in pairs if similarity(set(sets[i].tolist()), set(sets[j].tolist())) >= simhash_pairs.SIMILARITY}
+    assert 20 < len(want) < len(pairs) - 20
+    for cell, size in ((simhash_pairs.CELL, simhash_pairs.PAIRS), (3_000, 5), (1, 1)):
+        monkeypatch.setattr(simhash_pairs, "CELL", cell)
+        monkeypatch.setattr(simhash_pairs, "PAIRS", size)
+        got = [(r.a, r.b) for r in simhash_pairs.verified(asked, held, len(pairs)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        at = simhash_pairs.placed(asked, held.select("node", "size"), len(pairs)).collect()
+        assert sorted((r.a, r.b) for r in at) == sorted(pairs)
+        if cell == simhash_pairs.CELL and cell > 3_000:
+            assert len({(r.place, x) for r in at for x in (r.a, r.b)}) < len(pairs) / 5
+    assert simhash_pairs.verified(asked.limit(0), held, 0).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Both stages that hand whole texts to Python bound a batch by its bytes, not by 10,000 rows of any length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        common.in_small_batches(spark.range(1))
+        assert int(spark.conf.get(key).rstrip("b")) == common.BATCH_BYTES
+        rows = spark.range(600, numPartitions=1).selectExpr("id", "repeat('x', 100000) text")
+
+        def count(batches):
+            for batch in batches:
+                yield type(batch).from_pydict({"n": [batch.nbytes]})
+
+        assert max(r.n for r in rows.mapInArrow(count, "n long").collect()) < 2 * common.BATCH_BYTES
+        spark.conf.set(key, "1000")
+        common.in_small_batches(rows)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.unset(key)

@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: A key is hot if it holds more than one in this many rows, so there are fewer hot keys than this.
 HOT_SHARE = 1000
+#: An Arrow batch of whole texts ends at the row that brings it to so many bytes (Spark's default is 64 MB, which a task holds on both sides of the pipe).
+BATCH_BYTES = 4 << 20
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
@@ -51,6 +53,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session gives Python batches of BATCH_BYTES, or fewer where it was set so. Rows stay as they are."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one set here."""
     sc = spark.sparkContext

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import in_small_batches, saved, text_of
 
 ORDER = 4
 BEGIN, END = 0xFE, 0xFF
@@ -250,7 +250,7 @@ def score(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     gives no rows. With no training text at all every byte is as likely as any
     other.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("held_out", is_held_out(F.col("doc_id")))
+    rows = in_small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("held_out", is_held_out(F.col("doc_id")))
     blocks = saved(in_blocks(rows), "blocks")
     wanted = saved(asked(blocks), "asked")
     of_words, of_grams = wanted.where("word is not null"), wanted.where("word is null")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, schema_with, text_of
+from .common import in_small_batches, saved, schema_with, text_of
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 #: The commonest function words of the corpus' languages (de, en, es, fr).
@@ -172,7 +172,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     weights are known only after all have voted.
     """
     names = docs.columns
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    renamed = in_small_batches(docs).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = names.index(text)
 
     def mark(batches):

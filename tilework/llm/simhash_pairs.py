@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, file_system, hashed_sample, lookup, lookup_wide, new_folder, saved, text_of
+from .common import few, file_system, hashed_sample, in_small_batches, lookup, new_folder, saved, text_of
 from .simhash import SAMPLE, SEED, allocate, bits_of, components, flips, part_keys
 
 SIMILARITY, WORDS = 0.8, 5
@@ -46,6 +46,8 @@ SPARE_BITS = 3
 CHECK_BITS, CHECK_RADIUS = 128, 28
 #: Buckets beyond this go by leaders and are never seen whole; rounds of leaders before all pairs that are left; members of a block of those.
 LARGE, ROUNDS, BLOCK = 64, 1, 64
+#: Shingles of the pairs of a family that are verified in one place, and how many pairs of small families share a place.
+CELL, PAIRS = 1 << 20, 64
 #: monotonically_increasing_id has the number of the partition from this bit on.
 PARTITION_BIT = 33
 #: Words whose hashes a worker remembers.
@@ -175,12 +177,72 @@ def only(held: DataFrame, rows: DataFrame, change=None, schema=None) -> DataFram
     return held.mapInArrow(keep, schema or held.schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets (node, shingles) have at least SIMILARITY in common."""
-    out = lookup_wide(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a", "b")
-    out = lookup_wide(out, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b", "a", pairs)
-    both = F.size(F.array_intersect("x", "y"))
-    return out.where(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
+@functools.lru_cache(16)
+def _asked(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a partition that a list (row, place) names, ascending, and their places."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, path = file_system(folder)
+    found = files.get_file_info(fs.FileSelector(f"{path}/part={part}", allow_not_found=True))
+    tables = [pq.ParquetFile(files.open_input_file(f.path)).read() for f in found if f.path.endswith(".parquet")]
+    row, place = (np.concatenate([np.empty(0, "i8"), *[t.column(c).to_numpy() for t in tables]]) for c in ("row", "place"))
+    order = np.argsort(row, kind="stable")
+    return row[order], place[order]
+
+
+def placed(pairs: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """(a, b, place) of n pairs (a, b): pairs with much the same members have one place, which has about CELL shingles at most.
+
+    A pair goes by the least partner of its b, which is the same one throughout a
+    family of texts that are all alike. A family of more is cut both ways, by a
+    and by b, in proportion to how many of either it has. sizes: (node, size).
+    """
+    partner = pairs.groupBy("b").agg(F.min("a").alias("cell"), F.count("*").alias("n"))
+    celled = lookup(pairs.select("a", "b"), partner, "b", "n", n)
+    cells = celled.groupBy("cell").agg(F.count("*").alias("n"), F.approx_count_distinct("a").alias("of_a"), F.approx_count_distinct("b").alias("of_b")).join(sizes.withColumnRenamed("node", "cell"), "cell")
+    cells = cells.withColumn("parts", F.ceil(F.col("n") * F.col("size") / CELL)).withColumn("by_a", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("parts") * F.col("of_a") / F.col("of_b")))))
+    cells = cells.select("cell", "n", "by_a", F.ceil(F.col("parts") / F.col("by_a")).alias("by_b"))
+    at = F.xxhash64("cell", F.pmod(F.xxhash64("a"), F.col("by_a")), F.pmod(F.xxhash64("b"), F.col("by_b")))
+    return lookup(celled, cells, "cell", "n", n).select("a", "b", F.pmod(at, F.lit(math.ceil(max(n, 1) / PAIRS))).alias("place"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Those of n pairs (a, b) whose sets (row, node, size, shingles; written, numbered by partition in `row`) have at least SIMILARITY in common.
+
+    A set is sent to each place that has pairs of it once, not with each pair.
+    """
+    at = saved(few(placed(pairs, sets.select("node", "size"), n), n), "placed")
+    folder = new_folder(sets.sparkSession, "asked")
+    wanted = at.select("place", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "row"), "node")
+    wanted.select("row", "place", F.shiftright("row", PARTITION_BIT).alias("part")).repartition("part").write.partitionBy("part").parquet(folder)
+
+    def send(batches):
+        for batch in batches:
+            row = batch.column("row").to_numpy()
+            for part in np.unique(row >> PARTITION_BIT).tolist():
+                here = np.flatnonzero(row >> PARTITION_BIT == part)
+                rows, places = _asked(folder, part)
+                first, last = np.searchsorted(rows, row[here], "left"), np.searchsorted(rows, row[here], "right")
+                times = last - first
+                which = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+                every = pa.array(np.repeat(here, times))
+                yield pa.RecordBatch.from_arrays([pa.array(places[which]), batch.column("node").take(every), batch.column("shingles").take(every)], ["place", "node", "shingles"])
+
+    def check(held: pa.Table, asked: pa.Table) -> pa.Table:
+        node, a, b = held.column("node").to_numpy(), asked.column("a").to_numpy(), asked.column("b").to_numpy()
+        known = {x: i for i, x in enumerate(node.tolist())}
+        found = held.column("shingles").combine_chunks()
+        values, ends = found.values.to_numpy(), found.offsets.to_numpy()
+        good = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = (values[ends[known[z]] : ends[known[z] + 1]] for z in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good[k] = both >= SIMILARITY * (len(x) + len(y) - both)
+        return pa.table({"a": a[good], "b": b[good]})
+
+    sent = sets.mapInArrow(send, "place long, node long, shingles array<int>")
+    return sent.groupBy("place").cogroup(at.groupBy("place")).applyInArrow(check, "a long, b long")
 
 
 def _alike(x: Column, y: Column) -> Column:
@@ -223,16 +285,16 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
 
     def sets_of(batch):
         found = [shingles(word_hashes(x.as_py())) for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63 for x in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["node", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63 for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["row", "node", "size", "shingles"])
 
     chosen = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("row"))
-    sets = saved(only(held.select("row", text_of(held, text).alias("text")), chosen, sets_of, "node long, shingles array<int>"), "sets")
+    sets = saved(only(held.select("row", text_of(held, text).alias("text")), chosen, sets_of, "row long, node long, size int, shingles array<int>"), "sets")
     tried, roots, chains = near, none, none
 
     def joined_by(pairs: DataFrame, n: int) -> None:
         """Takes those of n pairs that are verified into the classes known so far."""
         nonlocal roots, chains
-        found = saved(few(verified(pairs, sets), n, 2000), "verified")
+        found = saved(few(verified(pairs, sets, n), n, 2000), "verified")
         if not found.isEmpty():
             chains = components(found.unionByName(chains.select(F.col("node").alias("a"), F.col("root").alias("b"))))
             roots = saved(few(chains.unionByName(chains.select(F.col("root").alias("node"), "root")).distinct(), 2 * chains.count()), "roots")
@@ -320,7 +382,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """
     names = docs.columns
     text, id_at = f"c{names.index('text')}", f"c{names.index(id_column)}"
-    held = saved(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("row")), "numbered")
+    held = saved(in_small_batches(docs).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("row")), "numbered")
     n = held.count()
     parts, width = layout(n)
     n_bits = -(-parts * width // 64) * 64
