@@ -33,8 +33,8 @@ from .common import in_small_batches, saved, text_of
 ORDER = 4
 BEGIN, END = 0xFE, 0xFF
 BLOCK_BYTES = 16 << 20
-#: Positions whose grams are made at once; longer words go by a digest, led by a space, which no word has.
-STEP, WORD_BYTES = 1 << 21, 64
+#: Positions whose grams are counted at once (and looked up at once: a worker holds some ten arrays of as many numbers then); longer words go by a digest, led by a space, which no word has.
+STEP, LOOKED_UP, WORD_BYTES = 1 << 20, 1 << 17, 64
 MODULUS, HELD_OUT = 7, 2
 
 
@@ -214,7 +214,7 @@ class _Answers:
         self.codes, self.values = codes[order], values[order]
         self.shift = np.uint64(64 - max(8, (4 * len(codes)).bit_length()))
         slots = self._slots(self.codes)
-        self.table = np.full(1 << int(64 - self.shift), -1, "i8")
+        self.table = np.full(1 << int(64 - self.shift), -1, "i4")  # a block's grams are fewer than its bytes
         self.table[slots] = np.arange(len(slots))
 
     def _slots(self, codes: np.ndarray) -> np.ndarray:
@@ -232,8 +232,9 @@ def code_lengths(texts: list[bytes], answers: _Answers) -> np.ndarray:
     """log10 probability of each text and its end."""
     stream, starts = _stream(texts)
     out = np.zeros(len(texts))
-    for at in range(ORDER, len(stream), STEP):
-        to = min(at + STEP, len(stream))
+    step = min(STEP, LOOKED_UP)
+    for at in range(ORDER, len(stream), step):
+        to = min(at + step, len(stream))
         real = np.flatnonzero(stream[at:to] != BEGIN)
         got = np.zeros(to - at)
         got[real] = answers.get(grams(stream, at, to)[real])
@@ -268,21 +269,26 @@ def score(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
         is_word = found.column("word").is_valid()
-        by_word = found.filter(is_word)
+        by_word = found.select(["word", "value"]).filter(is_word)
         taught: Counter = Counter()
         for text, held in zip(texts.column("text"), texts.column("held_out").to_pylist(), strict=True):
             if not held:
                 taught.update(_words(_lower(text.as_py() or "")))
                 taught[b""] += 1
-        logs_of = {w: math.log10(n + 1) for w, n in taught.items()}
-        logs_of.update(zip(by_word.column("word").to_pylist(), by_word.column("value").to_pylist(), strict=True))
-        by_code = found.filter(pc.invert(is_word))
+        logs_of: dict = taught  # the same keys, so one dictionary does
+        for w, n in taught.items():
+            logs_of[w] = math.log10(n + 1)
+        for batch in by_word.to_batches(1 << 14):
+            dict.update(logs_of, zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        by_code = found.select(["code", "value"]).filter(pc.invert(is_word))
         known = _Answers(by_code.column("code").to_numpy(), by_code.column("value").to_numpy())
+        del found, by_word, by_code
         out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "n_bytes": []}
         scores, waiting, size = [], [], 0
+        of_word = logs_of.get
         for text in texts.column("text"):
             data = _lower(text.as_py() or "")
-            logs = [logs_of.get(w, 0.0) for w in (*_words(data), b"")]
+            logs = [of_word(w, 0.0) for w in (*_words(data), b"")]
             out["n_tokens"].append(len(logs))
             out["n_known"].append(len(logs) - logs.count(0.0))
             out["base_score"].append(math.fsum(logs) - len(logs) * share)
