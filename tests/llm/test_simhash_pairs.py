@@ -180,3 +180,67 @@ def test_texts_go_to_python_in_small_batches(spark):
         assert spark.conf.get(key) == "1000"
     finally:
         spark.conf.unset(key)
+
+
+def test_folds_never_part_similar_sets(spark):
+    """Of sets at and about the similarity all that reach it stay, and most of short ones far below it go; their folds differ in no more bits than they have shingles apart."""
+    rng = np.random.default_rng(8)
+    rows, apart = [], 0
+    for k in range(300):
+        size = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 32, size, dtype="u8").astype("u4"))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a) // 3 + 1)) :], rng.integers(0, 1 << 32, int(rng.integers(0, 1 + size // 6)), dtype="u8").astype("u4")]))
+        x, y = (simhash_pairs.fold(z.view("i4")) for z in (a, b))
+        one = len(set(a.tolist()) ^ set(b.tolist()))
+        assert np.bitwise_count((x ^ y).view("u8")).sum() <= one
+        rows.append((k, similarity(set(a.tolist()), set(b.tolist())), *[(len(z), tuple(f.tolist())) for z, f in ((a, x), (b, y))]))
+    member = f"struct<size: int, fold: struct<{', '.join(f'f{i}: long' for i in range(simhash_pairs.FOLD // 64))}>>"
+    table = spark.createDataFrame(rows, f"k int, similarity double, x {member}, y {member}")
+    got = {r.k for r in table.where(simhash_pairs._folds_fit(simhash_pairs.F.col("x"), simhash_pairs.F.col("y"))).collect()}
+    want = {k for k, s, *_ in rows if s >= 0.8}
+    short = {k for k, s, x, _ in rows if s < 0.7 and 20 < x[0] < 150}
+    assert len(want) > 50 and want <= got
+    assert len(short) > 10 and len(short & got) < len(short) / 4
+
+
+def test_unlike_members_of_a_family_are_not_paired(spark, monkeypatch):
+    """Short texts that share much, no two of them enough: few of their pairs are asked for, and the documents kept are those of brute force."""
+    monkeypatch.setattr(simhash_pairs, "RECALL", 0.9999)
+    asked = []
+    plain = simhash_pairs.verified
+
+    def counted(pairs, sets, n):
+        asked.append(n)
+        return plain(pairs, sets, n)
+
+    monkeypatch.setattr(simhash_pairs, "verified", counted)
+    monkeypatch.setattr(simhash_pairs, "LARGE", 8)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 5000, 100)
+    rows = []
+    for k in range(120):
+        words = base.copy()
+        at = rng.choice(20, 3, replace=False) * 5
+        words[at] = 10_000 + 3 * k + np.arange(3)
+        rows.append((k, " ".join(f"w{w}" for w in words), "x"))
+    kept = simhash_pairs.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((False, r.doc_id) for r in kept) == brute(rows)
+    assert sum(asked) < len(rows) * (len(rows) - 1) / 2 / 5
+
+
+@pytest.mark.parametrize("often", [[], [7, 9, 1000], list(range(40))])
+def test_shared_buckets_are_the_same_whatever_is_named(spark, often):
+    """Rows of buckets of one, two and most rows, with and without the large ones named."""
+    rows = [(7, i) for i in range(500)] + [(9, 1), (9, 2), (10, 3), (11, 1), (11, 2), (11, 3), (12, 9)]
+    got = simhash_pairs.shared(spark.createDataFrame(rows, "bucket long, row long"), often).collect()
+    size = {b: sum(x == b for x, _ in rows) for b, _ in rows}
+    assert sorted((r.bucket, r.row, r.met) for r in got) == sorted((b, i, size[b]) for b, i in rows if size[b] > 1)
+
+
+def test_no_stage_writes_a_copy_of_rejected_texts(spark, monkeypatch):
+    """Quality rules write no text on the way."""
+    from tilework.llm import quality
+
+    monkeypatch.setattr(quality, "saved", lambda *a: pytest.fail("a copy is written"))
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "x")], SCHEMA)
+    assert quality.keep_good(docs).columns == docs.columns and quality.keep_good(docs).count() == 0

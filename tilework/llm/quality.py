@@ -168,8 +168,9 @@ def judge(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that `judge` would keep; the text column may be of any name.
 
-    The rows travel with their votes to the shared folder, since the patterns'
-    weights are known only after all have voted.
+    Texts vote twice, since the patterns' weights are known only after all have
+    voted: once to be counted, once to be kept or not. That takes the time of
+    reading them again, and no copy of them is written in between.
     """
     names = docs.columns
     renamed = in_small_batches(docs).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
@@ -181,6 +182,6 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
             votes = ["".join("-0+"[rule(s) + 1] for rule in RULES.values()) for s in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes, pa.string()), pa.array([s.base_failed for s in found], pa.bool_())], [*batch.schema.names, "votes", "base_failed"])
 
-    voted = saved(renamed.mapInArrow(mark, schema_with(renamed, votes="string", base_failed="boolean")), "voted")
-    good = voted.join(F.broadcast(posteriors(voted)), "votes").where(~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
+    voted = renamed.mapInArrow(mark, schema_with(renamed, votes="string", base_failed="boolean"))
+    good = voted.join(F.broadcast(posteriors(vote(renamed, [], f"c{at}"))), "votes").where(~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
     return good.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -13,7 +13,8 @@ stay few and that recall stays the same at every size.
 
 Members of a bucket are candidates if CHECK_BITS further bits agree well enough
 and their sizes can reach the similarity; candidates count only if their sets of
-shingles do reach it. Each member of a bucket is first compared with one other
+shingles do reach it. Where pairs are many, sets are first folded to FOLD bits
+each, which show many unlike pairs and never a similar one (`_folds_fit`). Each member of a bucket is first compared with one other
 that is like it, in a large bucket with a leader, another one in each round; what
 verified pairs connect needs no further look, and all other pairs of members that
 are alike are compared then. Members of large buckets that are still of two
@@ -31,10 +32,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, file_system, hashed_sample, in_small_batches, lookup, new_folder, saved, text_of
+from .common import HOT_SHARE, few, file_system, hashed_sample, in_small_batches, lookup, new_folder, saved, text_of
 from .simhash import SAMPLE, SEED, allocate, bits_of, components, flips, part_keys
 
 SIMILARITY, WORDS = 0.8, 5
@@ -44,6 +45,8 @@ DIFFERING, RECALL = 0.095, 0.97
 SPARE_BITS = 3
 #: Bits beside the partitions' that candidates are looked at by, and in how many they may differ (at 0.8: 12 on average, by chance: 64).
 CHECK_BITS, CHECK_RADIUS = 128, 28
+#: Bits that a set of shingles is folded to (a multiple of 64).
+FOLD = 256
 #: Buckets beyond this go by leaders and are never seen whole; rounds of leaders before all pairs that are left; members of a block of those.
 LARGE, ROUNDS, BLOCK = 64, 1, 64
 #: Shingles of the pairs of a family that are verified in one place, and how many pairs of small families share a place.
@@ -110,41 +113,66 @@ def fingerprint(words: np.ndarray, n_bits: int) -> np.ndarray:
     return np.packbits(2 * ones > len(pairs), bitorder="little").view("<u8")
 
 
+def fold(found: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles that fall on each of FOLD places is odd, as 64-bit numbers: two sets' folds differ in as many bits as the shingles that only one has, or fewer."""
+    odd = np.bincount(found.view("u4") % FOLD, minlength=FOLD).astype("u1") & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def sketches(rows: DataFrame, n_bits: int) -> DataFrame:
-    """(row, doc_id, node: hash of the set of shingles, size of the set, fp: fingerprint) of (row, doc_id, text)."""
+    """(row, doc_id, node: hash of the set of shingles, size of the set, c1, c2: the bits looked at besides, fp: fingerprint) of (row, doc_id, text)."""
 
     def add(batches):
         for batch in batches:
-            nodes, sizes, fps = [], [], []
+            nodes, sizes, fps, checks = [], [], [], []
             for text in batch.column(2):
                 words = word_hashes(text.as_py())
                 found = shingles(words)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - 2**63)
                 sizes.append(len(found))
-                fps.append(fingerprint(words, n_bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary())], ["row", "doc_id", "node", "size", "fp"])
+                made = fingerprint(words, n_bits + CHECK_BITS)
+                fps.append(made[: n_bits // 64].tobytes())
+                checks.append(made[n_bits // 64 :].view("i8"))
+            c1, c2 = (pa.array([c[i] for c in checks], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), c1, c2, pa.array(fps, pa.binary())], ["row", "doc_id", "node", "size", "c1", "c2", "fp"])
 
-    return rows.mapInArrow(add, "row long, doc_id long, node long, size int, fp binary")
+    return rows.mapInArrow(add, "row long, doc_id long, node long, size int, c1 long, c2 long, fp binary")
 
 
-def probes(nodes: DataFrame, n_bits: int, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(bucket, node, size, c1, c2) of (node, size, fp): a row for each partition and each key within its threshold; c1, c2: the bits looked at besides."""
-    probed = [(i, g, np.array(flips(len(g), t), "u8")) for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0]
+Probed = list[tuple[int, list[int], np.ndarray]]
+
+
+def keys_of(bits: np.ndarray, probed: Probed) -> np.ndarray:
+    """The buckets of each row of bits, one for each partition (its number, bits and changes) and change: the key, and the partition's number above all keys' bits, so that numbers are small and no two buckets have the same."""
+    width = np.uint64(max((len(g) for _, g, _ in probed), default=0))
+    return np.concatenate([(part_keys(bits, g)[:, None] ^ f) | (np.uint64(i) << width) for i, g, f in probed], 1).view("i8")
+
+
+def probes(nodes: DataFrame, n_bits: int, probed: Probed) -> DataFrame:
+    """(bucket, row) of (row, fp): a row for each partition and each key within its threshold."""
 
     def add(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
-                fps = np.frombuffer(b"".join(part.column("fp").to_pylist()), "<u8").reshape(part.num_rows, -1)
-                bits = bits_of(fps[:, : n_bits // 64])
-                with np.errstate(over="ignore"):
-                    keys = np.concatenate([_mixed((part_keys(bits, g)[:, None] ^ f) + np.uint64(i + 1) * _GOLDEN) for i, g, f in probed], 1)
-                every = np.repeat(np.arange(part.num_rows), keys.shape[1])
-                node, size = part.column("node").to_numpy(), part.column("size").to_numpy()
-                checks = fps[:, n_bits // 64 :].view("i8")
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view("i8")), pa.array(node[every]), pa.array(size[every]), pa.array(checks[every, 0]), pa.array(checks[every, 1])], ["bucket", "node", "size", "c1", "c2"])
+                keys = keys_of(bits_of(np.frombuffer(b"".join(part.column("fp").to_pylist()), "<u8").reshape(part.num_rows, -1)), probed)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column("row").to_numpy(), keys.shape[1]))], ["bucket", "row"])
+
+    return nodes.select("row", "fp").mapInArrow(add, "bucket long, row long")
+
 
-    return nodes.select("node", "size", "fp").mapInArrow(add, "bucket long, node long, size int, c1 long, c2 long")
+def shared(rows: DataFrame, often: list[int]) -> DataFrame:
+    """(bucket, row, met: the bucket's number of rows) of those rows (bucket, row) whose bucket has others.
+
+    Rows move once, to be counted by bucket. Those of the buckets named in `often`
+    stay where they are and learn their number by a broadcast; any may be named,
+    which decides only the cost.
+    """
+    hot = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in often], "bucket long"))
+    dealt = rows.join(hot, "bucket", "left_anti").withColumn("met", F.count("*").over(Window.partitionBy("bucket")))
+    stay = rows.join(hot, "bucket", "left_semi")
+    sizes = stay.groupBy("bucket").agg(F.count("*").alias("met"))
+    return dealt.unionByName(stay.join(F.broadcast(sizes), "bucket")).where("met > 1")
 
 
 @functools.lru_cache(16)
@@ -251,44 +279,64 @@ def _alike(x: Column, y: Column) -> Column:
     return (F.least(x["size"], y["size"]) >= SIMILARITY * F.greatest(x["size"], y["size"])) & (differ <= CHECK_RADIUS)
 
 
+def _folds_fit(x: Column, y: Column) -> Column:
+    """Whether two members (size, fold) can be similar: of sets that share SIMILARITY of both, no more shingles are in one alone than this share of their sizes' sum."""
+    differ = sum((F.bit_count(x["fold"][f"f{i}"].bitwiseXOR(y["fold"][f"f{i}"])) for i in range(FOLD // 64)), F.lit(0))
+    return differ * (1 + SIMILARITY) <= (1 - SIMILARITY) * (x["size"] + y["size"]) + 1e-6
+
+
+def _folded_alike(x: Column, y: Column) -> Column:
+    return _alike(x, y) & _folds_fit(x, y)
+
+
 def ordered(pairs: DataFrame) -> DataFrame:
     """(a, b), a < b, each once, of those pairs of members (m, other) that can be similar."""
-    fit = pairs.where(_alike(F.col("m"), F.col("other")))
+    fit = pairs.where(_folded_alike(F.col("m"), F.col("other")))
     return fit.select(F.least("m.node", "other.node").alias("a"), F.greatest("m.node", "other.node").alias("b")).where("a < b").distinct()
 
 
 def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int) -> DataFrame:
-    """(node, root): the nodes (node, rep, size, fp; written) that verified pairs connect with others."""
+    """(node, root): the nodes (node, row, size, c1, c2, fp; written) that verified pairs connect with others."""
     spark, some = nodes.sparkSession, nodes.where("size > 0")
     sample = hashed_sample(some.select("node", "fp"), F.xxhash64("node"), SAMPLE).collect()
     none = spark.createDataFrame([], "node long, root long")
     if len(sample) < 2:
         return none
-    bits = bits_of(np.frombuffer(b"".join(r.fp for r in sample), "<u8").reshape(len(sample), -1)[:, : n_bits // 64])
+    bits = bits_of(np.frombuffer(b"".join(r.fp for r in sample), "<u8").reshape(len(sample), -1))
     groups, thresholds, _ = allocate(bits, some.count(), parts - 1, (parts,), 1)
-    rows = saved(probes(some, n_bits, groups, thresholds), "probes")
-    probed = rows.count()
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("met", F.col("n"))
-    met = saved(few(lookup(rows, shared, "bucket", "n", probed).where("met is not null").select("bucket", "met", F.struct("node", "size", "c1", "c2").alias("m")), probed), "met")
-    joined = met.count()
+    probed = [(i, g, np.array(flips(len(g), t), "u8")) for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0]
+    buckets, seen = np.unique(keys_of(bits, probed), return_counts=True)
+    often = buckets[(seen > 1) & (seen * HOT_SHARE > len(sample))].tolist()
+    meeting = saved(shared(saved(probes(some, n_bits, probed), "probes"), often), "meeting")
+    joined = meeting.count()
+    member = F.struct("node", "size", "c1", "c2").alias("m")
+    met = saved(few(meeting.join(some.select("row", "node", "size", "c1", "c2"), "row").select("bucket", "met", member), joined), "met")
 
     members = met.where(F.col("met") <= LARGE).groupBy("bucket").agg(F.collect_list("m").alias("all"))
     alike = F.transform("all", lambda x: F.struct(x["node"].alias("b"), F.transform(F.filter("all", lambda y: (y["node"] < x["node"]) & _alike(x, y)), lambda y: y["node"]).alias("before")))
-    some_alike = members.select("bucket", F.filter(alike, lambda x: F.size(x["before"]) > 0).alias("found")).where(F.size("found") > 0)
-    first = saved(few(some_alike.select("bucket", F.exists("found", lambda x: F.size(x["before"]) > 1).alias("more"), F.inline(F.transform("found", lambda x: F.struct(F.array_min(x["before"]).alias("a"), x["b"].alias("b"))))), joined, 20_000), "first")
-    near = saved(few(first.select("a", "b").distinct(), first.count()), "candidates")
-    open_buckets = first.where("more").select("bucket").distinct()
-    small = saved(few(met.join(open_buckets, "bucket", "left_semi").select("bucket", "m"), joined), "small")  # pairs are left in these
-    active = met.where(F.col("met") > LARGE).select("bucket", "m")
+    some_alike = members.select("bucket", "all", F.filter(alike, lambda x: F.size(x["before"]) > 0).alias("found")).where(F.size("found") > 0)
+    more = F.exists("found", lambda x: F.size(x["before"]) > 1)  # pairs are left in these
+    first = saved(few(some_alike.select("bucket", F.when(more, F.col("all")).alias("all"), F.transform("found", lambda x: F.struct(F.array_min(x["before"]).alias("a"), x["b"].alias("b"))).alias("pairs")), joined, 20_000), "first")
+    near = saved(few(first.select(F.inline("pairs")).distinct(), joined), "candidates")
+    small = first.where("all is not null").select("bucket", F.explode("all").alias("m"))
+    large = met.where(F.col("met") > LARGE).select("bucket", "m")
 
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(active.select("m.node")).unionByName(small.select("m.node")).distinct()
+    wanted = near.select("a").unionByName(near.select(F.col("b").alias("a"))).unionByName(large.select(F.col("m.node").alias("a"))).unionByName(small.select(F.col("m.node").alias("a"))).distinct().withColumnRenamed("a", "node")
 
     def sets_of(batch):
         found = [shingles(word_hashes(x.as_py())) for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63 for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["row", "node", "size", "shingles"])
+        folds = np.array([fold(x) for x in found], "i8").reshape(-1, FOLD // 64)
+        folded = pa.StructArray.from_arrays([pa.array(folds[:, i]) for i in range(FOLD // 64)], [f"f{i}" for i in range(FOLD // 64)])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63 for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), folded, pa.array(found, pa.list_(pa.int32()))], ["row", "node", "size", "fold", "shingles"])
+
+    chosen = nodes.join(wanted, "node", "left_semi").select("row")
+    fold_type = ", ".join(f"f{i}: long" for i in range(FOLD // 64))
+    sets = saved(only(held.select("row", text_of(held, text).alias("text")), chosen, sets_of, f"row long, node long, size int, fold struct<{fold_type}>, shingles array<int>"), "sets")
+
+    def with_folds(rows: DataFrame) -> DataFrame:
+        return rows.join(sets.select("node", "fold"), F.col("m.node") == F.col("node")).select("bucket", F.col("m").withField("fold", F.col("fold")).alias("m"))
 
-    chosen = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("row"))
-    sets = saved(only(held.select("row", text_of(held, text).alias("text")), chosen, sets_of, "row long, node long, size int, shingles array<int>"), "sets")
+    active, small = (saved(few(with_folds(x), joined), name) for x, name in ((large, "large"), (small, "small")))
     tried, roots, chains = near, none, none
 
     def joined_by(pairs: DataFrame, n: int) -> None:
@@ -302,12 +350,12 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
     joined_by(near, near.count())
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """Members (bucket, m) with their class, of those buckets that have members of two classes: others have no further pairs."""
+        """Members (bucket, m) with their class and `of`, the bucket's number of members, of those buckets that have members of two classes: others have no further pairs."""
         weighted = roots.join(rows.groupBy(F.col("m.node").alias("node")).agg(F.count("*").alias("n")), "node")
         now = lookup(rows.select("bucket", "m", F.col("m.node").alias("node")), weighted, "node", "n").select("bucket", "m", F.coalesce("root", "node").alias("class"))
         two = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
         n = rows.count()
-        return saved(few(lookup(now, two.select("bucket", "n", F.lit(True).alias("mixed")), "bucket", "n", n).where("mixed").drop("mixed"), n), "active")
+        return saved(few(lookup(now, two.select("bucket", "n", F.col("n").alias("of")), "bucket", "n", n).where("of is not null"), n), "active")
 
     for k in range(ROUNDS + 1):
         classed = mixed(active)
@@ -320,9 +368,9 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
             asked = lookup(classed, leader.select("bucket", "n", F.col("l.m").alias("other"), F.col("l.class").alias("other_class")), "bucket", "n", classed.count()).select("m", "class", "other", "other_class")
         else:
             under = mixed(saved(few(rarest(classed, sets), 20 * classed.count()), "rarest"))
-            asked = crossed(under, _can_share).select("class", "other_class", *[F.col(c).dropFields("before").alias(c) for c in ("m", "other")])
+            asked = crossed(under, lambda x, y: _can_share(x, y) & _folds_fit(x, y)).select("class", "other_class", *[F.col(c).dropFields("before").alias(c) for c in ("m", "other")])
         if rest is not None:
-            asked = asked.unionByName(crossed(rest))
+            asked = asked.unionByName(crossed(rest, _folded_alike))
         new = saved(few(ordered(asked.where("class <> other_class")).join(tried, ["a", "b"], "left_anti"), classed.count() + (rest.count() if rest else 0)), "candidates")
         n = new.count()
         if n:
@@ -359,9 +407,11 @@ def _can_share(x: Column, y: Column) -> Column:
 
 
 def crossed(active: DataFrame, like: Callable[[Column, Column], Column] = _alike) -> DataFrame:
-    """Pairs of members (bucket, m, class) of a bucket that are of two classes and can be similar, each once a bucket: blocks of about BLOCK members meet in groups, so no task has a whole bucket's."""
-    sizes = active.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = lookup(active, sizes, "bucket", "n").withColumn("block", F.pmod(F.xxhash64("m.node"), F.col("blocks")).cast("int"))
+    """Pairs of members (bucket, m, class, and `of`, the bucket's number of members, where it is known) of a bucket that are of two classes and can be similar, each once a bucket: blocks of about BLOCK members meet in groups, so no task has a whole bucket's."""
+    if "of" not in active.columns:
+        sizes = active.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("of", F.col("n"))
+        active = lookup(active, sizes, "bucket", "n")
+    dealt = active.withColumn("blocks", F.ceil(F.col("of") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("m.node"), F.col("blocks")).cast("int"))
     sent = dealt.select("bucket", "block", "m", "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     groups = sent.groupBy("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).agg(F.collect_list(F.struct("block", "m", "class")).alias("all"))
 
@@ -382,15 +432,16 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """
     names = docs.columns
     text, id_at = f"c{names.index('text')}", f"c{names.index(id_column)}"
-    held = saved(in_small_batches(docs).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("row")), "numbered")
+    held = saved(in_small_batches(docs).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("row")), "numbered", "zstd")
     n = held.count()
     parts, width = layout(n)
     n_bits = -(-parts * width // 64) * 64
-    sketched = saved(sketches(held.select("row", F.col(id_at).cast("long").alias("doc_id"), text_of(held, text).alias("text")), n_bits + CHECK_BITS), "sketches")
-    nodes = saved(few(sketched.groupBy("node").agg(F.min("row").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.count("*").alias("n")), n), "nodes")
+    sketched = saved(sketches(held.select("row", F.col(id_at).cast("long").alias("doc_id"), text_of(held, text).alias("text")), n_bits), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    firsts = saved(few(sketched.groupBy("node").agg(first), n), "firsts")
+    nodes = saved(only(sketched.select("row", "node", "size", "c1", "c2", "fp"), firsts.select("first.row")), "nodes")
     roots = links(nodes, held, text, n_bits, parts)
-    labels = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("class"))
-    marked = lookup(sketched.select("row", "doc_id", "node"), saved(few(labels, n), "labels"), "node", "n", n)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
-    kept = marked.groupBy("class").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    linked = firsts.join(roots, "node", "left")
+    alone = linked.where("root is null").select("first.row")
+    kept = alone.unionByName(linked.where("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first.row"))
     return only(held, kept).select(*[F.col(c).alias(names[i]) for i, c in enumerate(held.columns[:-1])])
