@@ -244,3 +244,29 @@ def test_no_stage_writes_a_copy_of_rejected_texts(spark, monkeypatch):
     monkeypatch.setattr(quality, "saved", lambda *a: pytest.fail("a copy is written"))
     docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "x")], SCHEMA)
     assert quality.keep_good(docs).columns == docs.columns and quality.keep_good(docs).count() == 0
+
+
+def test_members_ask_for_their_class_once(spark, monkeypatch):
+    """Members of large and of small buckets and those under rare shingles go through the join with their classes once each time, and the classes stay those of brute force."""
+    monkeypatch.setattr(simhash_pairs, "BLOCK", 7)
+    monkeypatch.setattr(simhash_pairs, "LARGE", 5)
+    monkeypatch.setattr(simhash_pairs, "RECALL", 0.9999)  # so that chance decides nothing here
+    seen, asked = spark.sparkContext.accumulator(0), []
+
+    def counted(left, table, key, weight, total=None):
+        if key == "node":
+            asked.append(left.count())
+
+            def count(batches):
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            left = left.mapInArrow(count, left.schema)
+        return common.lookup(left, table, key, weight, total)
+
+    monkeypatch.setattr(simhash_pairs, "lookup", counted)
+    rows = corpus(1, 1, 60)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == brute(rows)
+    assert sum(asked) > 60 and seen.value == sum(asked)

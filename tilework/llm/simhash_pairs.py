@@ -352,9 +352,10 @@ def links(nodes: DataFrame, held: DataFrame, text: str, n_bits: int, parts: int)
     def mixed(rows: DataFrame) -> DataFrame:
         """Members (bucket, m) with their class and `of`, the bucket's number of members, of those buckets that have members of two classes: others have no further pairs."""
         weighted = roots.join(rows.groupBy(F.col("m.node").alias("node")).agg(F.count("*").alias("n")), "node")
-        now = lookup(rows.select("bucket", "m", F.col("m.node").alias("node")), weighted, "node", "n").select("bucket", "m", F.coalesce("root", "node").alias("class"))
-        two = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
         n = rows.count()
+        classed = lookup(rows.select("bucket", "m", F.col("m.node").alias("node")), weighted, "node", "n").select("bucket", "m", F.coalesce("root", "node").alias("class"))
+        now = saved(few(classed, n), "classed")  # read twice: to find the buckets, and to keep their members
+        two = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
         return saved(few(lookup(now, two.select("bucket", "n", F.col("n").alias("of")), "bucket", "n", n).where("of is not null"), n), "active")
 
     for k in range(ROUNDS + 1):
