@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilework.operators import learning, rasters
+from tilework.operators import blocks, learning, rasters, tables
 from tilework.plans.image_queries import QUERIES, SQL
 from tilework.sources import stores
 from tilework.streaming.tiles import append_new
@@ -115,3 +115,38 @@ def test_stream_appends_each_file_once(spark, tmp_path):
         spark.range(3).write.mode("append").parquet(f"{tmp_path}/in")
         append_new(spark, f"{tmp_path}/in", "id long", f"{tmp_path}/out", f"{tmp_path}/state", lambda df: df.where("id > 0")).awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def plain_components(cells, touch):
+    """(slide, row, col) to the first pixel of what it is connected with; touch 0 leaves corners out."""
+    seen = {}
+    for start in sorted(cells):
+        todo = [start] if start not in seen else []
+        while todo:
+            s, r, c = p = todo.pop()
+            if p in cells and p not in seen:
+                seen[p] = start
+                todo += [(s, r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if touch or not (a and b)]
+    return seen
+
+
+@pytest.mark.parametrize(("side", "touch"), [(4, 1), (4, 0), (5, 1), (512, 1)])
+def test_components_across_blocks(spark, monkeypatch, side, touch):
+    monkeypatch.setattr(blocks, "SIDE", side)
+    rng = np.random.default_rng(8)
+    cells = {(s, int(r) - 6, int(c) - 6) for s, share in ((1, 0.3), (2, 0.6)) for r, c in np.argwhere(rng.random((17, 19)) < share)} | {(3, -7, c) for c in range(-9, 12)} | {(4, i, i) for i in range(-5, 9)}
+    found = rasters.run_components(rasters.runs_of(spark.createDataFrame([*cells], "slide_id int, row int, col int")), touch).collect()
+    got = {(r.slide_id, r.row, c): tuple(r.component) for r in found for c in range(r.lo, r.hi + 1)}
+    assert got == plain_components(cells, touch) and sum(r.hi - r.lo + 1 for r in found) == len(cells)
+
+
+def test_components_of_small_masks_take_no_rounds(spark, monkeypatch):
+    """Masks within a block take as many jobs whatever they hold (before: some more for each doubling of a path)."""
+    def written_tables(n):
+        made = []
+        monkeypatch.setattr(rasters, "written", lambda df: made.append(1) or tables.written(df))
+        snake = [(1, r, c) for r in range(0, 2 * n, 2) for c in range(n)] + [(1, r, (r // 2 % 2) * (n - 1)) for r in range(1, 2 * n - 1, 2)]
+        assert rasters.component_boxes(rasters.components(spark.createDataFrame(snake, "slide_id int, row int, col int"))).count() == 1
+        return len(made)
+
+    assert written_tables(3) == written_tables(20) == 2

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .cohorts import broadcast_if_small
 from .tables import checkpoint_dir, written
 
@@ -76,15 +78,48 @@ def components(mask: DataFrame) -> DataFrame:
 def run_components(found: DataFrame, touch: int = 1) -> DataFrame:
     """components() of runs (slide_id, row, lo, hi); touch 1 joins runs that meet at a corner, 0 only those with a column in common.
 
-    Runs take the least name among their neighbours' and then the name of the
-    run they are named after, so that rounds grow slowly with a component's
-    length. Each round is written.
+    Runs are cut at the borders of blocks and joined within each block; rounds,
+    over tables that are written, are only for what touches across a border.
     """
-    runs = written(found.withColumn("node", F.struct("slide_id", "row", "lo")))
-    a = runs.select("slide_id", F.col("node").alias("a"), (F.col("row") + 1).alias("row"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    touching = a.join(runs, ["slide_id", "row"]).where((F.col("a_lo") <= F.col("hi") + touch) & (F.col("lo") <= F.col("a_hi") + touch)).select("a", F.col("node").alias("b"))
+    side, kinds = blocks.SIDE, {c: found.schema[c].dataType for c in ("slide_id", "row", "lo", "hi")}
+    c0, r0 = blocks.origin(F.col("bc")), blocks.origin(F.col("br"))
+    spread = found.select("slide_id", "row", "lo", "hi", blocks.block_of(F.col("row")).alias("br"), F.explode(F.sequence(blocks.block_of(F.col("lo")), blocks.block_of(F.col("hi")))).alias("bc"))
+    cut = spread.select("slide_id", "br", "bc", "row", F.greatest("lo", c0).cast(kinds["lo"]).alias("lo"), F.least("hi", c0 + side - 1).cast(kinds["hi"]).alias("hi"), (F.col("lo") >= c0).alias("begins"), F.col("hi").alias("end"))
+
+    def label(table, block):
+        row, lo, hi, br, bc = (blocks.numbers(table, c) for c in ("row", "lo", "hi", "br", "bc"))
+        wide, left = side + 4, bc * side - side // 2 - 1
+        line = (block * (side + 1) + row - br * side + side // 2) * wide
+        below = line + wide
+        u, v = blocks.ranges(np.searchsorted(line + hi - left, below + lo - left - touch), np.searchsorted(line + lo - left, below + hi - left + touch, "right"))
+        least = pa.array(blocks.joined(len(row), u, v))
+        return [*table.columns[:8], table["row"].take(least), table["lo"].take(least)]
+
+    kind = {c: k.simpleString() for c, k in kinds.items()}
+    pieces = written(blocks.by_block(cut, ["slide_id", "br", "bc"], ["row", "lo"], label, f"slide_id {kind['slide_id']}, br bigint, bc bigint, row {kind['row']}, lo {kind['lo']}, hi {kind['hi']}, begins boolean, end {kind['hi']}, first_row {kind['row']}, first_lo {kind['lo']}"))
+    pieces = pieces.withColumn("node", F.struct("slide_id", F.col("first_row").alias("row"), F.col("first_lo").alias("lo")))
+    beside = (F.col("lo") == c0) | (F.col("hi") == c0 + side - 1)
+    above = pieces.where(beside | (F.col("row") == r0 + side - 1)).select(F.col("node").alias("a"), "slide_id", "row", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.struct("br", "bc").alias("block"), F.explode(F.array("bc", F.col("bc") - 1, F.col("bc") + 1)).alias("to"))
+    below = pieces.where(beside | (F.col("row") == r0)).select(F.struct("slide_id", "row", "bc").alias("at"), F.col("node").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.struct("br", "bc").alias("other"))
+    met = above.select("*", F.struct("slide_id", (F.col("row") + 1).alias("row"), F.col("to").alias("bc")).alias("at")).join(below, "at").where((F.col("block") != F.col("other")) & (F.col("a_lo") <= F.col("b_hi") + touch) & (F.col("b_lo") <= F.col("a_hi") + touch))
+    ended = pieces.where("end > hi").select(F.struct("slide_id", "row", (F.col("hi") + 1).alias("lo")).alias("at"), F.col("node").alias("a"))
+    went_on = pieces.where("not begins").select(F.struct("slide_id", "row", "lo").alias("at"), F.col("node").alias("b"))
+    touching = met.select("a", "b").unionByName(ended.join(went_on, "at").select("a", "b")).distinct()
     edges = written(touching.unionByName(touching.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    names = runs.select("node", F.col("node").alias("name"))
+    whole = pieces.where("begins").select("slide_id", "node", "row", "lo", F.col("end").alias("hi"))
+    if edges.isEmpty():
+        return whole.withColumnRenamed("node", "component").select("slide_id", "component", "row", "lo", "hi")
+    return whole.join(least_names(edges), "node", "left").select("slide_id", F.coalesce("name", "node").alias("component"), "row", "lo", "hi")
+
+
+def least_names(edges: DataFrame) -> DataFrame:
+    """(node, name): the least node that each is connected with by edges (a, b), which are given both ways.
+
+    Nodes take the least name among their neighbours' and then the name of the
+    node they are named after, so that rounds grow slowly with a path's length.
+    Each round is written.
+    """
+    names = edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("name"))
     while True:
         near = edges.join(names, F.col("b") == F.col("node")).groupBy("a").agg(F.min("name").alias("near"))
         least = names.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("name").alias("old"), F.least("name", "near").alias("name"))
@@ -92,7 +127,7 @@ def run_components(found: DataFrame, touch: int = 1) -> DataFrame:
         moved = written(least.join(to, F.col("name") == F.col("at"), "left").select("node", "old", F.least("name", "further").alias("name")))
         names = moved.select("node", "name")
         if moved.where("old <> name").isEmpty():
-            return runs.join(names, "node").select("slide_id", F.col("name").alias("component"), "row", "lo", "hi")
+            return names
 
 
 def fill_holes(mask: DataFrame) -> DataFrame:
