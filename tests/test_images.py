@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilework.operators import blocks, learning, rasters, tables
 from tilework.plans.image_queries import QUERIES, SQL
+from tilework.plans.cohort_queries import QUERIES as ALL
 from tilework.sources import stores
 from tilework.streaming.tiles import append_new
 
@@ -150,3 +151,22 @@ def test_components_of_small_masks_take_no_rounds(spark, monkeypatch):
         return len(made)
 
     assert written_tables(3) == written_tables(20) == 2
+
+
+@pytest.mark.parametrize("name", ["mask_polygons"])
+def test_masks_within_a_block_take_two_tables(spark, monkeypatch, name):
+    made = []
+    monkeypatch.setattr(rasters, "written", lambda df: made.append(1) or tables.written(df))
+    assert ALL[name](spark, SF).count() > 0 and len(made) == 2
+
+
+def test_hulls_equal_plain_ones(spark):
+    rng = np.random.default_rng(12)
+    cells = {(int(s), int(r), int(c)) for s, r, c in zip(rng.integers(0, 3, 150), rng.integers(-7, 9, 150), rng.integers(-9, 8, 150))}
+    want = {}
+    for p, first in plain_components(cells, 1).items():
+        want.setdefault((first[0], f"{first[1]}_{first[2]}"), []).append(p)
+    got = {}
+    for v in sorted(rasters.hulls(rasters.components(spark.createDataFrame([*cells], "slide_id int, row int, col int"))).collect(), key=lambda v: v.vertex_id):
+        got.setdefault((v.slide_id, v.roi_id), []).append((v.x, v.y))
+    assert got == {k: rasters._hull([p[2] for p in some], [p[1] for p in some]) for k, some in want.items()}

@@ -221,12 +221,24 @@ def hulls(found: DataFrame) -> DataFrame:
     ends = found.groupBy("slide_id", "component", "row").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     rows = ends.groupBy("slide_id", "component").agg(F.collect_list(F.struct("row", "lo", "hi")).alias("ends"))
 
-    @F.pandas_udf("array<struct<x:int,y:int>>")
-    def hull(ends: pd.Series) -> pd.Series:
-        return ends.map(lambda rows: [{"x": x, "y": y} for x, y in _hull([c for r in rows for c in (int(r["lo"]), int(r["hi"]))], [int(r["row"]) for r in rows for _ in range(2)])])
-
-    named = rows.select("slide_id", F.concat_ws("_", "component.row", "component.lo").alias("roi_id"), F.posexplode(hull("ends")).alias("vertex_id", "p"))
-    return named.select("slide_id", F.lit("tissue").alias("label"), "roi_id", "vertex_id", "p.x", "p.y")
+    def corners(batches):
+        for batch in batches:
+            ends = batch.column(2)
+            row, lo, hi = (x.to_numpy().tolist() for x in ends.flatten().flatten())
+            of, at, xs, ys, stop = [], [], [], [], 0
+            for i, n in enumerate(ends.value_lengths().to_pylist()):
+                start, stop = stop, stop + n
+                found = _hull(lo[start:stop] + hi[start:stop], 2 * row[start:stop])
+                of += [i] * len(found)
+                at += range(len(found))
+                xs += [p[0] for p in found]
+                ys += [p[1] for p in found]
+            ints = [pa.array(v, pa.int32()) for v in (at, xs, ys)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(of, pa.int64())) for k in (0, 1)), *ints], ["slide_id", "roi_id", "vertex_id", "x", "y"])
+
+    named = rows.select("slide_id", F.concat_ws("_", "component.row", "component.lo").alias("roi_id"), "ends")
+    made = named.mapInArrow(corners, f"slide_id {rows.schema['slide_id'].dataType.simpleString()}, roi_id string, vertex_id int, x int, y int")
+    return made.select("slide_id", F.lit("tissue").alias("label"), "roi_id", "vertex_id", "x", "y")
 
 
 def canvas(tiles: DataFrame, side: int, background: int = 255) -> DataFrame:
