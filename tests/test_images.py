@@ -153,7 +153,7 @@ def test_components_of_small_masks_take_no_rounds(spark, monkeypatch):
     assert written_tables(3) == written_tables(20) == 2
 
 
-@pytest.mark.parametrize("name", ["mask_polygons", "largest_components"])
+@pytest.mark.parametrize("name", ["mask_polygons", "largest_components", "filled_masks"])
 def test_masks_within_a_block_take_two_tables(spark, monkeypatch, name):
     made = []
     monkeypatch.setattr(rasters, "written", lambda df: made.append(1) or tables.written(df))
