@@ -4,9 +4,10 @@ import heapq
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tilework.operators import rasters, shapes
+from tilework.operators import blocks, rasters, shapes, tables
 from tilework.plans.cohort_queries import QUERIES, SQL
 
 RNG = np.random.default_rng(4)
@@ -115,3 +116,18 @@ def test_contour_query_equals_sql(spark):
     columns = [x[0] for x in want.description]
     assert sorted(map(tuple, QUERIES["contours"](spark, sf).select(columns).collect())) == sorted(want.fetchall())
     assert QUERIES["split_shapes"](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("side", [4, 7])
+def test_rings_across_blocks_are_those_of_one_block(spark, monkeypatch, side):
+    masks = {1: RNG.random((12, 15)) < 0.5, 2: RNG.random((13, 9)) < 0.7, 4: disks(20, 20, (10, 10, 8)) & ~disks(20, 20, (10, 10, 4)), 5: np.eye(6, dtype=bool), 6: RNG.random((8, 8)) < 0.2}
+    found = tables.written(rasters.components(frame(spark, masks)))
+    want = sorted(map(tuple, shapes.contours(found).collect()))
+    monkeypatch.setattr(blocks, "SIDE", side)
+    assert sorted(map(tuple, shapes.contours(found).collect())) == want and len(want) > 100
+
+
+def test_rings_within_a_block_take_no_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(shapes, "written", lambda df: made.append(1) or tables.written(df))
+    assert shapes.contours(rasters.components(frame(spark, {1: disks(40, 40, (20, 20, 17))}))).count() > 0 and len(made) == 1

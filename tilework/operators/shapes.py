@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .rasters import runs_of
 from .tables import written
 
@@ -37,31 +38,76 @@ def border_edges(found: DataFrame) -> DataFrame:
     return sides.unionByName(level, allowMissingColumns=True)
 
 
-def _followed(edges: DataFrame) -> DataFrame:
-    """(slide_id, id, next): after each edge the one that begins where it ends; of two, where pixels meet at a corner only, the one to the left, so that they stay together."""
-    named = edges.withColumn("at", _place(F.col("x"), F.col("y")))
-    starts = named.groupBy("slide_id", F.col("at").alias("to")).agg(F.count("*").alias("n"), F.first("way").alias("only"))
-    ends = named.select("slide_id", (F.col("at") * 4 + F.col("way")).alias("id"), _place(F.col("nx"), F.col("ny")).alias("to"), "way")
-    return ends.join(starts, ["slide_id", "to"]).select("slide_id", "id", (F.col("to") * 4 + F.when(F.col("n") == 1, F.col("only")).otherwise((F.col("way") + 3) % 4)).alias("next"))
-
-
-def _rings(chain: DataFrame) -> DataFrame:
-    """(slide_id, id, head, place): of each edge its ring's least edge, and its place behind that; the number of rounds grows with the logarithm of the longest ring."""
+def _in_block(kind: str, component: str, edges: DataFrame) -> DataFrame:
+    """Edges with their block's part of a ring: of rings that stay in the block only the vertices, placed; of others each edge, the way of the next, the edge `part` where the ring leaves the block, the place as the number of edges up to that, and the part's least edge."""
+    side = blocks.SIDE
+
+    def follow(table, block):
+        x, y, nx, ny, way, br, bc = (blocks.numbers(table, c) for c in ("x", "y", "nx", "ny", "way", "br", "bc"))
+        r0, c0, every = br * side - side // 2, bc * side - side // 2, np.arange(len(x))
+        start, end = (((block * side) + b - r0) * side + a - c0 for a, b in ((x, y), (nx, ny)))
+        leaves = (nx < c0) | (nx >= c0 + side) | (ny < r0) | (ny >= r0 + side)
+        first = np.minimum(np.searchsorted(start, end), len(x) - 1)
+        second = np.minimum(first + 1, len(x) - 1)
+        left = (start[second] == end) & (way[first] != (way + 3) % 4)
+        after = np.where(leaves, every, np.where(left, second, first))
+        head = blocks.joined(len(x), every, after)
+        opened = np.zeros(len(x), bool)
+        opened[head[leaves]] = True
+        opened = opened[head]
+        last = head.copy()
+        last[head[leaves]] = every[leaves]
+        last = last[head]  # the edge that is the end of the count: where the ring leaves, or its head
+        to, count = after.copy(), (~leaves).astype("i8")
+        while (go := to != last).any():
+            to, count = np.where(go, to[to], to), count + np.where(go, count[to], 0)
+        upright = head.copy()
+        upright[head[nx == x]] = every[nx == x]
+        doubled = np.zeros(len(x), "i8")
+        np.add.at(doubled, head, x * ny - nx * y)
+        shown = np.flatnonzero(opened | (way[after] != way))
+        o, h, e = opened[shown], head[shown], last[shown]
+        ids = (y * 2**32 + x) * 4 + way
+        size = np.bincount(head, minlength=len(x))
+        rows = pa.array(np.where(o, shown, upright[h]))
+        ints = [np.where(o, ids[shown], ids[h]), np.where(o, count[shown], size[h] - count[shown]), np.where(o, x[shown], nx[shown]), np.where(o, y[shown], ny[shown]), nx[shown], ny[shown], way[shown], way[after[shown]], ids[e], ids[h]]
+        return [table["slide_id"].take(pa.array(shown)), table["component"].take(rows), pa.array(~o), pa.array(doubled[h] < 0), *map(pa.array, ints)]
+
+    there = edges.withColumns({"br": blocks.block_of(F.col("y")), "bc": blocks.block_of(F.col("x"))})
+    longs = ", ".join(f"{c} bigint" for c in ("id", "place", "x", "y", "nx", "ny", "way", "next_way", "part", "least"))
+    return blocks.by_block(there, ["slide_id", "br", "bc"], ["y", "x", "way"], follow, f"slide_id {kind}, component {component}, closed boolean, hole boolean, {longs}")
+
+
+def _rings(opened: DataFrame) -> DataFrame:
+    """Edges of rings through several blocks (see _in_block) with `head`, their ring's least edge, and their place behind that. Parts of rings are followed as wholes, so the number of rounds grows with the logarithm of the number of parts."""
     by = ["slide_id"]
-    state = written(chain.select(*by, "id", "next", F.least("id", "next").alias("head")))
-    while True:  # the least edge among ever more that follow
-        other = state.select(*by, F.col("id").alias("next"), F.col("next").alias("far"), F.col("head").alias("their"))
-        moved = written(state.join(other, [*by, "next"]).select(*by, "id", F.col("far").alias("next"), F.least("head", "their").alias("head"), (F.col("their") < F.col("head")).alias("moved")))
+    ends = opened.where("place = 0").select(*by, "part", "least", _place(F.col("nx"), F.col("ny")).alias("to"), "way")
+    starts = opened.groupBy(*by, _place(F.col("x"), F.col("y")).alias("to")).agg(F.count("*").alias("n"), F.first("way").alias("only"))
+    # of two edges that begin there the one to the left, so that pixels that meet at a corner only stay together; an edge that is not here is of a ring that stays in its block
+    followed = ends.join(starts, [*by, "to"]).select(*by, "part", "least", (F.col("to") * 4 + F.when(F.col("n") == 1, F.col("only")).otherwise((F.col("way") + 3) % 4)).alias("next_edge"))
+    sizes = opened.groupBy(*by, "part").agg(F.count("*").alias("n"))
+    entered = opened.select(*by, F.col("id").alias("next_edge"), F.col("part").alias("next"))
+    chain = written(followed.join(entered, [*by, "next_edge"]).join(sizes, [*by, "part"]))
+    state = chain.select(*by, "part", "next", F.col("least").alias("head"))
+    while True:  # the least edge among ever more parts that follow
+        other = state.select(*by, F.col("part").alias("next"), F.col("next").alias("far"), F.col("head").alias("their"))
+        moved = written(state.join(other, [*by, "next"]).select(*by, "part", F.col("far").alias("next"), F.least("head", "their").alias("head"), (F.col("their") < F.col("head")).alias("moved")))
         state = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
-    left = written(chain.join(state.select(*by, "id", "head"), [*by, "id"]).withColumn("left", F.lit(1)))
-    while not left.where("next <> head").isEmpty():  # how many edges are left up to the ring's head
-        other = left.select(*by, F.col("id").alias("next"), F.col("next").alias("far"), F.col("left").alias("more"))
-        step = F.col("next") != F.col("head")
-        left = written(left.join(other, [*by, "next"]).select(*by, "id", F.when(step, F.col("far")).otherwise(F.col("next")).alias("next"), "head", (F.col("left") + F.when(step, F.col("more")).otherwise(0)).alias("left")))
-    sizes = left.groupBy(*by, "head").agg(F.count("*").alias("n"))
-    return left.join(sizes, [*by, "head"]).select(*by, "id", "head", (F.col("n") - F.col("left")).alias("place"))
+    heads = chain.select(*by, F.col("least").alias("head"), F.col("part").alias("stop"))
+    ahead = chain.select(*by, F.col("part").alias("next"), F.col("n").alias("left"))
+    left = written(chain.join(state.select(*by, "part", "head"), [*by, "part"]).join(heads, [*by, "head"]).join(ahead, [*by, "next"]).select(*by, "part", "next", "next_edge", "head", "stop", "n", "left"))
+    while not left.where("next <> stop").isEmpty():  # how many edges are left from a part's end to that of the head's part
+        other = left.select(*by, F.col("part").alias("next"), F.col("next").alias("far"), F.col("left").alias("more"))
+        step = F.col("next") != F.col("stop")
+        left = written(left.join(other, [*by, "next"]).select(*by, "part", F.when(step, F.col("far")).otherwise(F.col("next")).alias("next"), "next_edge", "head", "stop", "n", (F.col("left") + F.when(step, F.col("more")).otherwise(0)).alias("left")))
+    whole = left.groupBy(*by, "head").agg(F.sum("n").alias("all"))
+    placed = opened.join(left.join(whole, [*by, "head"]).drop("next", "n"), [*by, "part"])
+    first = placed.where(F.col("id") == F.col("head")).select(*by, "head", F.col("place").alias("head_place"))
+    behind = F.pmod(F.col("head_place") - F.col("place") - F.col("left"), F.col("all"))
+    next_way = F.when(F.col("id") == F.col("part"), F.pmod(F.col("next_edge"), F.lit(4))).otherwise(F.col("next_way"))
+    return placed.join(first, [*by, "head"]).select(*by, "component", "id", "head", behind.alias("place"), "x", "y", "nx", "ny", "way", next_way.alias("next_way"))
 
 
 def contours(found: DataFrame) -> DataFrame:
@@ -70,15 +116,18 @@ def contours(found: DataFrame) -> DataFrame:
     Vertices are corners of pixels where a ring turns, in order: clockwise around
     a component, the other way around a hole, so the signed areas of a component's
     rings add up to its pixels. Pixels that meet at a corner are in one ring.
+    Rings are followed within blocks; rounds are only for those that leave one.
     """
-    edges = border_edges(found)
-    edges = written(edges.withColumn("id", _place(F.col("x"), F.col("y")) * 4 + F.col("way")))
-    chain = _followed(edges)
-    placed = written(edges.join(_rings(chain), ["slide_id", "id"]).join(chain, ["slide_id", "id"]))
+    parts = written(_in_block(*(found.schema[c].dataType.simpleString() for c in ("slide_id", "component")), border_edges(found)))
+    named = lambda df, head, place: df.select("slide_id", "component", F.lit("tissue").alias("label"), F.col(head).alias("roi_id"), "hole", F.col(place).alias("vertex_id"), "x", "y")
+    inside, opened = named(parts.where("closed"), "id", "place"), parts.where("not closed")
+    if opened.isEmpty():
+        return inside
+    placed = written(_rings(opened))
     doubled = F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))
     rings = placed.groupBy("slide_id", "head").agg(F.min("component").alias("component"), (doubled < 0).alias("hole"))
-    turns = placed.where(F.pmod(F.col("next"), F.lit(4)) != F.col("way")).select("slide_id", "head", F.col("place").alias("vertex_id"), F.col("nx").alias("x"), F.col("ny").alias("y"))
-    return turns.join(rings, ["slide_id", "head"]).select("slide_id", "component", F.lit("tissue").alias("label"), F.col("head").alias("roi_id"), "hole", "vertex_id", "x", "y")
+    turns = placed.where("next_way <> way").select("slide_id", "head", "place", F.col("nx").alias("x"), F.col("ny").alias("y"))
+    return inside.unionByName(named(turns.join(rings, ["slide_id", "head"]), "head", "place"))
 
 
 def contour_measures(vertices: DataFrame) -> DataFrame:
