@@ -131,3 +131,20 @@ def test_rings_within_a_block_take_no_rounds(spark, monkeypatch):
     made = []
     monkeypatch.setattr(shapes, "written", lambda df: made.append(1) or tables.written(df))
     assert shapes.contours(rasters.components(frame(spark, {1: disks(40, 40, (20, 20, 17))}))).count() > 0 and len(made) == 1
+
+
+@pytest.mark.parametrize("side", [5, 512])
+def test_floods_across_blocks_equal_plain_ones(spark, monkeypatch, side):
+    monkeypatch.setattr(blocks, "SIDE", side)
+    masks = {1: disks(22, 34, (10, 9, 8), (11, 23, 9)), 2: RNG.random((18, 18)) < 0.75, 3: np.ones((4, 21), bool), 4: np.ones((1, 1), bool)}
+    dist = tables.written(shapes.distances(frame(spark, masks), ["slide_id"]))
+    want, tops = {}, tables.written(shapes.peaks(dist, ["slide_id"], 4).where("slide_id <> 4"))
+    for s, m in masks.items():
+        found = brute_squares(m)
+        want |= {(s, *p): q for p, q in brute_flood(found, brute_peaks(found, 4) if s != 4 else ()).items()}
+    made = []
+    monkeypatch.setattr(shapes, "written", lambda df: made.append(1) or tables.written(df))
+    got = shapes.flood(dist, tops, ["slide_id"]).collect()
+    assert {(r.slide_id, r.row, r.col): (r.peak_row, r.peak_col) for r in got if r.peak_row is not None} == want and len(got) == sum(m.sum() for m in masks.values())
+    made.clear()
+    assert shapes.flood(dist.where("slide_id = 1"), tops, ["slide_id"]).count() == masks[1].sum() and (side == 5 or len(made) == 1)

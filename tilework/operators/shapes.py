@@ -209,6 +209,60 @@ def _roots(parents: DataFrame) -> DataFrame:
             return state.withColumnRenamed("up", "root")
 
 
+def _flood_blocks(dist: DataFrame, tops: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, row, col, d2, frag_row, frag_col, peak): each pixel's fragment within its block, named after its peak if it has one. A fragment joins the one behind its greatest border while that is in the block; the neighbours of a block's pixels are there, too, and stay as they are."""
+    side, key = blocks.SIDE, F.struct(*keys)
+    br, bc = blocks.block_of(F.col("row")), blocks.block_of(F.col("col"))
+    pixel = dist.select(key.alias("key"), "row", "col", F.col("d2").cast("bigint").alias("d2"), br.alias("br"), bc.alias("bc"))
+    r0, c0 = blocks.origin(F.col("br")), blocks.origin(F.col("bc"))
+    shift = lambda on, r, c: F.when(on, F.struct((F.col("br") + r).alias("br"), (F.col("bc") + c).alias("bc")))
+    sides = [(F.col("row") == r0, -1, 0), (F.col("row") == r0 + side - 1, 1, 0), (F.col("col") == c0, 0, -1), (F.col("col") == c0 + side - 1, 0, 1)]
+    beside = pixel.where(sides[0][0] | sides[1][0] | sides[2][0] | sides[3][0]).select("key", "row", "col", "d2", F.explode(F.array_compact(F.array(*[shift(*x) for x in sides]))).alias("to")).select("key", "row", "col", "d2", "to.br", "to.bc")
+    marks = tops.select(key.alias("key"), "row", "col", F.col("d2").cast("bigint").alias("d2"), br.alias("br"), bc.alias("bc"))
+    rows = pixel.withColumn("kind", F.lit(0)).unionByName(beside.withColumn("kind", F.lit(1))).unionByName(marks.withColumn("kind", F.lit(2)))  # a mark comes right behind its pixel
+
+    def fragments(table, block):
+        kind = blocks.numbers(table, "kind")
+        at, marked = np.flatnonzero(kind < 2), np.cumsum(kind < 2)[kind == 2] - 1
+        row, col, d2, br, bc = (blocks.numbers(table, c)[at] for c in ("row", "col", "d2", "br", "bc"))
+        n, ghost, every = len(at), kind[at] == 1, np.arange(len(at))
+        settled = ghost.copy()
+        settled[marked] = True
+        place = (block[at] * (side + 2) + row - br * side + side // 2 + 1) * (side + 2) + col - bc * side + side // 2 + 1
+        rank = np.empty(n, "i8")
+        rank[np.lexsort((-col, -row, d2))] = every
+        u, v = [], []
+        for step in (1, side + 2):
+            to = np.minimum(np.searchsorted(place, place + step), n - 1)
+            there = (place[to] == place + step) & ~(ghost & ghost[to])
+            u.append(every[there])
+            v.append(to[there])
+        u, v = np.concatenate(u), np.concatenate(v)
+        w, frag = np.minimum(rank[u], rank[v]) * n + np.maximum(rank[u], rank[v]), every.copy()
+        while True:
+            a, b = frag[u], frag[v]
+            kept = (a != b) & ~(settled[a] & settled[b])
+            u, v, w, a, b = (x[kept] for x in (u, v, w, a, b))
+            best, up = np.full(n, -1), every.copy()
+            np.maximum.at(best, np.concatenate([a, b]), np.concatenate([w, w]))
+            for x, y in ((a, b), (b, a)):
+                chosen = (w == best[x]) & ~settled[x] & ~ghost[y]
+                up[x[chosen]] = y[chosen]
+            both = (up[up] == every) & (every < up)
+            up[both] = every[both]
+            if (up == every).all():
+                break
+            while (up[up] != up).any():
+                up = up[up]
+            frag = up[frag]
+        own = np.flatnonzero(~ghost)
+        rows, firsts = pa.array(at[own]), pa.array(at[frag[own]])
+        return [*(table[c].take(rows) for c in ("key", "row", "col", "d2")), table["row"].take(firsts), table["col"].take(firsts), pa.array(settled[frag[own]])]
+
+    kind = {f.name: f.dataType.simpleString() for f in pixel.schema}
+    return blocks.by_block(rows, ["key", "br", "bc"], ["row", "col", "kind"], fragments, f"key {kind['key']}, row {kind['row']}, col {kind['col']}, d2 bigint, frag_row {kind['row']}, frag_col {kind['col']}, peak boolean")
+
+
 def flood(dist: DataFrame, tops: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, col, peak_row, peak_col): each pixel's peak, by flooding from the peaks, pixels far from the background first; null where no path of neighbours leads to one.
 
@@ -216,15 +270,22 @@ def flood(dist: DataFrame, tops: DataFrame, keys: list[str]) -> DataFrame:
     the earlier one's, so all are different and the flood is the one spanning
     forest of greatest borders. It is grown from all fragments at once: a fragment
     without a peak joins the one behind its greatest border; then fragments are
-    contracted, and only borders between different ones are kept.
+    contracted, and only borders between different ones are kept. That is done
+    within blocks first; rounds are for what is left without a peak there.
     """
-    key = F.struct(*keys)
-    pixel = written(dist.select(key.alias("key"), _place(F.col("col"), F.col("row")).alias("node"), _precedence().alias("p")))
-    marked = written(tops.select(key.alias("key"), _place(F.col("col"), F.col("row")).alias("frag"), F.lit(True).alias("peak")))
-    there = pixel.select("key", F.col("node").alias("to"), F.col("p").alias("q"))
-    borders = pixel.select("key", "node", "p", F.explode(F.array(F.col("node") + 1, F.col("node") + 2**32)).alias("to")).join(there, ["key", "to"])
-    edges = written(borders.select("key", F.col("node").alias("a"), F.col("to").alias("b"), F.struct(F.least("p", "q").alias("late"), F.greatest("p", "q").alias("early")).alias("w")))
-    names = pixel.select("key", "node", F.col("node").alias("frag"))
+    whole = lambda c: F.col(c).cast("int").alias(c)
+    local = written(_flood_blocks(dist, tops, keys))
+    named = [F.col(f"key.{k}").alias(k) for k in keys]
+    left = local.where("not peak")
+    if left.isEmpty():
+        return local.select(*named, whole("row"), whole("col"), F.col("frag_row").cast("int").alias("peak_row"), F.col("frag_col").cast("int").alias("peak_col"))
+    frag = _place(F.col("frag_col"), F.col("frag_row"))
+    node = _place(F.col("col"), F.col("row"))
+    marked = written(local.where("peak").select("key", frag.alias("frag"), F.lit(True).alias("peak")).distinct())
+    there = local.select("key", node.alias("to"), frag.alias("b"), _precedence().alias("q"))
+    borders = left.select("key", frag.alias("a"), _precedence().alias("p"), F.explode(F.array(*[node + k for k in (1, -1, 2**32, -(2**32))])).alias("to")).join(there, ["key", "to"]).where("a <> b")
+    edges = written(borders.groupBy("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.struct(F.least("p", "q").alias("late"), F.greatest("p", "q").alias("early"))).alias("w")))
+    names = written(local.select("key", frag.alias("node")).distinct().select("key", "node", F.col("node").alias("frag")))
     while True:
         both = edges.unionByName(edges.select("key", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
         best = both.join(marked.select("key", F.col("frag").alias("a")), ["key", "a"], "left_anti").groupBy("key", F.col("a").alias("frag")).agg(F.max_by("b", "w").alias("up"))
@@ -239,10 +300,9 @@ def flood(dist: DataFrame, tops: DataFrame, keys: list[str]) -> DataFrame:
         renamed = lambda df, c: df.join(roots.select("key", F.col("frag").alias(c), "root"), ["key", c], "left").withColumn(c, F.coalesce("root", c)).drop("root")  # noqa: E731, B023
         edges = written(renamed(renamed(edges, "a"), "b").where("a <> b").groupBy("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w")))
     low = F.lit(2**32)
-    found = names.join(marked, ["key", "frag"], "left")
-    col = lambda n: (F.pmod(F.col(n) + 2**31, low) - 2**31).cast("int")
-    row = lambda n: F.floor((F.col(n) + 2**31) / low).cast("int")
-    return found.select(*[F.col(f"key.{k}").alias(k) for k in keys], row("node").alias("row"), col("node").alias("col"), F.when(F.col("peak"), row("frag")).alias("peak_row"), F.when(F.col("peak"), col("frag")).alias("peak_col"))
+    found = local.withColumn("node", frag).drop("peak").join(names, ["key", "node"]).join(marked, ["key", "frag"], "left")
+    col, row = (F.pmod(F.col("frag") + 2**31, low) - 2**31).cast("int"), F.floor((F.col("frag") + 2**31) / low).cast("int")
+    return found.select(*named, whole("row"), whole("col"), F.when(F.col("peak"), row).alias("peak_row"), F.when(F.col("peak"), col).alias("peak_col"))
 
 
 def split_touching(found: DataFrame, apart: int = 10) -> DataFrame:
