@@ -1,6 +1,8 @@
 """Array files and record shards: round trips, ranges, torn files, lost attempts."""
 
+import io
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -93,3 +95,28 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         records.write_records(broken, f"{tmp_path}/r", 4)
     assert not os.path.isdir(f"{tmp_path}/r") or os.listdir(f"{tmp_path}/r") == []
+
+
+def plain_crc(data):
+    crc = 0xFFFFFFFF
+    for x in data:
+        crc = int(records._TABLE[(crc ^ x) & 0xFF]) ^ (crc >> 8)
+    return crc ^ 0xFFFFFFFF
+
+
+@pytest.mark.parametrize("together", [1, 700, 1 << 20])
+def test_records_are_summed_together(monkeypatch, together):
+    """Checksums of many records at once, and records longer than what is read at once; the frame is written out here."""
+    monkeypatch.setattr(records, "TOGETHER", together)
+    bodies = [RNG.integers(0, 256, int(n)).astype("u1").tobytes() for n in (0, 1, 3, 4, 5, 251, 252, 253, 1000, 12, 5000, 0, 256 * 37 - 4)]
+    assert records.checksums(b"".join(bodies), *records._places([len(x) for x in bodies])).tolist() == [plain_crc(x) for x in bodies]
+    mask = lambda x: struct.pack("<I", ((plain_crc(x) >> 15 | plain_crc(x) << 17) + 0xA282EAD8) & 0xFFFFFFFF)
+    want = b"".join((head := struct.pack("<Q", len(x))) + mask(head) + x + mask(x) for x in bodies)
+    assert b"".join(records.framed_all(bodies)) == want and list(records.unframed(io.BytesIO(want), "f")) == bodies
+    for at in RNG.integers(0, len(want), 30).tolist():
+        with pytest.raises(ValueError, match="damaged"):
+            list(records.unframed(io.BytesIO(want[:at] + bytes([want[at] ^ 4]) + want[at + 1 :]), "f"))
+    edges = set(np.cumsum([len(x) + 16 for x in bodies]).tolist()) | {0}
+    for at in {*RNG.integers(0, len(want), 30).tolist()} - edges:
+        with pytest.raises(ValueError, match="damaged"):
+            list(records.unframed(io.BytesIO(want[:at]), "f"))
